@@ -56,15 +56,17 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed value: ISO layout with microseconds, so message times keep full precision.
+ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def messages_of(preds: DataFrame) -> DataFrame:
     """JSON message text (``value``) for each prediction row, as a producer sends it."""
-    return preds.select(
-        F.to_json(
-            F.struct(
-                "userId",
-                "movieId",
-                F.col("prediction").alias("rating"),
-                F.col("ts").alias("timestamp"),
-            )
-        ).alias("value")
+    body = F.struct(
+        "userId",
+        "movieId",
+        F.col("prediction").alias("rating"),
+        F.col("ts").alias("timestamp"),
     )
+    opts = {"timestampFormat": ISO_MICROS, "timestampNTZFormat": ISO_MICROS}
+    return preds.select(F.to_json(body, opts).alias("value"))
