@@ -28,6 +28,7 @@ def _event_messages(spark: SparkSession, d: str) -> DataFrame:
         schema=schema,
         options={"pathGlobFilter": "events.parquet", "maxFilesPerTrigger": "1"},
         path=d,
+        min_partitions=spark.sparkContext.defaultParallelism,
     )
     preds = raw.select(
         F.col("user_id").alias("userId"),

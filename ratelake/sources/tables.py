@@ -46,7 +46,16 @@ def write_table(
     partition_by: Sequence[str] | None = None,
     fmt: str = "parquet",
 ) -> str:
-    """Write a table; partitioning by a date/year column enables pruning later."""
+    """Write a table; partitioning by a date/year column enables pruning later.
+
+    For a partitioned write the rows are first rebalanced on the partition
+    columns (AQE ``REBALANCE``): each output directory is written by a few
+    tasks sized to the advisory partition size, instead of every upstream task
+    leaving a small file in every directory; a hot partition value is split
+    across several tasks rather than landing on one.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
