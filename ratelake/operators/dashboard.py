@@ -31,10 +31,23 @@ def resolve_as_of(p: DataFrame, ts: str = TS) -> dt.datetime | None:
     return p.agg(F.max(ts).alias("m")).first()["m"]
 
 
-def last_hours(p: DataFrame, as_of, hours: int = 24, ts: str = TS) -> DataFrame:
-    """Rows with ``ts >= as_of - hours``."""
+def last_hours(p: DataFrame, as_of, hours: int = 24, ts: str = TS, date_col: str | None = None) -> DataFrame:
+    """Rows with ``ts >= as_of - hours``.
+
+    ``date_col`` names a date partition column of the table (the prediction
+    store is partitioned by ``event_date``); the same bound on it prunes whole
+    directories before any file is opened.
+    """
     start = as_of - dt.timedelta(hours=hours)
-    return p.filter(F.col(ts) >= F.lit(start))
+    out = p.filter(F.col(ts) >= F.lit(start))
+    if date_col:
+        out = out.filter(F.col(date_col) >= F.lit(start.date()))
+    return out
+
+
+def _ties(tie, descending: bool):
+    cols = [tie] if isinstance(tie, str) else list(tie)
+    return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
 
 
 def dash_stats(p: DataFrame, approx_users: bool = False) -> DataFrame:
@@ -82,24 +95,24 @@ def dash_top_items(p: DataFrame, min_count: int = 5, k: int = 10) -> DataFrame:
     )
 
 
-def dash_activity(p: DataFrame, as_of, hours: int = 24, ts: str = TS) -> DataFrame:
+def dash_activity(p: DataFrame, as_of, hours: int = 24, ts: str = TS, date_col: str | None = None) -> DataFrame:
     """``hour, n_predictions`` by hour of day over the last ``hours`` hours.
 
     As in the reference, the two partial ends of the same clock hour fall into
     one group.
     """
     return (
-        last_hours(p, as_of, hours, ts)
+        last_hours(p, as_of, hours, ts, date_col)
         .groupBy(hour_of_day(ts).alias("hour"))
         .agg(F.count(F.lit(1)).alias("n_predictions"))
         .orderBy("hour")
     )
 
 
-def dash_trends(p: DataFrame, as_of, hours: int = 24, ts: str = TS) -> DataFrame:
+def dash_trends(p: DataFrame, as_of, hours: int = 24, ts: str = TS, date_col: str | None = None) -> DataFrame:
     """``hour, avg_rating, n_predictions`` by hour of day over the last ``hours`` hours."""
     return (
-        last_hours(p, as_of, hours, ts)
+        last_hours(p, as_of, hours, ts, date_col)
         .groupBy(hour_of_day(ts).alias("hour"))
         .agg(F.avg("prediction").alias("avg_rating"), F.count(F.lit(1)).alias("n_predictions"))
         .orderBy("hour")
@@ -123,7 +136,7 @@ def dash_summary(p: DataFrame, as_of, hours: int = 24, ts: str = TS) -> DataFram
 
 def latest(p: DataFrame, k: int = 10, ts: str = TS, tie: str = TIE, columns=None) -> DataFrame:
     """The ``k`` most recent rows (ties broken by the id, newest id first)."""
-    out = p.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(k)
+    out = p.orderBy(F.col(ts).desc(), *_ties(tie, True)).limit(k)
     return out.select(*columns) if columns else out
 
 
@@ -146,9 +159,9 @@ def user_top(p: DataFrame, user_id: int, k: int = 5, tie: str = TIE) -> DataFram
     """One user's ``k`` best predictions: ``movieId, prediction``."""
     return (
         p.filter(F.col("userId") == F.lit(user_id))
-        .orderBy(_desc_score(), F.col(tie).asc())
+        .orderBy(_desc_score(), *_ties(tie, False))
         .limit(k)
-        .select(tie, "movieId", "prediction")
+        .select(*([tie] if isinstance(tie, str) else []), "movieId", "prediction")
     )
 
 
