@@ -181,6 +181,8 @@ ORACLE: dict[str, str] = {
     "round(avg(prediction), 6) AS avg_rating FROM preds",
     "dash_recent_5": _latest(5),
     "dash_latest_10": _latest(10),
+    "dash_latest_named": _with(PREDS)
+    + "SELECT userId, movieId, prediction, ts FROM preds ORDER BY ts DESC, event_id DESC LIMIT 10",
     "dash_distribution": _with(PREDS)
     + "SELECT prediction, count(*) AS n_predictions FROM preds "
     "WHERE prediction IS NOT NULL AND NOT isnan(prediction) GROUP BY prediction ORDER BY prediction",
@@ -203,6 +205,19 @@ ORACLE: dict[str, str] = {
     + "SELECT userId, movieId, rating, ts, round(prediction, 6) AS prediction FROM scored",
     "unscored_count": _with(RATINGS, FACTORS, SCORED)
     + "SELECT count(*) FILTER (WHERE prediction IS NULL OR isnan(prediction)) AS n_unscored FROM scored",
+    "scored_only": _with(RATINGS, FACTORS, SCORED)
+    + "SELECT userId, movieId, rating, ts, round(prediction, 6) AS prediction FROM scored "
+    "WHERE prediction IS NOT NULL AND NOT isnan(prediction)",
+    "factor_rmse": _with(RATINGS, FACTORS, SCORED)
+    + "SELECT round(sqrt(avg(power(rating - prediction, 2))), 6) AS rmse FROM scored "
+    "WHERE prediction IS NOT NULL AND NOT isnan(prediction)",
+    "als_cold_start": _with(RATINGS)
+    + ", parts AS (SELECT *, ((userId + movieId) % 10 + 10) % 10 < 8 AS is_train FROM ratings), "
+    "tr_users AS (SELECT DISTINCT userId FROM parts WHERE is_train), "
+    "tr_items AS (SELECT DISTINCT movieId FROM parts WHERE is_train) "
+    "SELECT count(*) AS n_test, count(*) FILTER (WHERE u.userId IS NULL OR i.movieId IS NULL) AS n_unscored "
+    "FROM parts t LEFT JOIN tr_users u ON t.userId = u.userId LEFT JOIN tr_items i ON t.movieId = i.movieId "
+    "WHERE NOT t.is_train",
     "rmse": _with(RATINGS)
     + "SELECT round(sqrt(avg(power(rating - (2.75 + (movieId % 5 - 2) * 0.1), 2))), 6) AS rmse "
     "FROM ratings",

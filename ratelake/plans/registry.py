@@ -188,6 +188,10 @@ def q_dash_latest_10(spark, d):
     return D.latest(_preds(spark, d), 10)
 
 
+def q_dash_latest_named(spark, d):
+    return D.latest(_preds(spark, d), 10, columns=["userId", "movieId", "prediction", "ts"])
+
+
 def q_dash_distribution(spark, d):
     return D.dash_distribution(_preds(spark, d))
 
@@ -224,6 +228,31 @@ def q_unscored_count(spark, d):
     return M.count_unscored(_factor_scored(spark, d))
 
 
+def q_scored_only(spark, d):
+    return _r6(M.drop_unscored(_factor_scored(spark, d)), "prediction")
+
+
+def q_factor_rmse(spark, d):
+    return _r6(M.rmse(M.drop_unscored(_factor_scored(spark, d))), "rmse")
+
+
+def q_als_cold_start(spark, d):
+    """Config B (cold start ``nan``) on the key split: test rows and unscored test rows.
+
+    A test row is unscored exactly when its user or its item has no rating in
+    the training part, which SQL can count without the model.
+    """
+    train_df, test_df = M.key_split(_ratings(spark, d), _split_key())
+    model = M.train(
+        train_df, rank=10, max_iter=10, reg=0.1, num_item_blocks=10, nonnegative=True, cold_start="nan", seed=42
+    )
+    scored = M.score(model, test_df.select("userId", "movieId", "rating"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_test"),
+        F.count_if(F.isnan("prediction") | F.col("prediction").isNull()).alias("n_unscored"),
+    )
+
+
 def q_rmse(spark, d):
     r = _ratings(spark, d)
     guess = F.lit(2.75) + (F.col("movieId") % 5 - 2) * F.lit(0.1)
@@ -270,6 +299,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dash_summary": q_dash_summary,
     "dash_recent_5": q_dash_recent_5,
     "dash_latest_10": q_dash_latest_10,
+    "dash_latest_named": q_dash_latest_named,
     "dash_distribution": q_dash_distribution,
     "dash_user_top": q_dash_user_top,
     "dash_user_top_all": q_dash_user_top_all,
@@ -278,8 +308,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_sizes": q_split_sizes,
     "factor_score": q_factor_score,
     "unscored_count": q_unscored_count,
+    "scored_only": q_scored_only,
+    "factor_rmse": q_factor_rmse,
     "rmse": q_rmse,
     "als_train_score": q_als_train_score,
+    "als_cold_start": q_als_cold_start,
     "stream_parse": ST.q_stream_parse,
     "stream_score_sink": ST.q_stream_score_sink,
 }
