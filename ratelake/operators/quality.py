@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _q(name: str):
+    """A column by its exact name (dots and quotes are not parsed)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_count(df: DataFrame, name: str | None = None) -> DataFrame:
     """One row: ``n_rows`` (plus ``table`` when a name is given)."""
     out = df.agg(F.count(F.lit(1)).alias("n_rows"))
@@ -34,16 +39,14 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column_name, missing``: nulls per column in one pass, then unpivoted."""
     columns = list(columns or df.columns)
-    aggs = [F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]
-    wide = df.agg(*aggs)
-    pairs = ", ".join(f"'{c}', m{i}" for i, c in enumerate(columns))
-    return wide.selectExpr(f"stack({len(columns)}, {pairs}) as (column_name, missing)")
+    wide = df.agg(*[F.count_if(_q(c).isNull()).alias(c) for c in columns])
+    return wide.unpivot([], [_q(c) for c in columns], "column_name", "missing")
 
 
 def _group_counts(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     cols = list(columns or df.columns)
     # groupBy treats nulls as equal keys, like distinct()/dropDuplicates().
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_copies"))
+    return df.groupBy(*[_q(c) for c in cols]).agg(F.count(F.lit(1)).alias("n_copies"))
 
 
 def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,17 +76,17 @@ def distinct_count(df: DataFrame, *columns: str, approx: bool = False, rsd: floa
     which merge in constant memory and is the right choice for very wide keys.
     """
     fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    return df.agg(*[fn(F.col(c)).alias(f"n_distinct_{c}") for c in columns])
+    return df.agg(*[fn(_q(c)).alias(f"n_distinct_{c}") for c in columns])
 
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
     """Number of distinct tuples over ``columns`` (null-containing tuples count)."""
-    return df.select(*columns).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
+    return df.select(*[_q(c) for c in columns]).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def count_by(df: DataFrame, column: str, name: str = "n_rows") -> DataFrame:
     """Rows per key."""
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(_q(column)).agg(F.count(F.lit(1)).alias(name))
 
 
 def valid_ratings(df: DataFrame, lo: float = 0.5, hi: float = 5.0, column: str = "rating") -> DataFrame:

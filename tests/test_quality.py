@@ -13,6 +13,12 @@ def test_null_profile_one_pass(spark):
     assert got == {"userId": 1, "movieId": 2, "rating": 1, "note": 1}
 
 
+def test_null_profile_odd_column_names(spark):
+    df = spark.createDataFrame([(None, 1), (2, None)], "`it's` int, `a.b` int")
+    got = {r["column_name"]: r["missing"] for r in Q.null_profile(df).collect()}
+    assert got == {"it's": 1, "a.b": 1}
+
+
 def test_null_profile_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     got = {r["column_name"]: r["missing"] for r in Q.null_profile(df).collect()}
