@@ -222,6 +222,13 @@ ORACLE: dict[str, str] = {
     + "SELECT round(sqrt(avg(power(rating - (2.75 + (movieId % 5 - 2) * 0.1), 2))), 6) AS rmse "
     "FROM ratings",
     "stream_parse": _with(PREDS, MESSAGES) + "SELECT * FROM msgs",
+    "store_trends_24h": _with(PREDS, MESSAGES, FACTORS)
+    + ", store AS (SELECT m.\"timestamp\" AS ts, list_dot_product(CAST(u.features AS DOUBLE[]), "
+    "CAST(i.features AS DOUBLE[])) AS prediction FROM msgs m "
+    "LEFT JOIN factors u ON m.userId = u.id LEFT JOIN factors i ON m.movieId = i.id) "
+    "SELECT CAST(hour(ts) AS BIGINT) AS hour, round(avg(prediction), 6) AS avg_rating, "
+    "count(*) AS n_predictions FROM store WHERE ts >= (SELECT max(ts) FROM store) - INTERVAL 24 HOURS "
+    "GROUP BY 1",
     "stream_score_sink": _with(PREDS, MESSAGES, FACTORS)
     + "SELECT m.userId, m.movieId, m.rating, m.\"timestamp\", round(list_dot_product("
     "CAST(u.features AS DOUBLE[]), CAST(i.features AS DOUBLE[])), 6) AS prediction, "

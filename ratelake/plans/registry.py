@@ -315,4 +315,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "als_cold_start": q_als_cold_start,
     "stream_parse": ST.q_stream_parse,
     "stream_score_sink": ST.q_stream_score_sink,
+    "store_trends_24h": ST.q_store_trends_24h,
 }

@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelake.operators import dashboard as D
 from ratelake.operators import model as M
 from ratelake.plans import fixtures as FX
 from ratelake.session import scratch_path
@@ -60,13 +61,29 @@ def q_stream_parse(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def q_stream_score_sink(spark: SparkSession, d: str) -> DataFrame:
+def _score_into_store(spark: SparkSession, d: str) -> str:
+    """Messages -> parse -> valid ids -> factor scores -> store partitioned by date."""
     parsed = SM.parse_messages(_event_messages(spark, d))
     valid, _rejected = SM.split_valid(parsed)
     f = FX.factors(spark, d)
     scorer = partial(M.score_factors, user_factors=f, item_factors=f, cold_start="nan")
     scored = SM.score_stream(valid, scorer).withColumn("event_date", F.to_date("timestamp"))
-    out = _drain(scored, spark, "score", partition_by=["event_date"])
-    back = spark.read.parquet(out)
+    return _drain(scored, spark, "score", partition_by=["event_date"])
+
+
+def q_stream_score_sink(spark: SparkSession, d: str) -> DataFrame:
+    back = spark.read.parquet(_score_into_store(spark, d))
     return back.withColumn("prediction", F.round("prediction", 6))
 
+
+def q_store_trends_24h(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly trend panel read from the stream-written store.
+
+    The 24-hour bound is applied to the timestamp and to the ``event_date``
+    partition column, so only the last one or two date folders are read.
+    """
+    store = spark.read.parquet(_score_into_store(spark, d))
+    as_of = D.resolve_as_of(store, "timestamp")
+    trends = D.dash_trends(store, as_of, ts="timestamp", date_col="event_date")
+    return trends.withColumn("avg_rating", F.round("avg_rating", 6))
+
