@@ -81,3 +81,27 @@ def test_programs_end_to_end(spark, tmp_path):
     assert sum(r["n_predictions"] for r in dash["activity"].collect()) == 2
     assert [r["userId"] for r in dash["recent"].collect()][:2] == [1, 3]
     assert os.path.isdir(tmp_path / "store" / "event_date=2024-01-30")
+
+
+def test_command_line_count_and_dashboard(spark, tmp_path, capsys):
+    from ratelake.__main__ import main
+
+    csv = tmp_path / "r.csv"
+    csv.write_text("userId,movieId,rating,timestamp\n1,1,4.0,2001-01-01 10:00:00\n2,2,5.0,2002-01-01 10:00:00\n")
+    store = tmp_path / "store"
+    spark.createDataFrame(
+        [(1, 2, 3.5, dt.datetime(2024, 1, 30, 10), dt.date(2024, 1, 30))],
+        "userId int, movieId int, prediction float, timestamp timestamp, event_date date",
+    ).write.partitionBy("event_date").parquet(str(store))
+    # main() ends by stopping its session, which here is the shared test
+    # session: record the call instead of stopping it.
+    calls = []
+    orig_stop = type(spark).stop
+    type(spark).stop = lambda self: calls.append("stop")
+    try:
+        assert main(["count-csv", str(csv)]) == 0
+        assert main(["dashboard", "--store", str(store), "--as-of", "2024-01-30T12:00:00"]) == 0
+    finally:
+        type(spark).stop = orig_stop
+    out = capsys.readouterr().out
+    assert "n_rows" in out and "== summary" in out and calls == ["stop", "stop"]
