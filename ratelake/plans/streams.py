@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ratelake.operators import dashboard as D
 from ratelake.operators import model as M
 from ratelake.plans import fixtures as FX
-from ratelake.session import scratch_path
+from ratelake.session import parallelism, scratch_path
 from ratelake.streaming import messages as SM
 
 
@@ -29,7 +29,7 @@ def _event_messages(spark: SparkSession, d: str) -> DataFrame:
         schema=schema,
         options={"pathGlobFilter": "events.parquet", "maxFilesPerTrigger": "1"},
         path=d,
-        min_partitions=spark.sparkContext.defaultParallelism,
+        min_partitions=parallelism(spark),
     )
     preds = raw.select(
         F.col("user_id").alias("userId"),

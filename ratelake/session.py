@@ -65,11 +65,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if _LOCAL_ROOT is None:
             _LOCAL_ROOT = tempfile.mkdtemp(prefix="ratelake-ckpt-")
         current = _LOCAL_ROOT
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions expose no SparkContext
+        return current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
+def parallelism(spark: SparkSession, fallback: int = 8) -> int:
+    """Default parallelism of the cluster (task slots), also for remote sessions."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        value = spark.conf.get("spark.default.parallelism", None)
+        return int(value) if value else fallback
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never-reused folder under the shared checkpoint area."""
     root = ensure_checkpoint_dir(spark)
