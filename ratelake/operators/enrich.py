@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import genre_array, parse_timestamp, rating_year
+from ratelake.schemas import CSV_TIMESTAMP_FORMAT
 
 
 def join_items(movies: DataFrame, ratings: DataFrame, key: str = "movieId") -> DataFrame:
@@ -31,10 +32,11 @@ def enrich(df: DataFrame, genres: str = "genres", time_col: str = "timestamp") -
     )
 
 
-def parse_times(df: DataFrame, text_col: str, out_col: str, fmt: str | None = None) -> DataFrame:
-    """Parse a text timestamp column; bad text becomes null instead of an error."""
-    kwargs = {} if fmt is None else {"fmt": fmt}
-    return df.withColumn(out_col, parse_timestamp(text_col, **kwargs))
+def parse_times(
+    df: DataFrame, text_col: str, out_col: str, fmt: str | None = CSV_TIMESTAMP_FORMAT
+) -> DataFrame:
+    """Parse a text timestamp column (``fmt=None``: ISO forms); bad text becomes null, not an error."""
+    return df.withColumn(out_col, parse_timestamp(text_col, fmt))
 
 
 def build_enriched(movies: DataFrame, ratings: DataFrame, time_col: str = "timestamp") -> DataFrame:
