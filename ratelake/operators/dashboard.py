@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import hour_of_day, missing, nan_to_null
+from ratelake.operators.skew import salt_hot_keys
 
 TS = "ts"
 TIE = "event_id"
@@ -165,17 +166,32 @@ def user_top(p: DataFrame, user_id: int, k: int = 5, tie: str = TIE) -> DataFram
     )
 
 
-def user_top_all(p: DataFrame, k: int = 5, tie: str = TIE, salt_buckets: int = 64) -> DataFrame:
+def user_top_all(
+    p: DataFrame,
+    k: int = 5,
+    tie: str = TIE,
+    hot_rows: int = 1_000_000,
+    max_broadcast_users: int = 1_000_000,
+) -> DataFrame:
     """Every user's ``k`` best predictions, with ``rank``.
 
     A plain ``row_number`` over ``partitionBy(userId)`` sends all of a user's
     rows to one task, so a user holding a third of the table stalls the job.
-    Instead rank in two rounds: within (user, salt) buckets keep the local top
-    ``k``, then rank the at most ``k * salt_buckets`` survivors per user. The
-    salt is a hash of the row id, so it is deterministic across retries.
+    Hot users are found first and split:
+
+    1. rows per user (partial aggregation, a small shuffle); users with more
+       than ``hot_rows`` rows get ``ceil(rows / hot_rows)`` salt buckets. The
+       list is checkpointed into the shared checkpoint folder; it holds at most
+       ``total_rows / hot_rows`` users.
+    2. the list is counted and broadcast only when it has at most
+       ``max_broadcast_users`` entries; beyond that it is joined by a shuffle.
+    3. rank within (user, salt), keeping the local top ``k`` (every group
+       holds at most about ``hot_rows`` rows), then rank the survivors per user
+       (at most ``k`` per bucket). The salt is a hash of the row id, so it is
+       the same on every retry.
     """
     order = [_desc_score(), F.col(tie).asc()]
-    salted = p.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salt_buckets)))
+    salted = salt_hot_keys(p, "userId", tie, hot_rows, max_broadcast_users)
     local = salted.withColumn(
         "_r", F.row_number().over(Window.partitionBy("userId", "_salt").orderBy(*order))
     ).filter(F.col("_r") <= k)

@@ -1,0 +1,52 @@
+"""Hot-key handling for operators that cannot pre-aggregate (windows).
+
+Aggregations survive a hot key through partial aggregation and joins through
+AQE's skew-join split; a window over ``partitionBy(key)`` has neither, so a
+key holding a third of the table would put a third of the table in one task.
+``salt_hot_keys`` finds such keys and spreads each over enough buckets that
+no (key, salt) group exceeds about ``hot_rows`` rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ratelake.session import ensure_checkpoint_dir
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """``key, _buckets`` for keys with more than ``hot_rows`` rows, checkpointed.
+
+    One pass with partial aggregation. The result has at most
+    ``total_rows / hot_rows`` rows; it is written to the shared checkpoint
+    folder so that using it twice (count, then join) does not recount.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > hot_rows).select(
+        key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("bigint").alias("_buckets")
+    )
+    ensure_checkpoint_dir(df.sparkSession)
+    return hot.checkpoint(eager=True)
+
+
+def salt_hot_keys(
+    df: DataFrame,
+    key: str,
+    row_id: str,
+    hot_rows: int = 1_000_000,
+    max_broadcast_keys: int = 1_000_000,
+    salt_col: str = "_salt",
+) -> DataFrame:
+    """``df`` plus ``salt_col``: 0 for ordinary keys, a hash bucket for hot ones.
+
+    The hot-key list is broadcast only after counting it (at most
+    ``max_broadcast_keys`` entries); a longer list is joined by a shuffle. The
+    salt is a hash of ``row_id``, so a row lands in the same bucket on retry.
+    """
+    hot = hot_keys(df, key, hot_rows)
+    side = F.broadcast(hot) if hot.count() <= max_broadcast_keys else hot
+    salt = F.when(F.col("_buckets").isNull(), F.lit(0).cast("bigint")).otherwise(
+        F.pmod(F.xxhash64(row_id), F.col("_buckets"))
+    )
+    return df.join(side, key, "left").withColumn(salt_col, salt).drop("_buckets")

@@ -90,7 +90,7 @@ def test_user_top_all_matches_plain_window_under_skew(spark):
     rows = [(i, 0 if i % 3 else (i % 11), i % 17, float((i * 7) % 13), NOW) for i in range(3000)]
     rows.append((5000, 3, 1, float("nan"), NOW))
     p = _p(spark, rows)
-    got = {(r["userId"], r["rank"]): r["event_id"] for r in D.user_top_all(p, 5, salt_buckets=8).collect()}
+    got = {(r["userId"], r["rank"]): r["event_id"] for r in D.user_top_all(p, 5, hot_rows=100).collect()}
     key = F.nanvl("prediction", F.lit(None).cast("double")).desc_nulls_last()
     w = Window.partitionBy("userId").orderBy(key, F.col("event_id"))
     ref = p.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")

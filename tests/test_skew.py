@@ -65,5 +65,20 @@ def test_aggregates_stay_exact_under_skew(spark, skew_conf):
     }
     assert stats.keys() == plain.keys()
     assert all(stats[k][0] == plain[k][0] and abs(stats[k][1] - plain[k][1]) < 1e-12 for k in plain)
-    top = D.user_top_all(df, 3, salt_buckets=16).filter("userId = 0").orderBy("rank").collect()
+    top = D.user_top_all(df, 3, hot_rows=50, max_broadcast_users=0).filter("userId = 0").orderBy("rank").collect()
     assert [r["prediction"] for r in top] == [12.0, 12.0, 12.0]
+
+
+def test_hot_keys_get_enough_buckets(spark):
+    from ratelake.operators.skew import salt_hot_keys
+
+    df = _skewed(spark, 3000)  # user 0 has 1000 rows, the others about 21 each
+    salted = salt_hot_keys(df, "userId", "event_id", hot_rows=100)
+    per_user = {r["userId"]: r["n"] for r in salted.groupBy("userId").agg(F.countDistinct("_salt").alias("n")).collect()}
+    assert per_user[0] == 10 and all(n == 1 for u, n in per_user.items() if u != 0)
+    biggest = salted.groupBy("userId", "_salt").count().agg(F.max("count")).first()[0]
+    assert biggest < 200
+    assert salted.count() == 3000
+    # a list longer than the broadcast bound is joined by a shuffle, same result
+    shuffled = salt_hot_keys(df, "userId", "event_id", hot_rows=100, max_broadcast_keys=0)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, salted.collect()))
