@@ -195,5 +195,6 @@ def user_top_all(
     local = salted.withColumn(
         "_r", F.row_number().over(Window.partitionBy("userId", "_salt").orderBy(*order))
     ).filter(F.col("_r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("userId").orderBy(*order)))
+    rank = F.row_number().over(Window.partitionBy("userId").orderBy(*order)).cast("bigint")
+    ranked = local.withColumn("rank", rank)
     return ranked.filter(F.col("rank") <= k).select("userId", "rank", tie, "movieId", "prediction")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelake.functions.columns import genre_array, parse_timestamp, rating_year
 from ratelake.schemas import CSV_TIMESTAMP_FORMAT
@@ -21,8 +22,14 @@ def join_items(movies: DataFrame, ratings: DataFrame, key: str = "movieId") -> D
 
 
 def enrich(df: DataFrame, genres: str = "genres", time_col: str = "timestamp") -> DataFrame:
-    """Add ``genres_array``, ``rating_date`` and ``rating_year``: narrow, no shuffle."""
-    ts = F.to_timestamp(F.col(time_col))
+    """Add ``genres_array``, ``rating_date`` and ``rating_year``: narrow, no shuffle.
+
+    A time column that is already a timestamp (with or without zone) is kept
+    as it is; text is converted with ``to_timestamp``.
+    """
+    dtype = df.schema[time_col].dataType
+    is_ts = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+    ts = F.col(time_col) if is_ts else F.to_timestamp(F.col(time_col))
     return df.withColumns(
         {
             "genres_array": genre_array(genres),
@@ -33,10 +40,19 @@ def enrich(df: DataFrame, genres: str = "genres", time_col: str = "timestamp") -
 
 
 def parse_times(
-    df: DataFrame, text_col: str, out_col: str, fmt: str | None = CSV_TIMESTAMP_FORMAT
+    df: DataFrame,
+    text_col: str,
+    out_col: str,
+    fmt: str | None = CSV_TIMESTAMP_FORMAT,
+    wall_clock: bool = False,
 ) -> DataFrame:
-    """Parse a text timestamp column (``fmt=None``: ISO forms); bad text becomes null, not an error."""
-    return df.withColumn(out_col, parse_timestamp(text_col, fmt))
+    """Parse a text timestamp column (``fmt=None``: ISO forms); bad text becomes null, not an error.
+
+    ``wall_clock=True`` returns ``timestamp_ntz`` (the text's local time, no
+    zone), the type of zone-less source tables.
+    """
+    parsed = parse_timestamp(text_col, fmt)
+    return df.withColumn(out_col, parsed.cast("timestamp_ntz") if wall_clock else parsed)
 
 
 def build_enriched(movies: DataFrame, ratings: DataFrame, time_col: str = "timestamp") -> DataFrame:

@@ -82,7 +82,7 @@ def q_parse_timestamp(spark, d):
         F.col("o_orderstatus") == "P", F.date_format("o_orderdate", "dd/MM/yyyy")
     ).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     raw = orders.select("o_orderkey", text.alias("ts_text"))
-    return E.parse_times(raw, "ts_text", "parsed_ts")
+    return E.parse_times(raw, "ts_text", "parsed_ts", wall_clock=True)
 
 
 def q_rating_distribution(spark, d):

@@ -55,10 +55,15 @@ def _drain(df: DataFrame, spark: SparkSession, label: str, partition_by=None) ->
     return out
 
 
+def _wall_clock(df: DataFrame) -> DataFrame:
+    # Message times parse as zoned timestamps; the source table's are zone-less.
+    return df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 def q_stream_parse(spark: SparkSession, d: str) -> DataFrame:
     parsed = SM.parse_messages(_event_messages(spark, d))
     out = _drain(parsed, spark, "parse")
-    return spark.read.parquet(out)
+    return _wall_clock(spark.read.parquet(out))
 
 
 def _score_into_store(spark: SparkSession, d: str) -> str:
@@ -73,7 +78,7 @@ def _score_into_store(spark: SparkSession, d: str) -> str:
 
 def q_stream_score_sink(spark: SparkSession, d: str) -> DataFrame:
     back = spark.read.parquet(_score_into_store(spark, d))
-    return back.withColumn("prediction", F.round("prediction", 6))
+    return _wall_clock(back).withColumn("prediction", F.round("prediction", 6))
 
 
 def q_store_trends_24h(spark: SparkSession, d: str) -> DataFrame:
