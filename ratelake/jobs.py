@@ -138,6 +138,10 @@ def start_scoring(
 ) -> list[StreamingQuery]:
     """Stream scoring into the prediction store, malformed messages to a reject table."""
     model = TB.load_model(model_path)
+    # The factor tables are read by every micro-batch: keep them cached and fix
+    # their join strategy once from their measured size.
+    user_f, item_f = model.userFactors.persist(), model.itemFactors.persist()
+    scorer = M.factor_scorer(user_f, item_f, cold_start=model.getColdStartStrategy())
     raw = SM.message_stream(
         spark, source_format, source_options, starting_offsets, schema=source_schema,
         min_partitions=min_partitions,
@@ -145,8 +149,8 @@ def start_scoring(
     parsed = SM.parse_messages(SM.decode_messages(raw))
     valid, rejected = SM.split_valid(parsed)
     scored = (
-        SM.score_stream(valid, model.transform)
-        .select("userId", "movieId", "prediction", "timestamp")
+        SM.score_stream(valid, scorer)
+        .select("userId", "movieId", F.col("prediction").cast("float").alias("prediction"), "timestamp")
         .withColumn("event_date", F.to_date("timestamp"))
     )
     trig = trigger or {"processingTime": "2 seconds"}

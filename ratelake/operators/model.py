@@ -103,22 +103,69 @@ def score_factors(
     item_col: str = "movieId",
     cold_start: str = "nan",
     out_col: str = "prediction",
+    broadcast_users: bool = False,
+    broadcast_items: bool = False,
 ) -> DataFrame:
     """``df`` + dot(user vector, item vector), the ALS scoring plan as joins.
 
-    Two left equi-joins on the ids. No broadcast hint: factor tables grow with
-    the number of users and items; Catalyst/AQE broadcast them only when their
-    measured size is under the threshold, else shuffle both sides on the id.
-    ``cold_start="nan"`` keeps unknown ids with a null score, ``"drop"``
-    removes them.
+    Two left equi-joins on the ids. By default no broadcast hint: factor
+    tables grow with the number of users and items; Catalyst/AQE broadcast
+    them only when their measured size is under the threshold, else shuffle
+    both sides on the id. ``factor_scorer`` sets the ``broadcast_*`` flags
+    after measuring the tables. ``cold_start="nan"`` keeps unknown ids with a
+    null score, ``"drop"`` removes them.
     """
     u = user_factors.select(F.col("id").alias("_uid"), F.col("features").alias("_uf"))
     i = item_factors.select(F.col("id").alias("_iid"), F.col("features").alias("_if"))
+    u = F.broadcast(u) if broadcast_users else u
+    i = F.broadcast(i) if broadcast_items else i
     how = "inner" if cold_start == "drop" else "left"
     scored = df.join(u, df[user_col] == u["_uid"], how).join(i, F.col(item_col) == i["_iid"], how)
     return scored.withColumn(out_col, dot("_uf", "_if")).drop("_uid", "_uf", "_iid", "_if")
 
 
+# Bytes per factor row besides the vector's floats (id, array header, row overhead).
+FACTOR_ROW_OVERHEAD = 48
+
+
+def factor_bytes(factors: DataFrame) -> int:
+    """In-memory size bound of an ``id, features`` table, from one aggregate pass."""
+    per_row = F.size("features").cast("long") * 4 + FACTOR_ROW_OVERHEAD
+    return factors.agg(F.sum(per_row).alias("b")).first()["b"] or 0
+
+
+def factor_scorer(
+    user_factors: DataFrame,
+    item_factors: DataFrame,
+    max_broadcast_bytes: int = 256 << 20,
+    cold_start: str = "nan",
+    user_col: str = "userId",
+    item_col: str = "movieId",
+):
+    """A scoring function for streams, with join strategies fixed up front.
+
+    Inside a micro-batch AQE is off, so a stream-static join is planned from
+    static size estimates, and a factor table above the broadcast threshold is
+    shuffled again in every micro-batch. Here each factor table is measured
+    once (``factor_bytes``: a bound computed from the rows, not an estimate)
+    and broadcast when it is at most ``max_broadcast_bytes``; a larger table is
+    joined by a shuffle. Pass cached factor tables when the scorer serves a
+    long-running stream.
+    """
+    flags = {
+        "broadcast_users": factor_bytes(user_factors) <= max_broadcast_bytes,
+        "broadcast_items": factor_bytes(item_factors) <= max_broadcast_bytes,
+    }
+
+    def scorer(df: DataFrame) -> DataFrame:
+        return score_factors(
+            df, user_factors, item_factors, user_col=user_col, item_col=item_col, cold_start=cold_start, **flags
+        )
+
+    scorer.flags = flags
+    return scorer
+
+
 def model_factors(model: ALSModel) -> tuple[DataFrame, DataFrame]:
     """(user factors, item factors) as ``id, features`` tables."""
     return model.userFactors, model.itemFactors

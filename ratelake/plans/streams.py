@@ -8,8 +8,6 @@ Each run uses fresh output and checkpoint folders in the shared scratch area.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +69,7 @@ def _score_into_store(spark: SparkSession, d: str) -> str:
     parsed = SM.parse_messages(_event_messages(spark, d))
     valid, _rejected = SM.split_valid(parsed)
     f = FX.factors(spark, d)
-    scorer = partial(M.score_factors, user_factors=f, item_factors=f, cold_start="nan")
+    scorer = M.factor_scorer(f, f, cold_start="nan")
     scored = SM.score_stream(valid, scorer).withColumn("event_date", F.to_date("timestamp"))
     return _drain(scored, spark, "score", partition_by=["event_date"])
 

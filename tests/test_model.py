@@ -101,3 +101,18 @@ def test_unknown_ids_score_null_with_factor_tables(spark):
     got = {(r["userId"], r["movieId"]): r["prediction"] for r in M.score_factors(df, f, f).collect()}
     assert got == {(1, 2): 1.5, (1, 3): None, (None, 2): None}
     assert M.score_factors(df, f, f, cold_start="drop").count() == 1
+
+
+def test_factor_scorer_broadcasts_only_under_the_bound(fitted):
+    model, _, test = fitted
+    uf, itf = M.model_factors(model)
+    small = M.factor_scorer(uf, itf)
+    assert small.flags == {"broadcast_users": True, "broadcast_items": True}
+    plan = small(test)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2
+    assert M.factor_bytes(uf) == 40 * (2 * 4 + M.FACTOR_ROW_OVERHEAD)
+    tight = M.factor_scorer(uf, itf, max_broadcast_bytes=0)
+    assert tight.flags == {"broadcast_users": False, "broadcast_items": False}
+    a = sorted((r["userId"], r["movieId"], round(r["prediction"], 9)) for r in small(test).collect())
+    b = sorted((r["userId"], r["movieId"], round(r["prediction"], 9)) for r in tight(test).collect())
+    assert a == b
