@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
 
     d = sub.add_parser("dashboard", help="print the dashboard queries over the prediction store")
     d.add_argument("--store", required=True)
-    d.add_argument("--as-of", default=None, help="ISO time ending the 24 h window (default: newest row)")
+    d.add_argument("--as-of", default=None, help="ISO time ending the 24 h window, or 'latest' (default: now, UTC)")
 
     args = ap.parse_args(argv)
     spark = build_session(args.master, app_name=f"ratelake-{args.cmd}")
@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         for q in queries:
             q.stop()
     elif args.cmd == "dashboard":
-        as_of = dt.datetime.fromisoformat(args.as_of) if args.as_of else None
+        as_of = args.as_of if args.as_of in (None, "latest") else dt.datetime.fromisoformat(args.as_of)
         for name, df in jobs.dashboard(spark, args.store, as_of=as_of).items():
             print(f"== {name}")
             df.show(20, truncate=False)

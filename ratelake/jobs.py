@@ -166,15 +166,21 @@ def start_scoring(
 def dashboard(
     spark: SparkSession,
     store_path: str,
-    as_of: dt.datetime | None = None,
+    as_of: dt.datetime | str | None = None,
     ts: str = "timestamp",
     tie=("movieId", "userId"),
     date_col: str = "event_date",
 ) -> dict[str, DataFrame]:
-    """The dashboard's queries over the prediction store written by ``start_scoring``."""
+    """The dashboard's queries over the prediction store written by ``start_scoring``.
+
+    ``as_of`` ends the 24-hour window: the current UTC time by default (as the
+    reference does), a given time, or ``"latest"`` for the newest stored row.
+    """
     p = TB.read_table(spark, store_path)
     if as_of is None:
-        as_of = D.resolve_as_of(p, ts) or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        as_of = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    elif as_of == "latest":
+        as_of = D.resolve_as_of(p, ts, date_col) or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     return {
         "stats": D.dash_stats(p),
         "recent": D.latest(p, 10, ts=ts, tie=tie),

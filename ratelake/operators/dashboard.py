@@ -27,8 +27,17 @@ TS = "ts"
 TIE = "event_id"
 
 
-def resolve_as_of(p: DataFrame, ts: str = TS) -> dt.datetime | None:
-    """``max(ts)`` of the table: one column scanned, one row returned."""
+def resolve_as_of(p: DataFrame, ts: str = TS, date_col: str | None = None) -> dt.datetime | None:
+    """``max(ts)`` of the table: one column scanned, one row returned.
+
+    With ``date_col`` (a date partition column) the newest date is found first
+    and ``max(ts)`` is then read from that partition only.
+    """
+    if date_col:
+        newest = p.agg(F.max(date_col).alias("d")).first()["d"]
+        if newest is None:
+            return None
+        p = p.filter(F.col(date_col) == F.lit(newest))
     return p.agg(F.max(ts).alias("m")).first()["m"]
 
 

@@ -101,6 +101,9 @@ def test_user_top_all_matches_plain_window_under_skew(spark):
 def test_resolve_as_of(spark):
     assert D.resolve_as_of(_rows(spark)) == NOW
     assert D.resolve_as_of(_p(spark, [])) is None
+    dated = _rows(spark).withColumn("d", F.to_date("ts"))
+    assert D.resolve_as_of(dated, date_col="d") == NOW
+    assert D.resolve_as_of(dated.limit(0), date_col="d") is None
 
 
 def test_nan_average_propagates(spark):

@@ -81,6 +81,8 @@ def test_programs_end_to_end(spark, tmp_path):
     assert sum(r["n_predictions"] for r in dash["activity"].collect()) == 2
     assert [r["userId"] for r in dash["recent"].collect()][:2] == [1, 3]
     assert os.path.isdir(tmp_path / "store" / "event_date=2024-01-30")
+    latest = jobs.dashboard(spark, str(tmp_path / "store"), as_of="latest")
+    assert latest["summary"].first()["active_users_24h"] == 2
 
 
 def test_command_line_count_and_dashboard(spark, tmp_path, capsys):
