@@ -94,13 +94,14 @@ def dash_top_items(p: DataFrame, min_count: int = 5, k: int = 10) -> DataFrame:
     """Top ``k`` items by mean prediction with at least ``min_count`` rows.
 
     Partial aggregation per task, one shuffle on the item id, then a
-    TakeOrderedAndProject (no global sort).
+    TakeOrderedAndProject (no global sort). A NaN or null mean ranks last, as
+    the reference's store sorted NaN below every number.
     """
     return (
         p.groupBy("movieId")
         .agg(F.avg("prediction").alias("average_rating"), F.count(F.lit(1)).alias("total_ratings"))
         .filter(F.col("total_ratings") >= min_count)
-        .orderBy(F.col("average_rating").desc(), F.col("movieId").asc())
+        .orderBy(_desc_score("average_rating"), F.col("movieId").asc())
         .limit(k)
     )
 

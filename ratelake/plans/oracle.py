@@ -63,7 +63,8 @@ def _dash_top(min_count: int) -> str:
     return _with(PREDS) + (
         "SELECT movieId, round(avg(prediction), 6) AS average_rating, count(*) AS total_ratings "
         f"FROM preds GROUP BY movieId HAVING count(*) >= {min_count} "
-        "ORDER BY avg(prediction) DESC, movieId LIMIT 10"
+        "ORDER BY CASE WHEN isnan(avg(prediction)) THEN NULL ELSE avg(prediction) END DESC NULLS LAST, "
+        "movieId LIMIT 10"
     )
 
 
