@@ -130,17 +130,20 @@ def dash_trends(p: DataFrame, as_of, hours: int = 24, ts: str = TS, date_col: st
     )
 
 
-def dash_summary(p: DataFrame, as_of, hours: int = 24, ts: str = TS) -> DataFrame:
+def dash_summary(p: DataFrame, as_of, hours: int = 24, ts: str = TS, approx_users: bool = False) -> DataFrame:
     """``total_predictions, active_users_24h, avg_rating`` in one pass.
 
     The reference issued four store queries; the active-user count is a
-    conditional distinct count inside the same aggregate. An empty table gives
-    0 and a null mean instead of an error. The latest rows are ``latest``.
+    conditional distinct count inside the same aggregate (``approx_users``:
+    a HyperLogLog++ sketch instead). An empty table gives 0 and a null mean
+    instead of an error. The latest rows are ``latest``.
     """
     start = as_of - dt.timedelta(hours=hours)
+    recent_user = F.when(F.col(ts) >= F.lit(start), F.col("userId"))
+    active = F.approx_count_distinct(recent_user) if approx_users else F.count_distinct(recent_user)
     return p.agg(
         F.count(F.lit(1)).alias("total_predictions"),
-        F.count_distinct(F.when(F.col(ts) >= F.lit(start), F.col("userId"))).alias("active_users_24h"),
+        active.alias("active_users_24h"),
         F.avg("prediction").alias("avg_rating"),
     )
 

@@ -61,6 +61,8 @@ def test_activity_and_trends_last_24h(spark):
     assert tr == act
     s = D.dash_summary(p, NOW).first()
     assert s["active_users_24h"] == 2 and s["total_predictions"] == 7
+    assert D.dash_summary(p, NOW, approx_users=True).first()["active_users_24h"] == 2
+    assert D.dash_stats(p, approx_users=True).first()["unique_users"] == 2
 
 
 def test_latest_tie_break(spark):
