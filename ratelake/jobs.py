@@ -136,7 +136,13 @@ def start_scoring(
     trigger: dict | None = None,
     source_schema=None,
 ) -> list[StreamingQuery]:
-    """Stream scoring into the prediction store, malformed messages to a reject table."""
+    """Stream scoring into the prediction store, malformed messages to a reject table.
+
+    Both sinks are checkpointed file sinks (exactly once across restarts and
+    lost executors). For Kafka, ``maxOffsetsPerTrigger`` in ``source_options``
+    bounds each micro-batch, and ``min_partitions`` spreads a topic with few
+    partitions over more tasks.
+    """
     model = TB.load_model(model_path)
     # The factor tables are read by every micro-batch: keep them cached and fix
     # their join strategy once from their measured size.

@@ -129,6 +129,11 @@ def start_stream(
     any other format; ``foreach_batch`` is for external stores only. File and
     batch-function sinks require a checkpoint. ``trigger`` is passed through,
     e.g. ``{"processingTime": "2 seconds"}`` or ``{"availableNow": True}``.
+
+    After a failure a micro-batch is replayed with the same epoch id: the file
+    sink commits each epoch once, while a ``foreach_batch`` function must make
+    its write idempotent per epoch id (for example overwrite a folder named
+    after it, or upsert on a key).
     """
     writer = df.writeStream.outputMode(output_mode)
     if foreach_batch is not None:
