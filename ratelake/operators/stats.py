@@ -11,8 +11,9 @@ Two forms of each statistic:
   Catalyst does not push aggregates below joins by itself.
 
 Inner-join semantics are kept exactly: ratings with no item are dropped, and
-if an item id appears k times in the item table its ratings count k times
-(``_multiplicity``), just as the joined relation would count them.
+if an item id appears k times in the item table its ratings count k times,
+because the pre-aggregated rows are joined to the item ids themselves
+(``_item_ids``) and so repeat once per matching item row.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ ITEM = "movieId"
 RATING = "rating"
 
 
-def _multiplicity(movies: DataFrame) -> DataFrame:
-    """``movieId, mult``: how many item rows each id joins to."""
-    return movies.groupBy(ITEM).agg(F.count(F.lit(1)).alias("mult"))
+def _item_ids(movies: DataFrame) -> DataFrame:
+    """The item table's id column: one row per item row, duplicates kept."""
+    return movies.select(ITEM)
 
 
 def _ratio(num: str, den: str):
@@ -91,12 +92,8 @@ def top_rated(stats: DataFrame, min_count: int = 10, k: int = 10) -> DataFrame:
 def rating_distribution(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """``rating, n_ratings`` ordered by rating."""
     per_item = ratings.groupBy(ITEM, RATING).agg(F.count(F.lit(1)).alias("n"))
-    joined = per_item.join(_multiplicity(movies), ITEM, "inner")
-    return (
-        joined.groupBy(RATING)
-        .agg(F.sum(F.col("n") * F.col("mult")).alias("n_ratings"))
-        .orderBy(RATING)
-    )
+    joined = per_item.join(_item_ids(movies), ITEM, "inner")
+    return joined.groupBy(RATING).agg(F.sum("n").alias("n_ratings")).orderBy(RATING)
 
 
 def rating_distribution_enriched(enriched: DataFrame) -> DataFrame:
@@ -107,7 +104,7 @@ def rating_stats(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """``mean_rating, stddev_rating`` (sample), ``min_rating, max_rating``.
 
     Built from the per-value distribution: ratings are pre-aggregated per
-    (item, rating value), joined to the item multiplicities, and the moments
+    (item, rating value), joined to the item ids (one copy per item row), and the moments
     are taken over (value, weight) pairs. Rating scales are narrow (mean^2 is
     of the order of the variance), so the sum-of-squares form is stable here.
     """
@@ -115,8 +112,8 @@ def rating_stats(ratings: DataFrame, movies: DataFrame) -> DataFrame:
         ratings.filter(F.col(RATING).isNotNull())
         .groupBy(ITEM, RATING)
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(_multiplicity(movies), ITEM, "inner")
-        .select(F.col(RATING).cast("double").alias("r"), (F.col("n") * F.col("mult")).alias("w"))
+        .join(_item_ids(movies), ITEM, "inner")
+        .select(F.col(RATING).cast("double").alias("r"), F.col("n").alias("w"))
     )
     moments = dist.agg(
         F.sum("w").alias("n"),
@@ -148,13 +145,10 @@ def yearly_stats(ratings: DataFrame, movies: DataFrame, time_col: str = "timesta
     per_item = ratings.groupBy(ITEM, rating_year(F.col(time_col)).alias("rating_year")).agg(
         F.count(RATING).alias("c"), F.sum(F.col(RATING).cast("double")).alias("s")
     )
-    joined = per_item.join(_multiplicity(movies), ITEM, "inner")
+    joined = per_item.join(_item_ids(movies), ITEM, "inner")
     return (
         joined.groupBy("rating_year")
-        .agg(
-            F.sum(F.col("c") * F.col("mult")).alias("n_ratings"),
-            F.sum(F.col("s") * F.col("mult")).alias("s"),
-        )
+        .agg(F.sum("c").alias("n_ratings"), F.sum("s").alias("s"))
         .select("rating_year", "n_ratings", _ratio("s", "n_ratings").alias("avg_rating"))
         .orderBy("rating_year")
     )
