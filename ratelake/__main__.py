@@ -48,6 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--enriched", required=True)
     t.add_argument("--model", required=True)
     t.add_argument("--config", default="A", choices=sorted(jobs.ALS_CONFIGS))
+    t.add_argument("--blocks", type=int, default=None, help="ALS user/item blocks (default: MLlib's 10)")
 
     s = sub.add_parser("score-stream", help="score a message stream into the prediction store")
     s.add_argument("--model", required=True)
@@ -75,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"== {name}")
             df.show(20, truncate=False)
     elif args.cmd == "train":
-        _, err = jobs.train_model(spark, args.enriched, args.model, config=args.config)
+        _, err = jobs.train_model(spark, args.enriched, args.model, config=args.config, blocks=args.blocks)
         err.show()
     elif args.cmd == "score-stream":
         offsets = None if args.starting_offsets == "default" else args.starting_offsets

@@ -104,6 +104,7 @@ def train_model(
     model_path: str | None = None,
     config: str = "A",
     seed: int | None = 42,
+    blocks: int | None = None,
 ) -> tuple[ALSModel, DataFrame]:
     """Fit one of the reference's ALS configurations; returns (model, one-row RMSE).
 
@@ -111,11 +112,20 @@ def train_model(
     lost executor cannot move a rating between train and test. RMSE is taken
     over scored rows only (unscored rows are dropped under either cold-start
     setting).
+
+    ``blocks`` sets both ALS block counts. The configurations keep MLlib's
+    default of 10 (as the reference ran them; the block layout also seeds the
+    initial factors, so results shift slightly with it), which bounds every
+    ALS step to 10 tasks: on a large cluster pass about the number of task
+    slots.
     """
     data = TB.read_table(spark, enriched_path).select("userId", "movieId", "rating")
     key = F.xxhash64("userId", "movieId")
     train, test = M.key_split(data, key)
-    model = M.train(train, seed=seed, **ALS_CONFIGS[config])
+    cfg = dict(ALS_CONFIGS[config])
+    if blocks:
+        cfg.update(num_user_blocks=blocks, num_item_blocks=blocks)
+    model = M.train(train, seed=seed, **cfg)
     scored = M.drop_unscored(M.score(model, test))
     if model_path:
         TB.save_model(model, model_path)
