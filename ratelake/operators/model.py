@@ -145,17 +145,26 @@ def factor_scorer(
     """A scoring function for streams, with join strategies fixed up front.
 
     Inside a micro-batch AQE is off, so a stream-static join is planned from
-    static size estimates, and a factor table above the broadcast threshold is
-    shuffled again in every micro-batch. Here each factor table is measured
-    once (``factor_bytes``: a bound computed from the rows, not an estimate)
-    and broadcast when it is at most ``max_broadcast_bytes``; a larger table is
-    joined by a shuffle. Pass cached factor tables when the scorer serves a
-    long-running stream.
+    static size estimates, and a factor table above the broadcast threshold
+    would be shuffled again in every micro-batch. Here each factor table is
+    measured once (``factor_bytes``: a bound computed from the rows, not an
+    estimate). A table of at most ``max_broadcast_bytes`` is broadcast. A
+    larger one is hash-partitioned by id into ``spark.sql.shuffle.partitions``
+    parts and cached once, so each micro-batch shuffles only its own rows to
+    meet it and the factor table stays in place.
     """
-    flags = {
-        "broadcast_users": factor_bytes(user_factors) <= max_broadcast_bytes,
-        "broadcast_items": factor_bytes(item_factors) <= max_broadcast_bytes,
-    }
+    parts = int(user_factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def place(f: DataFrame) -> tuple[DataFrame, bool]:
+        if factor_bytes(f) <= max_broadcast_bytes:
+            return f, True
+        laid_out = f.repartition(parts, "id").persist()
+        laid_out.count()
+        return laid_out, False
+
+    user_factors, bu = place(user_factors)
+    item_factors, bi = place(item_factors)
+    flags = {"broadcast_users": bu, "broadcast_items": bi}
 
     def scorer(df: DataFrame) -> DataFrame:
         return score_factors(

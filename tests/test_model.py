@@ -116,3 +116,23 @@ def test_factor_scorer_broadcasts_only_under_the_bound(fitted):
     a = sorted((r["userId"], r["movieId"], round(r["prediction"], 9)) for r in small(test).collect())
     b = sorted((r["userId"], r["movieId"], round(r["prediction"], 9)) for r in tight(test).collect())
     assert a == b
+
+
+def test_large_factor_tables_stay_in_place(spark, fitted):
+    model, _, test = fitted
+    uf, itf = M.model_factors(model)
+    # as inside a micro-batch (no AQE), with tables too large to broadcast
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        scorer = M.factor_scorer(uf, itf, max_broadcast_bytes=0)
+        plan = scorer(test)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # only the scored rows are shuffled (once per join); the factor tables are
+    # read from their cached, id-partitioned layout
+    assert plan.count("ENSURE_REQUIREMENTS") == 2
+    assert plan.count("InMemoryTableScan") == 2
