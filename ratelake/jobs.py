@@ -154,10 +154,9 @@ def start_scoring(
     partitions over more tasks.
     """
     model = TB.load_model(model_path)
-    # The factor tables are read by every micro-batch: keep them cached and fix
-    # their join strategy once from their measured size.
-    user_f, item_f = model.userFactors.persist(), model.itemFactors.persist()
-    scorer = M.factor_scorer(user_f, item_f, cold_start=model.getColdStartStrategy())
+    # The factor tables are read by every micro-batch: the scorer caches them
+    # and fixes their join strategy once from their measured size.
+    scorer = M.factor_scorer(model.userFactors, model.itemFactors, cold_start=model.getColdStartStrategy())
     raw = SM.message_stream(
         spark, source_format, source_options, starting_offsets, schema=source_schema,
         min_partitions=min_partitions,

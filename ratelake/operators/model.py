@@ -148,19 +148,18 @@ def factor_scorer(
     static size estimates, and a factor table above the broadcast threshold
     would be shuffled again in every micro-batch. Here each factor table is
     measured once (``factor_bytes``: a bound computed from the rows, not an
-    estimate). A table of at most ``max_broadcast_bytes`` is broadcast. A
-    larger one is hash-partitioned by id into ``spark.sql.shuffle.partitions``
-    parts and cached once, so each micro-batch shuffles only its own rows to
-    meet it and the factor table stays in place.
+    estimate) and cached. A table of at most ``max_broadcast_bytes`` is
+    broadcast from the cache. A larger one is cached hash-partitioned by id
+    into ``spark.sql.shuffle.partitions`` parts, so each micro-batch shuffles
+    only its own rows to meet it and the factor table stays in place.
     """
     parts = int(user_factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def place(f: DataFrame) -> tuple[DataFrame, bool]:
-        if factor_bytes(f) <= max_broadcast_bytes:
-            return f, True
-        laid_out = f.repartition(parts, "id").persist()
+        small = factor_bytes(f) <= max_broadcast_bytes
+        laid_out = (f if small else f.repartition(parts, "id")).persist()
         laid_out.count()
-        return laid_out, False
+        return laid_out, small
 
     user_factors, bu = place(user_factors)
     item_factors, bi = place(item_factors)

