@@ -137,7 +137,7 @@ def factor_bytes(factors: DataFrame) -> int:
 def factor_scorer(
     user_factors: DataFrame,
     item_factors: DataFrame,
-    max_broadcast_bytes: int = 256 << 20,
+    max_broadcast_bytes: int = 8 << 20,
     cold_start: str = "nan",
     user_col: str = "userId",
     item_col: str = "movieId",
@@ -152,6 +152,10 @@ def factor_scorer(
     broadcast from the cache. A larger one is cached hash-partitioned by id
     into ``spark.sql.shuffle.partitions`` parts, so each micro-batch shuffles
     only its own rows to meet it and the factor table stays in place.
+
+    The bound is small on purpose: a stream rebuilds its broadcasts in every
+    micro-batch and ships them to every executor, so on a large cluster only
+    small tables are cheaper to broadcast than to leave in place.
     """
     parts = int(user_factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
