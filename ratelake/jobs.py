@@ -161,10 +161,11 @@ def start_scoring(
         spark, source_format, source_options, starting_offsets, schema=source_schema,
         min_partitions=min_partitions,
     )
-    parsed = SM.parse_messages(SM.decode_messages(raw))
+    # the raw text rides along so that rejected rows keep what could not be parsed
+    parsed = SM.parse_messages(SM.decode_messages(raw), keep=("value",))
     valid, rejected = SM.split_valid(parsed)
     scored = (
-        SM.score_stream(valid, scorer)
+        SM.score_stream(valid.drop("value"), scorer)
         .select("userId", "movieId", F.col("prediction").cast("float").alias("prediction"), "timestamp")
         .withColumn("event_date", F.to_date("timestamp"))
     )

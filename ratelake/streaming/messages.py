@@ -69,9 +69,20 @@ def decode_messages(df: DataFrame, columns: Iterable[str] = ("key", "value")) ->
     return df.select(*[F.col(c).cast("string").alias(c) for c in present])
 
 
-def parse_messages(df: DataFrame, schema: T.StructType = MESSAGE, value_col: str = "value") -> DataFrame:
-    """JSON text -> typed, flattened rows (PERMISSIVE: bad fields become null)."""
-    return df.select(F.from_json(F.col(value_col).cast("string"), schema).alias("data")).select("data.*")
+def parse_messages(
+    df: DataFrame,
+    schema: T.StructType = MESSAGE,
+    value_col: str = "value",
+    keep: Iterable[str] = (),
+) -> DataFrame:
+    """JSON text -> typed, flattened rows (PERMISSIVE: bad fields become null).
+
+    ``keep`` names input columns carried along (e.g. the raw ``value``, so a
+    reject table can show what could not be parsed).
+    """
+    kept = [F.col(c) for c in keep]
+    parsed = df.select(*kept, F.from_json(F.col(value_col).cast("string"), schema).alias("data"))
+    return parsed.select(*kept, "data.*")
 
 
 def split_valid(

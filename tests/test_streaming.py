@@ -42,6 +42,8 @@ def test_json_shapes(spark):
 def test_split_valid_routes_bad_ids(spark):
     ok, bad = SM.split_valid(SM.parse_messages(_batch(spark)))
     assert ok.count() == 4 and bad.count() == 4
+    _, bad_raw = SM.split_valid(SM.parse_messages(_batch(spark), keep=("value",)))
+    assert "this is not json" in [r["value"] for r in bad_raw.collect()]
 
 
 def test_decode_binary_key_value(spark):
@@ -146,3 +148,14 @@ def test_stream_partitioned_store(spark, tmp_path):
     )
     dates = sorted(str(r["event_date"]) for r in spark.read.parquet(out).collect())
     assert dates == ["2023-11-14", "2024-01-30"]
+
+
+def test_json_is_parsed_once_after_the_id_filter(spark):
+    ok, _ = SM.split_valid(SM.parse_messages(_batch(spark), keep=("value",)))
+    plan = ok._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+    # without the observe barrier Catalyst would push the filter below the
+    # parse and evaluate from_json once per filtered field as well
+    flat = SM.parse_messages(_batch(spark))
+    pushed = flat.filter("userId is not null and movieId is not null")
+    assert pushed._jdf.queryExecution().executedPlan().toString().count("from_json(") > 1
