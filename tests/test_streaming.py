@@ -159,3 +159,16 @@ def test_json_is_parsed_once_after_the_id_filter(spark):
     flat = SM.parse_messages(_batch(spark))
     pushed = flat.filter("userId is not null and movieId is not null")
     assert pushed._jdf.queryExecution().executedPlan().toString().count("from_json(") > 1
+
+
+def test_min_partitions_spreads_a_single_partition_source(spark, tmp_path):
+    src = str(tmp_path / "src")
+    _write_json_lines(src, [m for m in MESSAGES if m is not None] * 5, "p.json")
+    stream = SM.message_stream(spark, fmt="json", schema="value string", path=src, min_partitions=4)
+    parsed = SM.parse_messages(stream).withColumn("part", F.spark_partition_id())
+    out = str(tmp_path / "out")
+    SM.run_available(
+        SM.start_stream(parsed, path=out, checkpoint=str(tmp_path / "ck"), trigger={"availableNow": True})
+    )
+    back = spark.read.parquet(out)
+    assert back.count() == 35 and back.select("part").distinct().count() == 4
