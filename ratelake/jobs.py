@@ -79,7 +79,7 @@ def prepare_ratings(
     movies, ratings = TB.read_table(spark, movies_path), TB.read_table(spark, ratings_path)
     clean = Q.valid_ratings(ratings, lo, hi)
     enriched = E.build_enriched(movies, clean)
-    TB.write_table(enriched, out_path, partition_by=["rating_year"])
+    TB.write_table(enriched, out_path, partition_by=["rating_year"], sort_within=["movieId"])
     stats = S.item_stats(clean, movies)
     out = {f"movies_{k}": v for k, v in profile(movies).items()}
     out.update({f"ratings_{k}": v for k, v in profile(ratings).items()})

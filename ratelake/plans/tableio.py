@@ -37,7 +37,7 @@ def q_parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Enriched table -> Parquet partitioned by year -> read back, counted per year."""
     path = scratch_path(spark, "parquet")
     enriched = E.build_enriched(FX.movies(spark, d), FX.ratings(spark, d), time_col="ts")
-    TB.write_table(enriched, path, partition_by=["rating_year"])
+    TB.write_table(enriched, path, partition_by=["rating_year"], sort_within=["movieId"])
     back = TB.read_table(spark, path)
     return back.groupBy(F.col("rating_year").cast("bigint").alias("rating_year")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("rating").alias("sum_rating")

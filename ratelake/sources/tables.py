@@ -78,6 +78,7 @@ def write_table(
     mode: str = "overwrite",
     partition_by: Sequence[str] | None = None,
     fmt: str = "parquet",
+    sort_within: Sequence[str] | None = None,
 ) -> str:
     """Write a table; partitioning by a date/year column enables pruning later.
 
@@ -86,9 +87,15 @@ def write_table(
     tasks sized to the advisory partition size, instead of every upstream task
     leaving a small file in every directory; a hot partition value is split
     across several tasks rather than landing on one.
+
+    ``sort_within`` sorts each task's rows (no shuffle) so that Parquet's
+    per-row-group min/max statistics on those columns let later filters skip
+    row groups.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    if sort_within:
+        df = df.sortWithinPartitions(*(list(partition_by or []) + list(sort_within)))
     writer = df.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

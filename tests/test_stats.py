@@ -166,6 +166,6 @@ def test_csv_permissive_bad_field_becomes_null(spark, tmp_path):
 def test_parquet_write_partitioned_and_verify(spark, tmp_path):
     path = str(tmp_path / "enriched")
     ratings = _ratings(spark, [(1, 1, 3.0, T0), (2, 5, 4.0, dt.datetime(1999, 1, 1))])
-    TB.write_table(E.build_enriched(_movies(spark), ratings), path, partition_by=["rating_year"])
+    TB.write_table(E.build_enriched(_movies(spark), ratings), path, partition_by=["rating_year"], sort_within=["movieId"])
     assert TB.verify_table(spark, path).first()["n_rows"] == 2
     assert {r["rating_year"] for r in TB.read_table(spark, path).collect()} == {1999, 2001}
