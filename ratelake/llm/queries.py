@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelake.llm import mixing, ring
+from ratelake.llm import imi, mixing, ring, simhash
 from ratelake.llm.common import read_table
 
 
+def op1_inverted_multi_index(spark: SparkSession, d: str) -> DataFrame:
+    return imi.search(read_table(spark, d, "embeddings"), every=50, k=5)
+
+
 def op3_ring_shards(spark: SparkSession, d: str) -> DataFrame:
     return ring.shard_report(read_table(spark, d, "documents"), shards=24)
 
@@ -16,9 +20,15 @@ def op4_temperature_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(read_table(spark, d, "documents"), max_repeats=1.5)
 
 
+def op5_covering_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, d, "documents"), width=4, seed=42, radius=4)
+
+
 QUERIES = {
+    "op1_inverted_multi_index": op1_inverted_multi_index,
     "op3_ring_shards": op3_ring_shards,
     "op4_temperature_mix": op4_temperature_mix,
+    "op5_covering_simhash": op5_covering_simhash,
 }
 
 ORACLE: dict[str, str] = {}
