@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelake.llm import credentials, imi, licences, mixing, ring, simhash
+from ratelake.llm import credentials, imi, langid, licences, mixing, ring, simhash
 from ratelake.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op5_covering_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, d, "documents"), width=4, seed=42, radius=4)
 
 
+def op6_word_backoff_language(spark: SparkSession, d: str) -> DataFrame:
+    return langid.language_report(read_table(spark, d, "documents"))
+
+
 def op7_guess_cost_secrets(spark: SparkSession, d: str) -> DataFrame:
     return credentials.span_report(read_table(spark, d, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op3_ring_shards": op3_ring_shards,
     "op4_temperature_mix": op4_temperature_mix,
     "op5_covering_simhash": op5_covering_simhash,
+    "op6_word_backoff_language": op6_word_backoff_language,
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
     "op9_conditional_compression": op9_conditional_compression,
 }
