@@ -18,7 +18,6 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -54,8 +53,11 @@ MOST_DIFFERENT = 0.25  # share of the template's words that may differ
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 
-@lru_cache(maxsize=1)
-def _compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
+Tools = tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]
+
+
+def compressors() -> Tools:
+    """One compressor without a dictionary and one for each template; made once per task."""
     make = lambda t: zstandard.ZstdCompressor(
         level=19,
         dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
@@ -89,9 +91,9 @@ def blocks(text: str | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def savings(block: str) -> list[tuple[float, str]]:
+def savings(block: str, tools: Tools) -> list[tuple[float, str]]:
     """(share saved, template), best first."""
-    plain, by_name = _compressors()
+    plain, by_name = tools
     raw = block.encode()
     alone = len(plain.compress(raw))
     got = [(1 - len(c.compress(raw)) / alone, name) for name, c in by_name.items()]
@@ -118,14 +120,14 @@ def wording(block: str, template: str) -> tuple[int, int, int, list[str]]:
     return found[first.b][1], found[last.b + last.size - 1][2], n, said
 
 
-def find_notices(text: str | None) -> list[tuple[int, int, str, float, int, str]]:
+def find_notices(text: str | None, tools: Tools) -> list[tuple[int, int, str, float, int, str]]:
     """(start, end, license, saving, differing words, differences) of the confirmed blocks."""
     out = []
     for a, b in blocks(text):
         block = text[a:b]
         for line_a, line_b in _notices_in(block):
             part = block[line_a:line_b]
-            for saving, name in savings(part)[:3]:
+            for saving, name in savings(part, tools)[:3]:
                 if saving < LEAST_SAVING:
                     break
                 s, e, n, said = wording(part, TEMPLATES[name])
@@ -152,8 +154,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per confirmed notice: doc_id, start, end, license, saving, n_diffs, diffs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tools = compressors()
         for f in frames:
-            rows = [(doc, *hit) for doc, t in zip(f["doc_id"], f["t"], strict=True) for hit in find_notices(t)]
+            rows = [(doc, *hit) for doc, t in zip(f["doc_id"], f["t"], strict=True) for hit in find_notices(t, tools)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "license", "saving", "n_diffs", "diffs"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("t")).mapInPandas(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelake.llm import credentials, imi, langid, licences, mixing, ring, simhash
+from ratelake.llm import credentials, imi, langid, licences, lpf, mixing, ring, simhash
 from ratelake.llm.common import read_table
 
 
@@ -32,6 +32,10 @@ def op7_guess_cost_secrets(spark: SparkSession, d: str) -> DataFrame:
     return credentials.span_report(read_table(spark, d, "documents"))
 
 
+def op8_longest_previous_factor(spark: SparkSession, d: str) -> DataFrame:
+    return lpf.repeat_report(read_table(spark, d, "documents"), length=400)
+
+
 def op9_conditional_compression(spark: SparkSession, d: str) -> DataFrame:
     return licences.scan(read_table(spark, d, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_covering_simhash": op5_covering_simhash,
     "op6_word_backoff_language": op6_word_backoff_language,
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
+    "op8_longest_previous_factor": op8_longest_previous_factor,
     "op9_conditional_compression": op9_conditional_compression,
 }
 
