@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelake.llm import credentials, imi, langid, licences, lpf, mixing, ring, simhash
+from ratelake.llm import credentials, decontam, imi, langid, licences, lpf, mixing, ring, simhash
 from ratelake.llm.common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_inverted_multi_index(spark: SparkSession, d: str) -> DataFrame:
     return imi.search(read_table(spark, d, "embeddings"), every=50, k=5)
 
 
+def op2_spaced_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+
+
 def op3_ring_shards(spark: SparkSession, d: str) -> DataFrame:
     return ring.shard_report(read_table(spark, d, "documents"), shards=24)
 
@@ -42,6 +46,7 @@ def op9_conditional_compression(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_ring_shards": op3_ring_shards,
     "op4_temperature_mix": op4_temperature_mix,
     "op5_covering_simhash": op5_covering_simhash,
@@ -51,4 +56,4 @@ QUERIES = {
     "op9_conditional_compression": op9_conditional_compression,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_spaced_seeds": decontam.oracle_sql()}
