@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelake.llm import credentials, decontam, imi, langid, licences, lpf, mixing, ring, simhash
+from ratelake.llm import credentials, decontam, imi, kneser, langid, licences, lpf, mixing, ring, simhash
 from ratelake.llm.common import read_table
 
 
@@ -44,6 +44,10 @@ def op9_conditional_compression(spark: SparkSession, d: str) -> DataFrame:
     return licences.scan(read_table(spark, d, "documents"))
 
 
+def op10_kneser_ney_quality(spark: SparkSession, d: str) -> DataFrame:
+    return kneser.quality_report(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
 QUERIES = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -54,6 +58,7 @@ QUERIES = {
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
     "op8_longest_previous_factor": op8_longest_previous_factor,
     "op9_conditional_compression": op9_conditional_compression,
+    "op10_kneser_ney_quality": op10_kneser_ney_quality,
 }
 
 ORACLE: dict[str, str] = {"op2_spaced_seeds": decontam.oracle_sql()}
