@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.common import saved, small_side, without
+from ratelake.llm.common import saved, small_side
 from ratelake.llm.components import connected_components
 
 BLOCK = 256  # members of a bucket that are compared at once
@@ -124,19 +124,13 @@ def links(prints: DataFrame, radius: int = 4, keys: tuple[str, ...] = ()) -> Dat
         F.array(*[F.xxhash64(*keys, F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
     )
     rows = prints.select(*keys, "fp", tables.alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("fp").alias("a"),
-        F.max("fp").alias("b"),
-        *[F.min(k).alias(k) for k in keys],
-        *[(F.min(k) == F.max(k)).alias(f"__same_{k}") for k in keys],
+    # Nearly every bucket holds one row, so rows are shuffled as they are, without partial sums.
+    sizes = rows.repartition("bucket").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), *[F.min(k).alias(k) for k in keys]
     )
     full = saved(sizes.where("n > 1"))
     bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int")
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(f"__same_{k}")
-    pairs = full.where((F.col("n") == 2) & same).select(*keys, "a", "b", bits.alias("bits")).where(F.col("bits") <= radius)
+    pairs = full.where("n = 2").select(*keys, "a", "b", bits.alias("bits")).where(F.col("bits") <= radius)
     large = full.where("n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     n_large = large.count()
     if not n_large:
@@ -170,6 +164,103 @@ def links(prints: DataFrame, radius: int = 4, keys: tuple[str, ...] = ()) -> Dat
     return pairs.unionByName(sets.mapInArrow(run, schema)).distinct()
 
 
+def signatures(docs: DataFrame, n_prints: int = 3) -> DataFrame:
+    """(doc_id, key, w1, w2, fps) of every row: a key of id and text, a 128-bit hash of the word
+    sequence, and ``n_prints`` independent fingerprints of the set of words."""
+    odd = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)][:n_prints]
+
+    def mixed(h: np.ndarray, m: np.uint64) -> np.ndarray:
+        h = h * m
+        h = (h ^ (h >> np.uint64(32))) * m
+        return h ^ (h >> np.uint64(29))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w1, w2, fps = [], [], []
+            for t in batch.column("t"):
+                words = words_of(t.as_py())
+                joined = b" ".join(words)
+                w1.append(signed(xxhash.xxh64_intdigest(joined, 1)))
+                w2.append(signed(xxhash.xxh64_intdigest(joined, 2)))
+                own = set(words)
+                h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
+                fps.append([signed(majority(mixed(h, m))) for m in odd])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "w1", "w2", "fps"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, key long, w1 long, w2 long, fps array<long>")
+
+
+def row_key() -> Column:
+    """Identifies a document: rows that share id and text are one document."""
+    return F.xxhash64("doc_id", "text")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(cid, s): the sorted distinct shingle hashes of column ``t``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()), width, 42)).view(np.int64) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "s"])
+
+    return docs.select("cid", "t").mapInArrow(run, "cid long, s array<long>")
+
+
+def dropped_keys(docs: DataFrame, similarity: float = 0.8, width: int = 5, n_prints: int = 3, radius: int = 4) -> DataFrame:
+    """(key): the documents to drop so that one document of each group stays.
+
+    Documents of one word sequence are copies. Distinct sequences are linked if one
+    of their fingerprints pairs them and their sets of ``width``-word shingles have
+    a Jaccard similarity of at least ``similarity``, counted exactly. Of a group the
+    smallest doc_id stays (null ids last).
+    """
+    rows = saved(signatures(docs, n_prints))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = saved(
+        rows.groupBy("w1", "w2").agg(F.min(order).alias("low"), F.countDistinct("key").alias("n"), F.first("fps").alias("fps"))
+        .withColumn("cid", F.xxhash64("w1", "w2"))
+    )
+    prints = saved(
+        classes.select("cid", F.posexplode("fps").alias("j", "fp")).groupBy("j", "fp").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n"))
+    )
+    found = links(prints.select("j", "fp"), radius, keys=("j",))
+    lead = prints.select("j", "fp", "lead")
+    between = (
+        found.join(lead.withColumnsRenamed({"fp": "a", "lead": "x"}), ["j", "a"])
+        .join(lead.withColumnsRenamed({"fp": "b", "lead": "y"}), ["j", "b"])
+        .select("x", "y")
+    )
+    shared = prints.where("n > 1").select("j", "fp", "lead")
+    within = classes.select("cid", F.posexplode("fps").alias("j", "fp")).join(shared, ["j", "fp"]).select(F.col("lead").alias("x"), F.col("cid").alias("y"))
+    pairs = saved(between.unionAll(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
+    wanted = saved(classes.join(ids, "cid").select("cid", F.col("low.key").alias("key")))
+    texts = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(small_side(wanted, wanted.count()), "key")
+    sets = shingle_sets(texts, width).groupBy("cid").agg(F.first("s").alias("s"))
+    both = (
+        pairs.join(sets.withColumnsRenamed({"cid": "x", "s": "sx"}), "x")
+        .join(sets.withColumnsRenamed({"cid": "y", "s": "sy"}), "y")
+        .select("x", "y", F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("m"))
+    )
+    linked = both.where(F.col("m") >= F.lit(similarity) * (F.col("nx") + F.col("ny") - F.col("m"))).select("x", "y")
+    labels = saved(connected_components(linked, "x", "y"))
+    grouped = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 OR label IS NOT NULL")
+    grouped = grouped.withColumn("label", F.coalesce("label", "cid"))
+    stays = grouped.groupBy("label").agg(F.min("low").alias("stay"))
+    fate = saved(grouped.join(stays, "label").select("w1", "w2", F.col("stay.key").alias("stay")))
+    return rows.join(small_side(fate, fate.count()), ["w1", "w2"]).where("key <> stay").select("key").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group."""
+    gone = saved(dropped_keys(docs.select("doc_id", "text"), similarity, width).withColumnRenamed("key", "__key"))
+    return docs.join(small_side(gone, gone.count()), row_key() == F.col("__key"), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """Every row's doc_id, fingerprint (hex) and component_id (smallest doc_id reachable)."""
     prints = saved(fingerprints(docs, width, seed))
