@@ -29,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.llm.common import saved, small_side
-from ratelake.session import scratch_path
 
 ORDER = 4
 START = b"\xff"  # never part of UTF-8
 BLOCK_BYTES = 48 << 20
+PIECE_ROWS = 128
 CHUNK_BYTES = 4 << 20
 # A text is kept between these quantiles of its language's trusted texts, widened by the slack (a share of log perplexity).
 LOW, HIGH = 0.0005, 0.998
@@ -154,16 +155,17 @@ def pack(docs: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(out, held[0].schema, options=options) as writer:
                 for b in held:
                     writer.write_batch(b)
-            return pa.RecordBatch.from_pydict({"block": pa.array([(part << 24) | n], pa.int64()), "payload": pa.array([out.getvalue()], pa.binary())})
+            return pa.RecordBatch.from_pydict(
+                {"block": pa.array([(part << 24) | n], pa.int64()), "payload": pa.array([out.getvalue()], pa.binary())}
+            )
 
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                step = max(1, min(batch.num_rows - at, 1 << 10))
-                piece = batch.slice(at, step)
-                at += step
+                piece = batch.slice(at, PIECE_ROWS)
+                at += piece.num_rows
                 held.append(piece)
-                size += piece.get_total_buffer_size() if step == batch.num_rows else sum(len(t.as_buffer() or b"") if t.is_valid else 0 for t in piece.column("t"))
+                size += pc.sum(pc.binary_length(piece.column("t"))).as_py() or 0
                 if size >= BLOCK_BYTES:
                     yield flush()
                     held, size, n = [], 0, n + 1
@@ -171,9 +173,7 @@ def pack(docs: DataFrame) -> DataFrame:
             yield flush()
 
     schema = "block long, payload binary"
-    path = scratch_path(docs.sparkSession, "kneser-blocks")
-    docs.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    return saved(docs.mapInArrow(run, schema))
 
 
 def _unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def _unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
 
 def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (doc_id, key, lang, t)."""
-    spark, order = docs.sparkSession, len(model)
+    order = len(model)
     blocks = pack(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +196,7 @@ def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
                     part = own[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_pydict({"block": np.full(len(part), block), "key": part})
 
-    asked = blocks.mapInArrow(ask, "block long, key long")
-    path = scratch_path(spark, "kneser-asked")
-    asked.write.parquet(path)
-    asked = spark.read.schema("block long, key long").parquet(path)
+    asked = saved(blocks.mapInArrow(ask, "block long, key long"))
     answers = log_probabilities(asked.select("key").distinct(), model)
     told = asked.join(answers, "key").select("block", "key", F.col("lp").cast("float").alias("lp"))
 

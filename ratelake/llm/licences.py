@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
-A candidate block is a run of lines that hold a license cue. Each block is
-compressed alone and with every template as a raw zstandard dictionary; the
-template that saves the largest share of the block's size wins, and the saving
-must pass a threshold. The winner is confirmed by its exact wording differences:
-the words inserted, deleted or replaced against the best-aligned part of the
-block. Template texts and sizes are fixed, so nothing that grows leaves a task.
+Texts are cut into pieces at line and sentence ends. A piece that holds a license
+cue gives candidate blocks: the piece alone, with a neighbour on either side, and
+the whole run of cue pieces around it. Each block is compressed alone and with
+every template as a raw zstandard dictionary; templates are ranked by the share of
+the block's size that they save, which must pass a threshold. A winner is confirmed
+by its exact wording differences: the words inserted, deleted or replaced against
+the best-aligned part of the block. Of overlapping blocks the closest wording
+stays. Template texts and sizes are fixed, so nothing that grows leaves a task.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts
 have no blocks; equal rows give equal results; ties go to the first template; an
-empty table gives an empty result; other columns are ignored. A run of cue lines
-longer than ``BLOCK_CHARS`` is cut at line ends into several blocks.
+empty table gives an empty result; other columns are ignored. Pieces are joined up
+to ``BLOCK_CHARS``; a single longer piece is still compared whole.
 """
 
 from __future__ import annotations
@@ -50,6 +52,7 @@ CUES = ("licens", "licenc", "copyright", "hereby granted", "redistribut", "publi
 BLOCK_CHARS = 4096
 LEAST_SAVING = 0.35  # share of the block's own compressed size that the template saves
 MOST_DIFFERENT = 0.25  # share of the template's words that may differ
+PIECE_END = re.compile(r"\n+|[.!?]\s+(?=[^\W\d_a-z])")
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 
@@ -75,20 +78,25 @@ def has_cue(text: str) -> bool:
 
 
 def blocks(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of runs of lines with a cue."""
+    """(start, end) of the candidate blocks."""
     if not text or not has_cue(text):
         return []
-    out: list[list[int]] = []
-    at = 0
-    for line in text.splitlines(keepends=True):
-        end = at + len(line)
-        if has_cue(line):
-            if out and out[-1][1] == at and end - out[-1][0] <= BLOCK_CHARS:
-                out[-1][1] = end
-            else:
-                out.append([at, end])
-        at = end
-    return [(a, b) for a, b in out]
+    ends = [m.end() for m in PIECE_END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    pieces = list(zip([0, *ends[:-1]], ends, strict=True))
+    cued = [i for i, (a, b) in enumerate(pieces) if has_cue(text[a:b])]
+    spans: set[tuple[int, int]] = set()
+    run: list[int] = []
+    for i in cued:
+        if not run or i > run[-1] + 2:
+            run = []
+        run.append(i)
+        for first, last in ((i, i), (i - 1, i), (i, i + 1), (i - 1, i + 1), (run[0], i)):
+            first, last = max(first, 0), min(last, len(pieces) - 1)
+            if first == last or pieces[last][1] - pieces[first][0] <= BLOCK_CHARS:
+                spans.add((pieces[first][0], pieces[last][1]))
+    return sorted(spans)
 
 
 def savings(block: str, tools: Tools) -> list[tuple[float, str]]:
@@ -113,41 +121,32 @@ def wording(block: str, template: str) -> tuple[int, int, int, list[str]]:
     for tag, i1, i2, j1, j2 in match.get_opcodes():
         if tag == "equal" or (tag == "insert" and (j1 < first.b or j2 > last.b + last.size)):
             continue  # words of the block around the notice are not part of it
-        if j1 >= last.b + last.size or j2 <= first.b:
-            j1 = j2 = 0
+        if j1 >= last.b + last.size:  # at an end, only as many words as the template has there
+            j2 = min(j2, j1 + i2 - i1)
+        elif j2 <= first.b:
+            j1 = max(j1, j2 - (i2 - i1))
         n += max(i2 - i1, j2 - j1)
         said.append(f"{' '.join(want[i1:i2])}>{' '.join(w for w, _, _ in found[j1:j2])}")
     return found[first.b][1], found[last.b + last.size - 1][2], n, said
 
 
 def find_notices(text: str | None, tools: Tools) -> list[tuple[int, int, str, float, int, str]]:
-    """(start, end, license, saving, differing words, differences) of the confirmed blocks."""
-    out = []
+    """(start, end, license, saving, differing words, differences) of the confirmed notices."""
+    found = []
     for a, b in blocks(text):
-        block = text[a:b]
-        for line_a, line_b in _notices_in(block):
-            part = block[line_a:line_b]
-            for saving, name in savings(part, tools)[:3]:
-                if saving < LEAST_SAVING:
-                    break
-                s, e, n, said = wording(part, TEMPLATES[name])
-                if n <= MOST_DIFFERENT * len(WORD.findall(TEMPLATES[name])):
-                    out.append((a + line_a + s, a + line_a + e, name, saving, n, "; ".join(said)))
-                    break
-    return out
-
-
-def _notices_in(block: str) -> list[tuple[int, int]]:
-    """The block's lines with a cue, or the whole block when one notice runs over several lines."""
-    out, at = [], 0
-    for line in block.splitlines(keepends=True):
-        # A line ends a notice if it ends a sentence; otherwise the next line goes on with it.
-        if out and not block[out[-1][0] : out[-1][1]].rstrip().endswith((".", ":", "!")):
-            out[-1] = (out[-1][0], at + len(line))
-        else:
-            out.append((at, at + len(line)))
-        at += len(line)
-    return out
+        for saving, name in savings(text[a:b], tools)[:3]:
+            if saving < LEAST_SAVING:
+                break
+            s, e, n, said = wording(text[a:b], TEMPLATES[name])
+            share = n / len(WORD.findall(TEMPLATES[name]))
+            if share <= MOST_DIFFERENT:
+                found.append((share, -saving, a + s, a + e, name, n, "; ".join(said)))
+                break
+    out: list[tuple[int, int, str, float, int, str]] = []
+    for _, saving, a, b, name, n, said in sorted(found):
+        if all(b <= x or y <= a for x, y, *_ in out):
+            out.append((a, b, name, -saving, n, said))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

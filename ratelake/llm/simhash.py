@@ -113,58 +113,39 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def links(prints: DataFrame, radius: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Spanning links (``keys``, a, b, bits) between distinct ``fp`` at most ``radius`` bits apart.
-
-    ``prints`` holds one row per distinct (``keys``, ``fp``); fingerprints of
-    different ``keys`` are never compared.
-    """
+def links(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """Spanning links (a, b) between distinct ``fp`` at most ``radius`` bits apart. ``prints``: one row per ``fp``."""
     masks = [signed(m) for m in covering_masks(radius)]
-    tables = F.explode(
-        F.array(*[F.xxhash64(*keys, F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
-    )
-    rows = prints.select(*keys, "fp", tables.alias("bucket"))
+    tables = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]))
+    rows = prints.select("fp", tables.alias("bucket"))
     # Nearly every bucket holds one row, so rows are shuffled as they are, without partial sums.
     sizes = rows.repartition("bucket").groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), *[F.min(k).alias(k) for k in keys]
+        F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
     )
     full = saved(sizes.where("n > 1"))
-    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int")
-    pairs = full.where("n = 2").select(*keys, "a", "b", bits.alias("bits")).where(F.col("bits") <= radius)
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    pairs = full.where("n = 2").where(bits <= radius).select("a", "b")
     large = full.where("n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    n_large = large.count()
-    if not n_large:
-        return pairs.distinct()
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = rows.join(small_side(large, n_large), "bucket").withColumn("own", own).withColumn("other", other)
+    member = rows.join(small_side(large, large.count()), "bucket").withColumn("own", own).withColumn("other", other)
     sets = (
-        member.groupBy(*keys, "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        member.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # two blocks: bounded by about 2 * BLOCK
-        .select(*keys, "fps")
+        .select("fps")
         .distinct()
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: list[list] = [[] for _ in range(len(keys) + 3)]
-            for r in range(batch.num_rows):
-                found = forest(np.array(batch.column(len(keys))[r].as_py(), np.int64), radius)
-                for link in found:
-                    for c, value in enumerate([*(batch.column(k)[r].as_py() for k in range(len(keys))), *link]):
-                        got[c].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(got[k], batch.schema.field(k).type) for k in range(len(keys)))]
-                + [pa.array(got[-3], pa.int64()), pa.array(got[-2], pa.int64()), pa.array(got[-1], pa.int32())],
-                names=[*keys, "a", "b", "bits"],
-            )
+            found = [link for fps in batch.column("fps") for link in forest(fps.values.to_numpy(), radius)]
+            a, b = ([link[k] for link in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    kinds = dict(sets.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "a long", "b long", "bits int"])
-    return pairs.unionByName(sets.mapInArrow(run, schema)).distinct()
+    return pairs.unionAll(sets.mapInArrow(run, "a long, b long")).distinct()
 
 
-def signatures(docs: DataFrame, n_prints: int = 3) -> DataFrame:
+def signatures(docs: DataFrame, n_prints: int = 4) -> DataFrame:
     """(doc_id, key, w1, w2, fps) of every row: a key of id and text, a 128-bit hash of the word
     sequence, and ``n_prints`` independent fingerprints of the set of words."""
     odd = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)][:n_prints]
@@ -210,7 +191,74 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("cid", "t").mapInArrow(run, "cid long, s array<long>")
 
 
-def dropped_keys(docs: DataFrame, similarity: float = 0.8, width: int = 5, n_prints: int = 3, radius: int = 4) -> DataFrame:
+def _candidate_sets(classes: DataFrame, radius: int) -> DataFrame:
+    """(cids): the distinct sets of classes that meet in a bucket of any print, at most two blocks in each."""
+    masks = [signed(m) for m in covering_masks(radius)]
+    one = lambda fp, j: F.array(*[F.xxhash64(j, F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
+    rows = classes.select("cid", F.explode(F.flatten(F.transform("fps", lambda fp, j: one(fp, j)))).alias("bucket"))
+    # Nearly every bucket holds one row, so rows are shuffled as they are, without partial sums.
+    sizes = rows.repartition("bucket").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b")
+    )
+    full = saved(sizes.where("n > 1"))
+    pairs = full.where("n = 2").select(F.array("a", "b").alias("cids"))
+    large = full.where("n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    member = rows.join(small_side(large, large.count()), "bucket").withColumn("own", own).withColumn("other", other)
+    sets = member.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
+        F.sort_array(F.collect_list("cid")).alias("cids")  # two blocks: bounded by about 2 * BLOCK
+    )
+    return pairs.unionAll(sets.select("cids")).distinct().where(F.size("cids") > 1)
+
+
+def _verified_links(sets: DataFrame, info: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): in every set, links that join all classes which similar pairs join.
+
+    A pair counts if some print differs in at most ``radius`` bits and the shingle
+    sets' similarity suffices; pairs already joined inside the set are not counted again.
+    ``info``: cid, fps, s.
+    """
+    members = sets.select(F.xxhash64("cids").alias("sid"), F.explode("cids").alias("cid")).join(info, "cid")
+    # A set holds at most two blocks, so its members fit one row.
+    gathered = members.groupBy("sid").agg(F.collect_list(F.struct("cid", "fps", "s")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for row in batch.column("m"):
+                cid, fps, s = row.values.flatten()
+                ids = cid.to_numpy()
+                prints = np.array(fps.to_pylist(), np.int64).view(np.uint64)
+                shingles = [x.values.to_numpy() for x in s]
+                gap = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).min(axis=2)
+                i, j = np.nonzero(np.triu(gap <= radius, 1))
+                parent = list(range(len(ids)))
+                for k in np.argsort(gap[i, j], kind="stable").tolist():
+                    p, q = int(i[k]), int(j[k])
+                    x, y = p, q
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    while parent[y] != y:
+                        parent[y] = parent[parent[y]]
+                        y = parent[y]
+                    if x == y:
+                        continue
+                    n, m = len(shingles[p]), len(shingles[q])
+                    if min(n, m) < similarity * max(n, m):
+                        continue
+                    both = len(np.intersect1d(shingles[p], shingles[q], assume_unique=True))
+                    if both >= similarity * (n + m - both):
+                        parent[x] = y
+                        a.append(int(ids[p]))
+                        b.append(int(ids[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return gathered.select("m").mapInArrow(run, "a long, b long").distinct()
+
+
+def dropped_keys(docs: DataFrame, similarity: float = 0.8, width: int = 5, n_prints: int = 4, radius: int = 4) -> DataFrame:
     """(key): the documents to drop so that one document of each group stays.
 
     Documents of one word sequence are copies. Distinct sequences are linked if one
@@ -224,30 +272,15 @@ def dropped_keys(docs: DataFrame, similarity: float = 0.8, width: int = 5, n_pri
         rows.groupBy("w1", "w2").agg(F.min(order).alias("low"), F.countDistinct("key").alias("n"), F.first("fps").alias("fps"))
         .withColumn("cid", F.xxhash64("w1", "w2"))
     )
-    prints = saved(
-        classes.select("cid", F.posexplode("fps").alias("j", "fp")).groupBy("j", "fp").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("n"))
-    )
-    found = links(prints.select("j", "fp"), radius, keys=("j",))
-    lead = prints.select("j", "fp", "lead")
-    between = (
-        found.join(lead.withColumnsRenamed({"fp": "a", "lead": "x"}), ["j", "a"])
-        .join(lead.withColumnsRenamed({"fp": "b", "lead": "y"}), ["j", "b"])
-        .select("x", "y")
-    )
-    shared = prints.where("n > 1").select("j", "fp", "lead")
-    within = classes.select("cid", F.posexplode("fps").alias("j", "fp")).join(shared, ["j", "fp"]).select(F.col("lead").alias("x"), F.col("cid").alias("y"))
-    pairs = saved(between.unionAll(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
-    wanted = saved(classes.join(ids, "cid").select("cid", F.col("low.key").alias("key")))
-    texts = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(small_side(wanted, wanted.count()), "key")
-    sets = shingle_sets(texts, width).groupBy("cid").agg(F.first("s").alias("s"))
-    both = (
-        pairs.join(sets.withColumnsRenamed({"cid": "x", "s": "sx"}), "x")
-        .join(sets.withColumnsRenamed({"cid": "y", "s": "sy"}), "y")
-        .select("x", "y", F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("m"))
+    sets = saved(_candidate_sets(classes, radius))
+    ids = sets.select(F.explode("cids").alias("cid")).distinct()
+    wanted = saved(classes.join(ids, "cid").select("cid", "fps", F.col("low.key").alias("key")))
+    texts = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(
+        small_side(wanted.select("key", "cid"), wanted.count()), "key"
     )
-    linked = both.where(F.col("m") >= F.lit(similarity) * (F.col("nx") + F.col("ny") - F.col("m"))).select("x", "y")
-    labels = saved(connected_components(linked, "x", "y"))
+    shingles = shingle_sets(texts, width).groupBy("cid").agg(F.first("s").alias("s"))
+    linked = _verified_links(sets, wanted.select("cid", "fps").join(shingles, "cid"), radius, similarity)
+    labels = saved(connected_components(linked))
     grouped = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 OR label IS NOT NULL")
     grouped = grouped.withColumn("label", F.coalesce("label", "cid"))
     stays = grouped.groupBy("label").agg(F.min("low").alias("stay"))
