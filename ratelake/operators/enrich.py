@@ -25,11 +25,11 @@ def enrich(df: DataFrame, genres: str = "genres", time_col: str = "timestamp") -
     """Add ``genres_array``, ``rating_date`` and ``rating_year``: narrow, no shuffle.
 
     A time column that is already a timestamp (with or without zone) is kept
-    as it is; text is converted with ``to_timestamp``.
+    as it is; text is converted with ``try_to_timestamp`` (bad text becomes null).
     """
     dtype = df.schema[time_col].dataType
     is_ts = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
-    ts = F.col(time_col) if is_ts else F.to_timestamp(F.col(time_col))
+    ts = F.col(time_col) if is_ts else F.try_to_timestamp(F.col(time_col))
     return df.withColumns(
         {
             "genres_array": genre_array(genres),

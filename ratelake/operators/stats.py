@@ -53,11 +53,6 @@ def item_stats(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     )
 
 
-def item_stats_enriched(enriched: DataFrame) -> DataFrame:
-    return enriched.groupBy(ITEM, "title").agg(
-        F.count(RATING).alias("num_ratings"), F.avg(RATING).alias("avg_rating")
-    )
-
 
 def catalogue_summary(stats: DataFrame) -> DataFrame:
     """Number of items, mean of per-item means (macro average), mean count per item.
@@ -96,49 +91,41 @@ def rating_distribution(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     return joined.groupBy(RATING).agg(F.sum("n").alias("n_ratings")).orderBy(RATING)
 
 
-def rating_distribution_enriched(enriched: DataFrame) -> DataFrame:
-    return enriched.groupBy(RATING).agg(F.count(F.lit(1)).alias("n_ratings")).orderBy(RATING)
-
 
 def rating_stats(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """``mean_rating, stddev_rating`` (sample), ``min_rating, max_rating``.
 
-    Built from the per-value distribution: ratings are pre-aggregated per
-    (item, rating value), joined to the item ids (one copy per item row), and the moments
-    are taken over (value, weight) pairs. Rating scales are narrow (mean^2 is
-    of the order of the variance), so the sum-of-squares form is stable here.
+    Ratings are pre-aggregated per (item, rating value), joined to the item ids
+    (one copy per item row) and reduced to (value, weight) pairs. The pairs are
+    centred on their mean before squaring, so values far from zero lose no
+    digits. No rating or a single one has a null deviation.
     """
     dist = (
         ratings.filter(F.col(RATING).isNotNull())
         .groupBy(ITEM, RATING)
         .agg(F.count(F.lit(1)).alias("n"))
         .join(_item_ids(movies), ITEM, "inner")
-        .select(F.col(RATING).cast("double").alias("r"), F.col("n").alias("w"))
+        .groupBy(F.col(RATING).cast("double").alias("r"))
+        .agg(F.sum("n").alias("w"))
     )
-    moments = dist.agg(
+    centre = dist.agg(F.try_divide(F.sum(F.col("w") * F.col("r")), F.sum("w")).alias("c")).scalar()
+    moments = dist.withColumn("c", centre).agg(
         F.sum("w").alias("n"),
-        F.sum(F.col("w") * F.col("r")).alias("s"),
-        F.sum(F.col("w") * F.col("r") * F.col("r")).alias("q"),
+        F.max("c").alias("c"),
+        F.sum(F.col("w") * (F.col("r") - F.col("c"))).alias("s"),
+        F.sum(F.col("w") * (F.col("r") - F.col("c")) * (F.col("r") - F.col("c"))).alias("q"),
         F.min("r").alias("min_rating"),
         F.max("r").alias("max_rating"),
     )
     var = F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)
     return moments.select(
-        F.try_divide(F.col("s"), F.col("n")).alias("mean_rating"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("stddev_rating"),
+        (F.col("c") + F.col("s") / F.col("n")).alias("mean_rating"),
+        F.sqrt(F.when(var.isNotNull(), F.greatest(var, F.lit(0.0)))).alias("stddev_rating"),
         "min_rating",
         "max_rating",
     )
 
 
-def rating_stats_enriched(enriched: DataFrame) -> DataFrame:
-    return enriched.agg(
-        F.avg(RATING).alias("mean_rating"),
-        F.stddev(RATING).alias("stddev_rating"),
-        F.min(RATING).alias("min_rating"),
-        F.max(RATING).alias("max_rating"),
-    )
-
 
 def yearly_stats(ratings: DataFrame, movies: DataFrame, time_col: str = "timestamp") -> DataFrame:
     """``rating_year, n_ratings, avg_rating`` ordered by year."""
@@ -154,13 +141,6 @@ def yearly_stats(ratings: DataFrame, movies: DataFrame, time_col: str = "timesta
     )
 
 
-def yearly_stats_enriched(enriched: DataFrame) -> DataFrame:
-    return (
-        enriched.groupBy("rating_year")
-        .agg(F.count(RATING).alias("n_ratings"), F.avg(RATING).alias("avg_rating"))
-        .orderBy("rating_year")
-    )
-
 
 def genre_stats(ratings: DataFrame, movies: DataFrame, genres: str = "genres") -> DataFrame:
     """``genre, n_ratings, avg_rating``; a rating counts once in each of its genres.
@@ -179,12 +159,3 @@ def genre_stats(ratings: DataFrame, movies: DataFrame, genres: str = "genres") -
         .select("genre", "n_ratings", _ratio("s", "n_ratings").alias("avg_rating"))
         .orderBy(F.col("n_ratings").desc(), F.col("genre").asc())
     )
-
-
-def genre_stats_enriched(enriched: DataFrame) -> DataFrame:
-    return (
-        enriched.select(F.explode("genres_array").alias("genre"), RATING)
-        .groupBy("genre")
-        .agg(F.count(RATING).alias("n_ratings"), F.avg(RATING).alias("avg_rating"))
-        .orderBy(F.col("n_ratings").desc(), F.col("genre").asc())
-    )

@@ -4,6 +4,7 @@ import datetime as dt
 import decimal
 import math
 import random
+import statistics
 
 import pytest
 
@@ -11,6 +12,7 @@ from ratelake.operators import enrich as E
 from ratelake.operators import stats as S
 from ratelake.sources import tables as TB
 from ratelake import schemas
+from tests import plain_stats as P
 
 MOVIES = [
     (1, "Alpha", "A|B"),
@@ -103,23 +105,23 @@ def test_pushed_down_aggregates_equal_join_then_aggregate(spark, seed):
 
     _close(
         _as_map(S.item_stats(ratings, movies), ["movieId", "title"], ["num_ratings", "avg_rating"]),
-        _as_map(S.item_stats_enriched(enriched), ["movieId", "title"], ["num_ratings", "avg_rating"]),
+        _as_map(P.item_stats_enriched(enriched), ["movieId", "title"], ["num_ratings", "avg_rating"]),
     )
     _close(
         _as_map(S.rating_distribution(ratings, movies), ["rating"], ["n_ratings"]),
-        _as_map(S.rating_distribution_enriched(enriched), ["rating"], ["n_ratings"]),
+        _as_map(P.rating_distribution_enriched(enriched), ["rating"], ["n_ratings"]),
     )
     _close(
         _as_map(S.yearly_stats(ratings, movies), ["rating_year"], ["n_ratings", "avg_rating"]),
-        _as_map(S.yearly_stats_enriched(enriched), ["rating_year"], ["n_ratings", "avg_rating"]),
+        _as_map(P.yearly_stats_enriched(enriched), ["rating_year"], ["n_ratings", "avg_rating"]),
     )
     _close(
         _as_map(S.genre_stats(ratings, movies), ["genre"], ["n_ratings", "avg_rating"]),
-        _as_map(S.genre_stats_enriched(enriched), ["genre"], ["n_ratings", "avg_rating"]),
+        _as_map(P.genre_stats_enriched(enriched), ["genre"], ["n_ratings", "avg_rating"]),
     )
     cols = ["mean_rating", "stddev_rating", "min_rating", "max_rating"]
     a = S.rating_stats(ratings, movies).first()
-    b = S.rating_stats_enriched(enriched).first()
+    b = P.rating_stats_enriched(enriched).first()
     for c in cols:
         if b[c] is None or (isinstance(b[c], float) and math.isnan(b[c])):
             assert a[c] is None or math.isnan(a[c])
@@ -169,3 +171,34 @@ def test_parquet_write_partitioned_and_verify(spark, tmp_path):
     TB.write_table(E.build_enriched(_movies(spark), ratings), path, partition_by=["rating_year"], sort_within=["movieId"])
     assert TB.verify_table(spark, path).first()["n_rows"] == 2
     assert {r["rating_year"] for r in TB.read_table(spark, path).collect()} == {1999, 2001}
+
+
+def test_deviation_of_few_and_of_large_values(spark):
+    movies = _movies(spark)
+
+    def stats(values):
+        rows = spark.createDataFrame([(1, 1, float(v)) for v in values], "userId int, movieId int, rating double")
+        return S.rating_stats(rows, movies).first(), rows
+
+    assert tuple(stats([])[0]) == (None, None, None, None)
+    assert tuple(stats([4.0])[0]) == (4.0, None, 4.0, 4.0)
+    assert stats([3.0, 3.0, 3.0])[0]["stddev_rating"] == 0.0
+    for values in ([1e8, 1e8 + 1, 1e8 + 2, 1e8 + 3], [1e8 + random.Random(i).random() for i in range(200)]):
+        got, rows = stats(values)
+        plain = P.rating_stats_enriched(rows).first()  # its own running mean is good to about 1e-8 here
+        assert got["stddev_rating"] == pytest.approx(plain["stddev_rating"], rel=1e-8)
+        assert got["stddev_rating"] == pytest.approx(statistics.stdev(values), rel=1e-12)
+        assert got["mean_rating"] == pytest.approx(plain["mean_rating"], rel=1e-15)
+    got, rows = stats([1e8, 1e8 + 1, 1e8 + 2, 1e8 + 3])
+    assert got["stddev_rating"] == pytest.approx(P.rating_stats_enriched(rows).first()["stddev_rating"], rel=1e-9)
+
+
+def test_bad_times_and_wide_ids_do_not_fail_a_job(spark):
+    from ratelake.operators import model as M
+
+    df = spark.createDataFrame([(1, "A", "not a time"), (1, "A", "2001-02-03 04:05:06")], "movieId int, genres string, timestamp string")
+    assert [r["rating_year"] for r in E.enrich(df).collect()] == [None, 2001]
+    wide = spark.createDataFrame([(i % 7, i % 5, 3.0) for i in range(35)] + [(3_000_000_000, 1, 3.0), (1, None, 3.0)],
+                                 "userId long, movieId long, rating double")
+    assert tuple(M.unusable_rows(wide).first()) == (37, 2)
+    assert M.train(wide, rank=2, max_iter=1).userFactors.count() == 7
