@@ -8,7 +8,10 @@ session; a local fallback is set only when it is missing (tests, laptops).
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +19,7 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL_ROOT: str | None = None
+_SCRATCH: list[str] = []
 
 # Settings every job relies on. Shuffle width is left to AQE: the initial
 # partition count is only an upper bound it coalesces from.
@@ -52,24 +56,35 @@ def build_session(
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """One JVM on one machine: ``local`` or ``local[...]`` (``local-cluster`` has executors of its own)."""
+    return re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or "") is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a local one only if unset.
+    """Return the shared checkpoint folder.
 
     On a cluster the deployer names a shared folder (HDFS, object store) in
-    ``spark.checkpoint.dir``; we never replace it. When it is missing we are in
-    a test or on a single machine, and a fresh temporary folder is acceptable.
+    ``spark.checkpoint.dir`` or with ``SparkContext.setCheckpointDir``; we never
+    replace it. When neither is set, a temporary folder of this process is used
+    on a local master, and any other master is an error: executors could not
+    read what another machine wrote.
     """
     global _LOCAL_ROOT
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+        own = sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions expose no SparkContext
+        sc, own = None, None
+    current = spark.conf.get(CHECKPOINT_CONF, None) or own
     if not current:
+        if not _is_local(spark):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         if _LOCAL_ROOT is None:
             _LOCAL_ROOT = tempfile.mkdtemp(prefix="ratelake-ckpt-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOT, ignore_errors=True)
         current = _LOCAL_ROOT
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote (Connect) sessions expose no SparkContext
-        return current
-    if sc.getCheckpointDir() is None:
+    if sc is not None and own is None:
         sc.setCheckpointDir(current)
     return current
 
@@ -84,6 +99,18 @@ def parallelism(spark: SparkSession, fallback: int = 8) -> int:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never-reused folder under the shared checkpoint area."""
+    """A fresh, never-reused folder under the shared checkpoint area, until ``remove_scratch``."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, "scratch", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(root, "scratch", f"{label}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete these scratch folders (all of this process's if none is named) wherever they are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths or tuple(_SCRATCH):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)

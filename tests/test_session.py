@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 from ratelake import session as S
 
 
@@ -45,9 +47,31 @@ def test_cluster_setting_is_used_and_never_replaced():
 def test_local_fallback_only_when_unset(monkeypatch):
     monkeypatch.setattr(S, "_LOCAL_ROOT", None)
     ctx = _Context()
-    got = S.ensure_checkpoint_dir(_Session({}, ctx))
+    local = {"spark.master": "local[4]"}
+    got = S.ensure_checkpoint_dir(_Session(local, ctx))
     assert os.path.isdir(got) and ctx.set_to == got
-    assert S.ensure_checkpoint_dir(_Session({}, _Context())) == got  # one folder per process
+    assert S.ensure_checkpoint_dir(_Session(local, _Context())) == got  # one folder per process
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "local-cluster[2,1,1024]", None])
+def test_a_cluster_without_a_shared_folder_is_an_error(master):
+    with pytest.raises(RuntimeError):
+        S.ensure_checkpoint_dir(_Session({"spark.master": master} if master else {}, _Context()))
+
+
+def test_a_folder_set_on_the_context_is_used():
+    ctx = _Context(current="hdfs://nn/shared/ckpt/abc")
+    assert S.ensure_checkpoint_dir(_Session({"spark.master": "yarn"}, ctx)) == "hdfs://nn/shared/ckpt/abc"
+    assert ctx.set_to is None
+
+
+def test_scratch_folders_are_removed(spark):
+    a, b = S.scratch_path(spark, "gone"), S.scratch_path(spark, "stays")
+    for path in (a, b):
+        spark.range(3).write.parquet(path)
+    S.remove_scratch(spark, a)
+    assert not os.path.exists(a) and os.path.isdir(b)
+    S.remove_scratch(spark, b)
 
 
 def test_scratch_paths_are_fresh_and_under_the_shared_folder():
