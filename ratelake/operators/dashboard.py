@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import hour_of_day, missing, nan_to_null
-from ratelake.operators.skew import salt_hot_keys
 
 TS = "ts"
 TIE = "event_id"
@@ -31,27 +30,43 @@ def resolve_as_of(p: DataFrame, ts: str = TS, date_col: str | None = None) -> dt
     """``max(ts)`` of the table: one column scanned, one row returned.
 
     With ``date_col`` (a date partition column) the newest date is found first
-    and ``max(ts)`` is then read from that partition only.
+    and ``max(ts)`` is then read from that partition only. The time is the
+    table's wall clock (UTC for a zoned column), whatever zone the driver's
+    machine is in.
     """
     if date_col:
         newest = p.agg(F.max(date_col).alias("d")).first()["d"]
         if newest is None:
             return None
         p = p.filter(F.col(date_col) == F.lit(newest))
-    return p.agg(F.max(ts).alias("m")).first()["m"]
+    return p.agg(F.max(ts).cast("timestamp_ntz").alias("m")).first()["m"]
+
+
+def _window_start(as_of: dt.datetime, hours: int) -> dt.datetime:
+    """Wall-clock start of the window; a zoned ``as_of`` is taken to UTC first."""
+    if as_of.tzinfo is not None:
+        as_of = as_of.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return as_of - dt.timedelta(hours=hours)
+
+
+def _wall_clock(t: dt.datetime):
+    # Through text: a datetime literal would be read in the zone of the driver's machine.
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def last_hours(p: DataFrame, as_of, hours: int = 24, ts: str = TS, date_col: str | None = None) -> DataFrame:
-    """Rows with ``ts >= as_of - hours``.
+    """Rows with ``ts >= as_of - hours``; none if ``as_of`` is None (an empty table).
 
     ``date_col`` names a date partition column of the table (the prediction
     store is partitioned by ``event_date``); the same bound on it prunes whole
     directories before any file is opened.
     """
-    start = as_of - dt.timedelta(hours=hours)
-    out = p.filter(F.col(ts) >= F.lit(start))
+    if as_of is None:
+        return p.filter(F.lit(False))
+    start = _window_start(as_of, hours)
+    out = p.filter(F.col(ts) >= _wall_clock(start))
     if date_col:
-        out = out.filter(F.col(date_col) >= F.lit(start.date()))
+        out = out.filter(F.col(date_col) >= F.lit(start.date().isoformat()).cast("date"))
     return out
 
 
@@ -138,8 +153,8 @@ def dash_summary(p: DataFrame, as_of, hours: int = 24, ts: str = TS, approx_user
     a HyperLogLog++ sketch instead). An empty table gives 0 and a null mean
     instead of an error. The latest rows are ``latest``.
     """
-    start = as_of - dt.timedelta(hours=hours)
-    recent_user = F.when(F.col(ts) >= F.lit(start), F.col("userId"))
+    in_window = F.lit(False) if as_of is None else F.col(ts) >= _wall_clock(_window_start(as_of, hours))
+    recent_user = F.when(in_window, F.col("userId"))
     active = F.approx_count_distinct(recent_user) if approx_users else F.count_distinct(recent_user)
     return p.agg(
         F.count(F.lit(1)).alias("total_predictions"),
@@ -169,8 +184,8 @@ def _desc_score(col: str = "prediction"):
     return nan_to_null(col).desc_nulls_last()
 
 
-def user_top(p: DataFrame, user_id: int, k: int = 5, tie: str = TIE) -> DataFrame:
-    """One user's ``k`` best predictions: ``movieId, prediction``."""
+def user_top(p: DataFrame, user_id: int, k: int = 5, tie=TIE) -> DataFrame:
+    """One user's ``k`` best predictions: ``movieId, prediction`` (after a single tie column)."""
     return (
         p.filter(F.col("userId") == F.lit(user_id))
         .orderBy(_desc_score(), *_ties(tie, False))
@@ -179,35 +194,20 @@ def user_top(p: DataFrame, user_id: int, k: int = 5, tie: str = TIE) -> DataFram
     )
 
 
-def user_top_all(
-    p: DataFrame,
-    k: int = 5,
-    tie: str = TIE,
-    hot_rows: int = 1_000_000,
-    max_broadcast_users: int = 1_000_000,
-) -> DataFrame:
+def user_top_size(p: DataFrame, user_id: int, k: int = 5) -> DataFrame:
+    """One row ``userId, n_items``: the length of the user's list, at most ``k``."""
+    mine = p.filter(F.col("userId") == F.lit(user_id)).limit(k)
+    return mine.agg(F.count(F.lit(1)).alias("n_items")).select(F.lit(user_id).cast("bigint").alias("userId"), "n_items")
+
+
+def user_top_all(p: DataFrame, k: int = 5, tie=TIE) -> DataFrame:
     """Every user's ``k`` best predictions, with ``rank``.
 
-    A plain ``row_number`` over ``partitionBy(userId)`` sends all of a user's
-    rows to one task, so a user holding a third of the table stalls the job.
-    Hot users are found first and split:
-
-    1. rows per user (partial aggregation, a small shuffle); users with more
-       than ``hot_rows`` rows get ``ceil(rows / hot_rows)`` salt buckets. The
-       list is checkpointed into the shared checkpoint folder; it holds at most
-       ``total_rows / hot_rows`` users.
-    2. the list is counted and broadcast only when it has at most
-       ``max_broadcast_users`` entries; beyond that it is joined by a shuffle.
-    3. rank within (user, salt), keeping the local top ``k`` (every group
-       holds at most about ``hot_rows`` rows), then rank the survivors per user
-       (at most ``k`` per bucket). The salt is a hash of the row id, so it is
-       the same on every retry.
+    The ``rank <= k`` filter reaches the window: each task keeps its own best
+    ``k`` rows of a user before the shuffle (``WindowGroupLimit``), so a user
+    that holds a third of the table sends at most ``k`` rows per task.
     """
-    order = [_desc_score(), F.col(tie).asc()]
-    salted = salt_hot_keys(p, "userId", tie, hot_rows, max_broadcast_users)
-    local = salted.withColumn(
-        "_r", F.row_number().over(Window.partitionBy("userId", "_salt").orderBy(*order))
-    ).filter(F.col("_r") <= k)
-    rank = F.row_number().over(Window.partitionBy("userId").orderBy(*order)).cast("bigint")
-    ranked = local.withColumn("rank", rank)
-    return ranked.filter(F.col("rank") <= k).select("userId", "rank", tie, "movieId", "prediction")
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    order = Window.partitionBy("userId").orderBy(_desc_score(), *_ties(tie, False))
+    ranked = p.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return ranked.select("userId", "rank", *[t for t in ties if t not in ("userId", "movieId")], "movieId", "prediction")

@@ -62,13 +62,14 @@ def train(
     ``drop``. Config B: rank 10, 10 iterations, reg 0.1, 10 item blocks,
     non-negative, cold start ``nan``. Long runs cut the RDD lineage every
     ``checkpoint_interval`` iterations into the shared checkpoint folder.
-    Rows with a null id or rating are removed first: ALS rejects null ids.
+    Rows with a null id or rating, or an id above int, are left out first (ALS
+    rejects them); ``unusable_rows`` counts them.
     """
     ensure_checkpoint_dir(df.sparkSession)
     clean = df.select(
-        F.col(user_col).cast("int").alias(user_col),
-        F.col(item_col).cast("int").alias(item_col),
-        F.col(rating_col).cast("float").alias(rating_col),
+        F.col(user_col).try_cast("int").alias(user_col),
+        F.col(item_col).try_cast("int").alias(item_col),
+        F.col(rating_col).try_cast("float").alias(rating_col),
     ).dropna()
     als = ALS(
         rank=rank,
@@ -90,6 +91,16 @@ def train(
     return als.fit(clean)
 
 
+def unusable_rows(df: DataFrame, user_col: str = "userId", item_col: str = "movieId", rating_col: str = "rating") -> DataFrame:
+    """One row ``n_rows, n_unusable``: the rows that ``train`` leaves out."""
+    usable = (
+        F.col(user_col).try_cast("int").isNotNull()
+        & F.col(item_col).try_cast("int").isNotNull()
+        & F.col(rating_col).try_cast("float").isNotNull()
+    )
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~usable).alias("n_unusable"))
+
+
 def score(model: ALSModel, df: DataFrame) -> DataFrame:
     """Append ``prediction`` with the model (works on batch and streaming frames)."""
     return model.transform(df)
@@ -142,28 +153,22 @@ def factor_scorer(
     user_col: str = "userId",
     item_col: str = "movieId",
 ):
-    """A scoring function for streams, with join strategies fixed up front.
+    """A scoring function for streams, with broadcasts decided up front.
 
-    Inside a micro-batch AQE is off, so a stream-static join is planned from
-    static size estimates, and a factor table above the broadcast threshold
-    would be shuffled again in every micro-batch. Here each factor table is
-    measured once (``factor_bytes``: a bound computed from the rows, not an
-    estimate) and cached. A table of at most ``max_broadcast_bytes`` is
-    broadcast from the cache. A larger one is cached hash-partitioned by id
-    into ``spark.sql.shuffle.partitions`` parts, so each micro-batch shuffles
-    only its own rows to meet it and the factor table stays in place.
+    Each factor table is measured once (``factor_bytes``: a bound computed from
+    the rows, not an estimate) and cached. A table of at most
+    ``max_broadcast_bytes`` is broadcast from the cache. A larger one is joined by
+    a shuffle of both sides in every micro-batch, which adaptive execution can
+    split where one user or item holds a large share of the messages.
 
     The bound is small on purpose: a stream rebuilds its broadcasts in every
-    micro-batch and ships them to every executor, so on a large cluster only
-    small tables are cheaper to broadcast than to leave in place.
+    micro-batch and ships them to every executor. Call ``release()`` when the
+    query has ended to drop the cached tables.
     """
-    parts = int(user_factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def place(f: DataFrame) -> tuple[DataFrame, bool]:
-        small = factor_bytes(f) <= max_broadcast_bytes
-        laid_out = (f if small else f.repartition(parts, "id")).persist()
-        laid_out.count()
-        return laid_out, small
+        kept = f.persist()
+        return kept, factor_bytes(kept) <= max_broadcast_bytes
 
     user_factors, bu = place(user_factors)
     item_factors, bi = place(item_factors)
@@ -174,7 +179,12 @@ def factor_scorer(
             df, user_factors, item_factors, user_col=user_col, item_col=item_col, cold_start=cold_start, **flags
         )
 
+    def release() -> None:
+        user_factors.unpersist()
+        item_factors.unpersist()
+
     scorer.flags = flags
+    scorer.release = release
     return scorer
 
 

@@ -2,11 +2,16 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
+import subprocess
+import sys
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratelake.operators import dashboard as D
+from tests.conftest import ROOT, SF_SMALL
 
 SCHEMA = "event_id long, userId int, movieId int, prediction double, ts timestamp"
 NOW = dt.datetime(2024, 1, 30, 12, 0, 0)
@@ -92,7 +97,7 @@ def test_user_top_all_matches_plain_window_under_skew(spark):
     rows = [(i, 0 if i % 3 else (i % 11), i % 17, float((i * 7) % 13), NOW) for i in range(3000)]
     rows.append((5000, 3, 1, float("nan"), NOW))
     p = _p(spark, rows)
-    got = {(r["userId"], r["rank"]): r["event_id"] for r in D.user_top_all(p, 5, hot_rows=100).collect()}
+    got = {(r["userId"], r["rank"]): r["event_id"] for r in D.user_top_all(p, 5).collect()}
     key = F.nanvl("prediction", F.lit(None).cast("double")).desc_nulls_last()
     w = Window.partitionBy("userId").orderBy(key, F.col("event_id"))
     ref = p.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
@@ -111,3 +116,53 @@ def test_resolve_as_of(spark):
 def test_nan_average_propagates(spark):
     r = D.dash_item_stats(_rows(spark), 12).first()
     assert math.isnan(r["avg_rating"])
+
+
+def test_empty_tables_have_empty_windows(spark):
+    p = _p(spark, [])
+    assert D.dash_activity(p, None).count() == D.dash_trends(p, None).count() == 0
+    s = D.dash_summary(p, None).first()
+    assert (s["total_predictions"], s["active_users_24h"], s["avg_rating"]) == (0, 0, None)
+
+
+def test_bound_is_pushed_to_the_scan(spark, tmp_path):
+    _rows(spark).write.parquet(str(tmp_path / "p"))
+    for zoned in (False, True):
+        p = spark.read.parquet(str(tmp_path / "p"))
+        if zoned:
+            p.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "z"))
+            p = spark.read.parquet(str(tmp_path / "z"))
+        plan = D.dash_activity(p, NOW)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts" in plan.replace("`", "")
+
+
+def test_zoned_as_of_is_taken_to_utc(spark):
+    east = NOW.replace(tzinfo=dt.timezone.utc).astimezone(dt.timezone(dt.timedelta(hours=9)))
+    assert D.dash_activity(_rows(spark), east).collect() == D.dash_activity(_rows(spark), NOW).collect()
+
+
+def test_user_top_size(spark):
+    assert D.user_top_size(_rows(spark), 7, 5).first()["n_items"] == 5
+    assert D.user_top_size(_rows(spark), 7, 2).first()["n_items"] == 2
+    assert D.user_top_size(_rows(spark), 999).first()["n_items"] == 0
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_windows_do_not_depend_on_the_machine_zone(zone):
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "import duckdb, __spark_entry__ as E\n"
+        "from ratelake.session import build_session\n"
+        "spark = build_session('local[2]', shuffle_partitions=2)\n"
+        "con = duckdb.connect()\n"
+        "for t in ('events', 'embeddings'): con.execute(f\"CREATE VIEW {t} AS SELECT * FROM read_parquet('%s/{t}.parquet')\")\n"
+        "for q in ('dash_activity_24h', 'dash_trends_24h', 'dash_summary', 'store_trends_24h'):\n"
+        "    df = E.queries()[q](spark, '%s')\n"
+        "    cur = con.execute(E.oracle_sql()[q]); names = [c[0] for c in cur.description]\n"
+        "    norm = lambda rows: sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows)\n"
+        "    assert norm(map(tuple, df.select(*names).collect())) == norm(cur.fetchall()), q\n"
+        "print('SAME')\n"
+    ) % (ROOT, SF_SMALL, SF_SMALL)
+    env = {**os.environ, "TZ": zone, "PYTHONPATH": ROOT}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=600)
+    assert "SAME" in done.stdout, done.stderr[-2000:]

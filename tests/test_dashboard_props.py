@@ -59,8 +59,8 @@ def test_dashboard_matches_brute_force(spark, rows):
     mine = sorted((r for r in data if r[1] == 1), key=lambda r: (_key(r[3]), r[0]))[:3]
     assert [r["event_id"] for r in D.user_top(df, 1, 3).collect()] == [r[0] for r in mine]
 
-    # every user's best 2 (salting forced on with a tiny threshold)
-    allk = {(r["userId"], r["rank"]): r["event_id"] for r in D.user_top_all(df, 2, hot_rows=3).collect()}
+    # every user's best 2 
+    allk = {(r["userId"], r["rank"]): r["event_id"] for r in D.user_top_all(df, 2).collect()}
     want_all = {}
     for u in {r[1] for r in data}:
         ranked = sorted((r for r in data if r[1] == u), key=lambda r: (_key(r[3]), r[0]))[:2]

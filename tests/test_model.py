@@ -118,21 +118,16 @@ def test_factor_scorer_broadcasts_only_under_the_bound(fitted):
     assert a == b
 
 
-def test_large_factor_tables_stay_in_place(spark, fitted):
+def test_large_factor_tables_are_cached_and_joined_by_a_splittable_shuffle(spark, fitted):
     model, _, test = fitted
     uf, itf = M.model_factors(model)
-    # as inside a micro-batch (no AQE), with tables too large to broadcast
-    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    old = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
+    scorer = M.factor_scorer(uf, itf, max_broadcast_bytes=0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        scorer = M.factor_scorer(uf, itf, max_broadcast_bytes=0)
         plan = scorer(test)._jdf.queryExecution().executedPlan().toString()
     finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-    # only the scored rows are shuffled (once per join); the factor tables are
-    # read from their cached, id-partitioned layout
-    assert plan.count("ENSURE_REQUIREMENTS") == 2
-    assert "REPARTITION_BY_NUM" in plan and "InMemoryTableScan" in plan
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        scorer.release()
+    # both sides meet by a shuffle that adaptive execution may split
+    assert plan.count("ENSURE_REQUIREMENTS") == 4 and "InMemoryTableScan" in plan

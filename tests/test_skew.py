@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratelake.operators import dashboard as D
 from ratelake.operators import model as M
 from ratelake.operators import stats as S
+from ratelake.streaming import messages as SM
 
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -65,20 +66,35 @@ def test_aggregates_stay_exact_under_skew(spark, skew_conf):
     }
     assert stats.keys() == plain.keys()
     assert all(stats[k][0] == plain[k][0] and abs(stats[k][1] - plain[k][1]) < 1e-12 for k in plain)
-    top = D.user_top_all(df, 3, hot_rows=50, max_broadcast_users=0).filter("userId = 0").orderBy("rank").collect()
+    top = D.user_top_all(df, 3).filter("userId = 0").orderBy("rank").collect()
     assert [r["prediction"] for r in top] == [12.0, 12.0, 12.0]
 
 
-def test_hot_keys_get_enough_buckets(spark):
-    from ratelake.operators.skew import salt_hot_keys
+def test_best_rows_of_a_hot_user_are_limited_before_the_shuffle(spark):
+    top = D.user_top_all(_skewed(spark), 3)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    pairs = D.user_top_all(_skewed(spark), 3, tie=("movieId", "event_id"))
+    assert pairs.columns == ["userId", "rank", "event_id", "movieId", "prediction"] and pairs.count() == top.count()
 
-    df = _skewed(spark, 3000)  # user 0 has 1000 rows, the others about 21 each
-    salted = salt_hot_keys(df, "userId", "event_id", hot_rows=100)
-    per_user = {r["userId"]: r["n"] for r in salted.groupBy("userId").agg(F.countDistinct("_salt").alias("n")).collect()}
-    assert per_user[0] == 10 and all(n == 1 for u, n in per_user.items() if u != 0)
-    biggest = salted.groupBy("userId", "_salt").count().agg(F.max("count")).first()[0]
-    assert biggest < 200
-    assert salted.count() == 3000
-    # a list longer than the broadcast bound is joined by a shuffle, same result
-    shuffled = salt_hot_keys(df, "userId", "event_id", hot_rows=100, max_broadcast_keys=0)
-    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, salted.collect()))
+
+def test_stream_scoring_splits_the_hot_user_of_large_factors(spark, skew_conf, tmp_path):
+    _skewed(spark).select("event_id", "userId", "movieId").write.parquet(str(tmp_path / "src"))
+    f = spark.range(100).select(
+        F.col("id").cast("int").alias("id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("features")
+    )
+    scorer = M.factor_scorer(f, f, max_broadcast_bytes=0)
+    plans, rows = [], []
+
+    def hook(batch, epoch):
+        scored = scorer(batch)
+        rows.extend(scored.collect())
+        plans.append(scored._jdf.queryExecution().executedPlan().toString())
+
+    stream = SM.message_stream(spark, fmt="parquet", schema="event_id long, userId int, movieId int", path=str(tmp_path / "src"))
+    SM.run_available(SM.start_stream(stream, foreach_batch=hook, checkpoint=str(tmp_path / "ck"), trigger={"availableNow": True}))
+    assert scorer.flags == {"broadcast_users": False, "broadcast_items": False}
+    assert len(rows) == 3000 and all(r["prediction"] == r["userId"] * r["movieId"] + 1 for r in rows)
+    assert any("skew=true" in p for p in plans)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    scorer.release()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() < before
