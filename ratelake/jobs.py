@@ -4,7 +4,8 @@
   the enriched table partitioned by year, read it back.
 * ``train_model`` - split, fit ALS, evaluate RMSE, save the model.
 * ``start_scoring`` - message stream -> parse -> valid/rejected -> score ->
-  checkpointed Parquet prediction store (partitioned by date) + reject table.
+  Parquet prediction store (partitioned by date) and reject table, written
+  epoch by epoch by one checkpointed query.
 * ``dashboard`` - the dashboard queries over the prediction store.
 
 Each returns DataFrames (or running queries); nothing is collected here
@@ -19,6 +20,7 @@ import os
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from ratelake import schemas
@@ -38,6 +40,13 @@ ALS_CONFIGS = {
 }
 
 
+# Training rows an ALS block may hold before more blocks are used than MLlib's 10.
+ROWS_PER_BLOCK = 2_000_000
+
+# Source columns that identify a message; those present are kept in the store.
+MESSAGE_ID = ("topic", "partition", "offset")
+
+
 def profile(df: DataFrame) -> dict[str, DataFrame]:
     """Row count, missing values per column, duplicate summary and groups."""
     return {
@@ -113,18 +122,18 @@ def train_model(
     over scored rows only (unscored rows are dropped under either cold-start
     setting).
 
-    ``blocks`` sets both ALS block counts. The configurations keep MLlib's
-    default of 10 (as the reference ran them; the block layout also seeds the
-    initial factors, so results shift slightly with it), which bounds every
-    ALS step to 10 tasks: on a large cluster pass about the number of task
-    slots.
+    ``blocks`` sets both ALS block counts. By default there is one block per
+    ``ROWS_PER_BLOCK`` training rows, and at least MLlib's 10, the named setting
+    of both configurations (the block layout also seeds the initial factors, so
+    results shift slightly with it).
     """
     data = TB.read_table(spark, enriched_path).select("userId", "movieId", "rating")
     key = F.xxhash64("userId", "movieId")
     train, test = M.key_split(data, key)
     cfg = dict(ALS_CONFIGS[config])
-    if blocks:
-        cfg.update(num_user_blocks=blocks, num_item_blocks=blocks)
+    wanted = blocks or max(10, -(-train.count() // ROWS_PER_BLOCK))
+    if wanted != 10:
+        cfg.update(num_user_blocks=wanted, num_item_blocks=wanted)
     model = M.train(train, seed=seed, **cfg)
     scored = M.drop_unscored(M.score(model, test))
     if model_path:
@@ -132,51 +141,66 @@ def train_model(
     return model, M.rmse(scored)
 
 
+class Scoring(list):
+    """The started queries; ``release()`` drops the cached factor tables once they have ended."""
+
+    def __init__(self, queries: list[StreamingQuery], release):
+        super().__init__(queries)
+        self.release = release
+
+
 def start_scoring(
     spark: SparkSession,
     model_path: str,
     store_path: str,
     checkpoint: str,
     reject_path: str,
-    reject_checkpoint: str,
     source_format: str = "kafka",
     source_options: dict[str, str] | None = None,
     starting_offsets: str | None = "latest",
     min_partitions: int | None = None,
     trigger: dict | None = None,
     source_schema=None,
-) -> list[StreamingQuery]:
+) -> Scoring:
     """Stream scoring into the prediction store, malformed messages to a reject table.
 
-    Both sinks are checkpointed file sinks (exactly once across restarts and
-    lost executors). For Kafka, ``maxOffsetsPerTrigger`` in ``source_options``
-    bounds each micro-batch, and ``min_partitions`` spreads a topic with few
-    partitions over more tasks.
+    One query reads every message once and writes it to exactly one of the two
+    tables; a replayed micro-batch overwrites its own ``epoch`` folders. The
+    store keeps the source's topic, partition and offset where it has them.
+    For Kafka, ``maxOffsetsPerTrigger`` in ``source_options`` bounds each
+    micro-batch, and ``min_partitions`` spreads a topic with few partitions
+    over more tasks.
     """
     model = TB.load_model(model_path)
-    # The factor tables are read by every micro-batch: the scorer caches them
-    # and fixes their join strategy once from their measured size.
     scorer = M.factor_scorer(model.userFactors, model.itemFactors, cold_start=model.getColdStartStrategy())
     raw = SM.message_stream(
         spark, source_format, source_options, starting_offsets, schema=source_schema,
         min_partitions=min_partitions,
     )
+    ids = [c for c in MESSAGE_ID if c in raw.columns]
     # the raw text rides along so that rejected rows keep what could not be parsed
-    parsed = SM.parse_messages(SM.decode_messages(raw), keep=("value",))
-    valid, rejected = SM.split_valid(parsed)
-    scored = (
-        SM.score_stream(valid.drop("value"), scorer)
-        .select("userId", "movieId", F.col("prediction").cast("float").alias("prediction"), "timestamp")
-        .withColumn("event_date", F.to_date("timestamp"))
-    )
-    trig = trigger or {"processingTime": "2 seconds"}
-    return SM.start_many(
-        [
-            (scored, dict(sink="parquet", path=store_path, checkpoint=checkpoint, trigger=trig,
-                          partition_by=["event_date"])),
-            (rejected, dict(sink="parquet", path=reject_path, checkpoint=reject_checkpoint, trigger=trig)),
-        ]
+    parsed = SM.parse_messages(raw.withColumn("value", F.col("value").cast("string")), keep=("value", *ids))
+
+    def to_store(valid: DataFrame) -> DataFrame:
+        scored = SM.score_stream(valid.drop("value"), scorer)
+        columns = ["userId", "movieId", F.col("prediction").cast("float").alias("prediction"), "timestamp", *ids]
+        return scored.select(*columns).withColumn("event_date", F.to_date("timestamp"))
+
+    hook = SM.epoch_writer(store_path, reject_path, to_store)
+    query = SM.start_stream(
+        parsed, foreach_batch=hook, checkpoint=checkpoint, trigger=trigger or {"processingTime": "2 seconds"}
     )
+    return Scoring([query], scorer.release)
+
+
+def read_store(spark: SparkSession, store_path: str) -> DataFrame:
+    """The prediction store; a store that holds no row yet is an empty table."""
+    try:
+        return TB.read_table(spark, store_path)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
+        return spark.createDataFrame([], schemas.PREDICTIONS)
 
 
 def dashboard(
@@ -184,20 +208,28 @@ def dashboard(
     store_path: str,
     as_of: dt.datetime | str | None = None,
     ts: str = "timestamp",
-    tie=("movieId", "userId"),
+    tie=None,
     date_col: str = "event_date",
+    item_id: int | None = None,
+    user_id: int | None = None,
+    k: int = 5,
 ) -> dict[str, DataFrame]:
     """The dashboard's queries over the prediction store written by ``start_scoring``.
 
     ``as_of`` ends the 24-hour window: the current UTC time by default (as the
     reference does), a given time, or ``"latest"`` for the newest stored row.
+    ``item_id`` adds that item's statistics, ``user_id`` that user's best ``k``
+    predictions and the length of the list. Ties go to the message's topic,
+    partition and offset where the store has them.
     """
-    p = TB.read_table(spark, store_path)
+    p = read_store(spark, store_path)
     if as_of is None:
         as_of = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     elif as_of == "latest":
-        as_of = D.resolve_as_of(p, ts, date_col) or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    return {
+        as_of = D.resolve_as_of(p, ts, date_col)
+    if tie is None:
+        tie = ("movieId", "userId", *(c for c in MESSAGE_ID if c in p.columns))
+    out = {
         "stats": D.dash_stats(p),
         "recent": D.latest(p, 10, ts=ts, tie=tie),
         "distribution": D.dash_distribution(p),
@@ -207,3 +239,9 @@ def dashboard(
         "summary": D.dash_summary(p, as_of, ts=ts),
         "summary_recent": D.latest(p, 5, ts=ts, tie=tie),
     }
+    if item_id is not None:
+        out["item"] = D.dash_item_stats(p, item_id)
+    if user_id is not None:
+        out["user_top"] = D.user_top(p, user_id, k, tie=tie)
+        out["user_top_size"] = D.user_top_size(p, user_id, k)
+    return out

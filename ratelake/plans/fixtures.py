@@ -12,11 +12,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelake.sources.tables import read_table_cached
+from ratelake.sources.tables import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table_cached(spark, os.path.join(sf_dir, f"{name}.parquet"))
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,4 +235,24 @@ ORACLE: dict[str, str] = {
     "CAST(u.features AS DOUBLE[]), CAST(i.features AS DOUBLE[])), 6) AS prediction, "
     "CAST(m.\"timestamp\" AS DATE) AS event_date FROM msgs m "
     "LEFT JOIN factors u ON m.userId = u.id LEFT JOIN factors i ON m.movieId = i.id",
+    "als_train_score": _with(RATINGS)
+    + ", parts AS (SELECT *, ((userId + movieId) % 10 + 10) % 10 < 8 AS is_train FROM ratings) "
+    "SELECT userId, movieId, rating, ts, true AS has_score FROM parts WHERE NOT is_train "
+    "AND userId IN (SELECT userId FROM parts WHERE is_train) AND movieId IN (SELECT movieId FROM parts WHERE is_train)",
+    "dash_user_top_size": _with(PREDS)
+    + f"SELECT CAST({DASH_USER} AS BIGINT) AS userId, least(count(*), 5) AS n_items FROM preds WHERE userId = {DASH_USER}",
+    "csv_inferred": _with(RATINGS)
+    + "SELECT CAST(year(ts) AS BIGINT) AS rating_year, count(*) AS n_rows, "
+    "CAST(sum(userId + movieId) AS BIGINT) AS sum_ids, sum(rating) AS sum_rating FROM ratings GROUP BY 1",
+    "movies_csv_roundtrip": _with(MOVIES)
+    + "SELECT movieId, 'The \"' || title || '\", part ' || movieId || '; a|b' AS title, genres FROM movies",
+    "stream_decode": "SELECT CAST(event_id AS VARCHAR) AS key, event_type || '/' || user_id AS value FROM events",
+    "stream_rejects": _with(PREDS)
+    + ", msgs AS (SELECT CASE event_id % 10 WHEN 0 THEN 'not json ' || event_id "
+    "WHEN 1 THEN '{\"userId\": ' || (userId + 3000000000) || ', \"movieId\": ' || movieId || '}' "
+    "WHEN 2 THEN '{\"userId\": ' || userId || '}' ELSE 'stored' END AS value FROM preds) "
+    "SELECT value, count(*) AS n FROM msgs GROUP BY value",
+    "stream_two_queries": _with(PREDS)
+    + "SELECT 'raw' AS query, count(*) AS n_rows, CAST(NULL AS BIGINT) AS sum_user FROM preds "
+    "UNION ALL SELECT 'parsed', count(*), CAST(sum(userId) AS BIGINT) FROM preds",
 }

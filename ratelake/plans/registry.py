@@ -20,6 +20,8 @@ from ratelake.operators import stats as S
 from ratelake.plans import fixtures as FX
 from ratelake.plans import streams as ST
 from ratelake.plans import tableio as IO
+from ratelake.session import scratch_path
+from ratelake.sources import tables as TB
 
 # Parameters chosen so the checks bite on the fixtures (see SURVEY 7.5).
 TOP_MIN_COUNT = 10
@@ -260,11 +262,21 @@ def q_rmse(spark, d):
 
 
 def q_als_train_score(spark, d):
-    """Fit config A on the key split's train part and score the test part (rows-only check)."""
+    """Config A on the key split: the model is saved, loaded again and scores the test part.
+
+    Cold start ``drop`` leaves exactly the test rows whose user and item both
+    occur in the training part, each with a finite score.
+    """
     train_df, test_df = M.key_split(_ratings(spark, d), _split_key())
-    model = M.train(train_df, rank=10, max_iter=5, reg=0.01, cold_start="drop", seed=42)
-    scored = M.score(model, test_df.select("userId", "movieId", "rating", "ts"))
-    return scored.select("userId", "movieId", "rating", "prediction")
+    path = scratch_path(spark, "als-model")
+    TB.save_model(M.train(train_df, rank=10, max_iter=5, reg=0.01, cold_start="drop", seed=42), path)
+    scored = M.score(TB.load_model(path), test_df.select("userId", "movieId", "rating", "ts"))
+    finite = F.coalesce(F.abs("prediction") < F.lit(float("inf")), F.lit(False))
+    return scored.select("userId", "movieId", "rating", "ts", finite.alias("has_score"))
+
+
+def q_dash_user_top_size(spark, d):
+    return D.user_top_size(_preds(spark, d), DASH_USER, 5)
 
 
 # --------------------------------------------------------------------------- registry
@@ -303,8 +315,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dash_latest_named": q_dash_latest_named,  # T2, four named columns
     "dash_distribution": q_dash_distribution,  # A20 X11
     "dash_user_top": q_dash_user_top,  # T3 F6
-    "dash_user_top_all": q_dash_user_top_all,  # T3 for every user (salted windows)
+    "dash_user_top_size": q_dash_user_top_size,  # T3, the list's size
+    "dash_user_top_all": q_dash_user_top_all,  # T3 for every user
     "csv_roundtrip": IO.q_csv_roundtrip,  # S1 and a CSV write
+    "csv_inferred": IO.q_csv_inferred,  # S2
+    "movies_csv_roundtrip": IO.q_movies_csv_roundtrip,  # S1 with quoted text
     "parquet_roundtrip": IO.q_parquet_roundtrip,  # K1 K5 S3
     "split_sizes": q_split_sizes,  # M1
     "factor_score": q_factor_score,  # J2 M4
@@ -312,9 +327,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scored_only": q_scored_only,  # F4
     "factor_rmse": q_factor_rmse,  # M5 F4
     "rmse": q_rmse,  # M5
-    "als_train_score": q_als_train_score,  # M1 M2 M4 (rows only)
+    "als_train_score": q_als_train_score,  # M1 M2 M4 K4 S8
     "als_cold_start": q_als_cold_start,  # M3 F3
-    "stream_parse": ST.q_stream_parse,  # S4-S6 P3 P4 X9 X10 W1 W3 W5 K3
-    "stream_score_sink": ST.q_stream_score_sink,  # W2 K3 W5 J2
+    "stream_parse": ST.q_stream_parse,  # S6 P3 X9 W1 W3 W5 K3
+    "stream_decode": ST.q_stream_decode,  # P4 X10
+    "stream_score_sink": ST.q_stream_score_sink,  # W2 W7 K3 W5 J2
+    "stream_rejects": ST.q_stream_rejects,  # W7 X9, malformed messages
+    "stream_two_queries": ST.q_stream_two_queries,  # W6
     "store_trends_24h": ST.q_store_trends_24h,  # S7 over the stream-written store, F7 pruning
 }

@@ -8,28 +8,32 @@ Each run uses fresh output and checkpoint folders in the shared scratch area.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.operators import dashboard as D
 from ratelake.operators import model as M
 from ratelake.plans import fixtures as FX
-from ratelake.session import parallelism, scratch_path
+from ratelake.session import parallelism, remove_scratch, scratch_path
 from ratelake.streaming import messages as SM
 
 
-def _event_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Streaming ``value`` column: one JSON message per event row."""
-    schema = FX.table(spark, d, "events").schema
-    raw = SM.message_stream(
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream. The glob names the table itself, be it one file or a folder of files."""
+    return SM.message_stream(
         spark,
         fmt="parquet",
-        schema=schema,
-        options={"pathGlobFilter": "events.parquet", "maxFilesPerTrigger": "1"},
-        path=d,
+        schema=FX.table(spark, d, "events").schema,
+        path=os.path.join(d, "events.parque[t]"),
         min_partitions=parallelism(spark),
     )
-    preds = raw.select(
+
+
+def _event_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Streaming ``value`` column: one JSON message per event row."""
+    preds = _events(spark, d).select(
         F.col("user_id").alias("userId"),
         F.get_json_object("props", "$.k").cast("int").alias("movieId"),
         F.col("value").alias("prediction"),
@@ -50,6 +54,7 @@ def _drain(df: DataFrame, spark: SparkSession, label: str, partition_by=None) ->
         partition_by=partition_by,
     )
     SM.run_available(q)
+    remove_scratch(spark, ckpt)  # a drained one-off query is never resumed
     return out
 
 
@@ -64,29 +69,92 @@ def q_stream_parse(spark: SparkSession, d: str) -> DataFrame:
     return _wall_clock(spark.read.parquet(out))
 
 
-def _score_into_store(spark: SparkSession, d: str) -> str:
-    """Messages -> parse -> valid ids -> factor scores -> store partitioned by date."""
-    parsed = SM.parse_messages(_event_messages(spark, d))
-    valid, _rejected = SM.split_valid(parsed)
+def _score_into_store(spark: SparkSession, d: str) -> tuple[str, str]:
+    """Messages -> parse -> (scored store by date, rejects), written epoch by epoch by one query."""
+    return _score_messages(spark, d, _event_messages(spark, d))
+
+
+def _score_messages(spark: SparkSession, d: str, messages: DataFrame) -> tuple[str, str]:
     f = FX.factors(spark, d)
     scorer = M.factor_scorer(f, f, cold_start="nan")
-    scored = SM.score_stream(valid, scorer).withColumn("event_date", F.to_date("timestamp"))
-    return _drain(scored, spark, "score", partition_by=["event_date"])
+    store, rejects, ckpt = (scratch_path(spark, label) for label in ("store", "rejects", "score-ckpt"))
+
+    def to_store(valid: DataFrame) -> DataFrame:
+        return SM.score_stream(valid.drop("value"), scorer).withColumn("event_date", F.to_date("timestamp"))
+
+    parsed = SM.parse_messages(messages, keep=("value",))
+    hook = SM.epoch_writer(store, rejects, to_store)
+    try:
+        SM.run_available(SM.start_stream(parsed, foreach_batch=hook, checkpoint=ckpt, trigger={"availableNow": True}))
+    finally:
+        scorer.release()
+    remove_scratch(spark, ckpt)
+    return store, rejects
 
 
 def q_stream_score_sink(spark: SparkSession, d: str) -> DataFrame:
-    back = spark.read.parquet(_score_into_store(spark, d))
+    store, _ = _score_into_store(spark, d)
+    back = spark.read.parquet(store).drop("epoch")
     return _wall_clock(back).withColumn("prediction", F.round("prediction", 6))
 
 
 def q_store_trends_24h(spark: SparkSession, d: str) -> DataFrame:
     """The hourly trend panel read from the stream-written store.
 
-    The 24-hour bound is applied to the timestamp and to the ``event_date``
-    partition column, so only the last one or two date folders are read.
+    The newest date folder gives the end of the window; the 24-hour bound is
+    applied to the timestamp and to the ``event_date`` partition column, so only
+    the last two date folders are read.
     """
-    store = spark.read.parquet(_score_into_store(spark, d))
-    as_of = D.resolve_as_of(store, "timestamp")
+    store = spark.read.parquet(_score_into_store(spark, d)[0])
+    as_of = D.resolve_as_of(store, "timestamp", date_col="event_date")
     trends = D.dash_trends(store, as_of, ts="timestamp", date_col="event_date")
     return trends.withColumn("avg_rating", F.round("avg_rating", 6))
 
+
+def q_stream_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Of every ten messages one is no JSON, one has too wide an id and one lacks an id.
+
+    ``stored`` counts what the same query put into the store, so a message lost
+    between the two tables would show.
+    """
+    events = _events(spark, d)
+    user, item = F.col("user_id").cast("string"), F.get_json_object("props", "$.k")
+    kind = F.col("event_id") % 10
+    value = (
+        F.when(kind == 0, F.concat(F.lit("not json "), F.col("event_id").cast("string")))
+        .when(kind == 1, F.concat(F.lit('{"userId": '), (F.col("user_id") + 3_000_000_000).cast("string"), F.lit(', "movieId": '), item, F.lit("}")))
+        .when(kind == 2, F.concat(F.lit('{"userId": '), user, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"userId": '), user, F.lit(', "movieId": '), item, F.lit("}")))
+    )
+    store, rejects = _score_messages(spark, d, events.select(value.alias("value")))
+    stored = spark.read.parquet(store).agg(F.count(F.lit(1)).alias("n")).withColumn("value", F.lit("stored"))
+    back = spark.read.parquet(rejects).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return back.unionByName(stored)
+
+
+def q_stream_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Binary keys and values, as a message broker delivers them, decoded to text."""
+    raw = _events(spark, d).select(
+        F.col("event_id").cast("string").cast("binary").alias("key"),
+        F.concat_ws("/", "event_type", F.col("user_id").cast("string")).cast("binary").alias("value"),
+    )
+    return spark.read.parquet(_drain(SM.decode_messages(raw), spark, "decode"))
+
+
+def q_stream_two_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Two queries over one stream, each with its own checkpoint: raw messages and parsed rows."""
+    messages = _event_messages(spark, d)
+    places = {name: (scratch_path(spark, f"two-{name}"), scratch_path(spark, f"two-{name}-ckpt")) for name in ("raw", "parsed")}
+    frames = {"raw": messages, "parsed": SM.parse_messages(messages)}
+    started = SM.start_many(
+        (frames[name], dict(sink="parquet", path=out, checkpoint=ckpt, trigger={"availableNow": True}))
+        for name, (out, ckpt) in places.items()
+    )
+    for query in started:
+        SM.run_available(query)
+    remove_scratch(spark, *(ckpt for _, ckpt in places.values()))
+    raw, parsed = (spark.read.parquet(places[name][0]) for name in ("raw", "parsed"))
+    counted = raw.agg(F.lit("raw").alias("query"), F.count("value").alias("n_rows"), F.lit(None).cast("bigint").alias("sum_user"))
+    return counted.unionByName(
+        parsed.agg(F.lit("parsed").alias("query"), F.count(F.lit(1)).alias("n_rows"), F.sum("userId").cast("bigint").alias("sum_user"))
+    )

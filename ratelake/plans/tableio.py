@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ratelake.operators import enrich as E
 from ratelake.plans import fixtures as FX
-from ratelake.schemas import CSV_TIMESTAMP_FORMAT
+from ratelake.schemas import CSV_TIMESTAMP_FORMAT, MOVIES
 from ratelake.session import scratch_path
 from ratelake.sources import tables as TB
 
@@ -42,3 +42,21 @@ def q_parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(F.col("rating_year").cast("bigint").alias("rating_year")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("rating").alias("sum_rating")
     )
+
+
+def q_csv_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings -> CSV -> scan with inferred types, summed per year."""
+    path = scratch_path(spark, "csv-inferred")
+    TB.write_csv(FX.ratings(spark, d), path, timestamp_format=CSV_TIMESTAMP_FORMAT)
+    back = TB.read_csv(spark, path, timestamp_format=CSV_TIMESTAMP_FORMAT)
+    return back.groupBy(F.year("ts").cast("bigint").alias("rating_year")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("userId") + F.col("movieId")).alias("sum_ids"), F.sum("rating").alias("sum_rating")
+    )
+
+
+def q_movies_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose titles hold quotes, separators and genre bars -> CSV -> typed scan."""
+    path = scratch_path(spark, "movies-csv")
+    title = F.concat(F.lit('The "'), F.col("title"), F.lit('", part '), F.col("movieId").cast("string"), F.lit("; a|b"))
+    TB.write_csv(FX.movies(spark, d).withColumn("title", title), path)
+    return TB.read_csv(spark, path, MOVIES).withColumn("movieId", F.col("movieId").cast("bigint"))

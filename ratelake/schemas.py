@@ -35,19 +35,14 @@ MESSAGE = T.StructType(
     ]
 )
 
+# The prediction store: what the dashboard reads from a store that holds no row yet.
 PREDICTIONS = T.StructType(
     [
         T.StructField("userId", T.IntegerType(), True),
         T.StructField("movieId", T.IntegerType(), True),
         T.StructField("prediction", T.FloatType(), True),
         T.StructField("timestamp", T.TimestampType(), True),
-    ]
-)
-
-FACTORS = T.StructType(
-    [
-        T.StructField("id", T.IntegerType(), False),
-        T.StructField("features", T.ArrayType(T.FloatType()), True),
+        T.StructField("event_date", T.DateType(), True),
     ]
 )
 

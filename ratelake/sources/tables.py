@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.ml.recommendation import ALSModel
@@ -40,38 +39,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-_SCHEMAS: dict[tuple, T.StructType] = {}
-
-
-def _fingerprint(path: str) -> tuple | None:
-    """(path, size, mtime) of a local file or folder; None when not local."""
-    try:
-        st = os.stat(path)
-    except OSError:
-        return None
-    if os.path.isdir(path):
-        newest = max((e.stat().st_mtime_ns for e in os.scandir(path)), default=st.st_mtime_ns)
-        return (os.path.abspath(path), "dir", newest)
-    return (os.path.abspath(path), st.st_size, st.st_mtime_ns)
-
-
-def read_table_cached(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan that infers a file's schema once per process.
-
-    Without a schema every ``spark.read.parquet`` runs a footer-reading job
-    before planning. Input tables that are read over and over (dimension and
-    fixture tables) keep their inferred schema here, keyed by path, size and
-    modification time, so a changed file is inferred again.
-    """
-    key = _fingerprint(path)
-    if key is not None and key in _SCHEMAS:
-        return spark.read.schema(_SCHEMAS[key]).parquet(path)
-    df = spark.read.parquet(path)
-    if key is not None:
-        _SCHEMAS[key] = df.schema
-    return df
-
-
 def write_table(
     df: DataFrame,
     path: str,

@@ -174,6 +174,51 @@ def start_many(specs: Iterable[tuple[DataFrame, dict]]) -> list[StreamingQuery]:
     return [start_stream(df, **kwargs) for df, kwargs in specs]
 
 
+def epoch_writer(
+    valid_path: str,
+    reject_path: str,
+    to_store: Callable[[DataFrame], DataFrame],
+    id_cols: Iterable[str] = ("userId", "movieId"),
+    partition_by: Iterable[str] = ("event_date",),
+) -> Callable[[DataFrame, int], None]:
+    """A batch hook that writes every parsed row to exactly one of two tables.
+
+    Rows with every id go through ``to_store`` into ``valid_path``, the others
+    into ``reject_path``: one query, one checkpoint, so no message can fall
+    between two starts. Both tables carry an ``epoch`` partition named after
+    the query and the micro-batch; a replayed micro-batch overwrites its own
+    folders and nothing else. The store is rebalanced on its partition columns
+    before the write, so a date gets a few files per micro-batch rather than
+    one per task.
+    """
+    ids, parts = list(id_cols), list(partition_by)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("the epoch writer runs inside a streaming query only")
+        epoch = F.lit(f"{query}-{epoch_id}")
+        ok = F.lit(True)
+        for c in ids:
+            ok = ok & F.col(c).isNotNull()
+
+        def put(df: DataFrame, path: str, by: list[str]) -> None:
+            out = df.withColumn("epoch", epoch)
+            if by:
+                out = out.hint("rebalance", *by)
+            writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy(*by, "epoch").parquet(path)
+
+        batch.persist()
+        try:
+            put(to_store(batch.filter(ok)), valid_path, parts)
+            put(batch.filter(~ok), reject_path, [])
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def run_available(query: StreamingQuery) -> StreamingQuery:
     """Block until an ``availableNow`` query has drained its input, then raise its error if any."""
     query.awaitTermination()

@@ -9,6 +9,7 @@ import os
 import numpy as np
 
 from ratelake import jobs
+from ratelake.streaming import messages as SM
 
 
 def _write_inputs(tmp_path):
@@ -63,7 +64,6 @@ def test_programs_end_to_end(spark, tmp_path):
         str(tmp_path / "store"),
         str(tmp_path / "ck1"),
         str(tmp_path / "rejects"),
-        str(tmp_path / "ck2"),
         source_format="json",
         source_options={"path": str(src)},
         starting_offsets=None,
@@ -71,7 +71,8 @@ def test_programs_end_to_end(spark, tmp_path):
         source_schema="value string",  # file sources need a schema; Kafka brings its own
     )
     for q in queries:
-        q.awaitTermination()
+        SM.run_available(q)
+    queries.release()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
     rejects = spark.read.parquet(str(tmp_path / "rejects")).collect()
     assert [r["value"] for r in rejects] == ["{broken"]
@@ -103,8 +104,43 @@ def test_command_line_count_and_dashboard(spark, tmp_path, capsys):
     type(spark).stop = lambda self: calls.append("stop")
     try:
         assert main(["count-csv", str(csv)]) == 0
-        assert main(["dashboard", "--store", str(store), "--as-of", "2024-01-30T12:00:00"]) == 0
+        full = str(tmp_path / "full")
+        args = ["--as-of", "2024-01-30T12:00:00", "--item", "2", "--user", "1", "--out", full]
+        assert main(["dashboard", "--store", str(store), *args]) == 0
     finally:
         type(spark).stop = orig_stop
     out = capsys.readouterr().out
     assert "n_rows" in out and "== summary" in out and calls == ["stop", "stop"]
+    read = lambda name: spark.read.parquet(os.path.join(full, name)).collect()
+    assert read("user_top_size")[0]["n_items"] == 1 and read("item")[0]["count_ratings"] == 1
+    assert [r["movieId"] for r in read("user_top")] == [2]
+
+
+def test_full_results_are_written_past_the_preview(spark, tmp_path):
+    rows = [(i % 7, i, i / 10, dt.datetime(2024, 1, 30, 10), dt.date(2024, 1, 30)) for i in range(100)]
+    store = str(tmp_path / "store")
+    schema = "userId int, movieId int, prediction float, timestamp timestamp, event_date date"
+    spark.createDataFrame(rows, schema).write.partitionBy("event_date").parquet(store)
+    from ratelake.__main__ import _deliver
+
+    _deliver({"distribution": jobs.dashboard(spark, store)["distribution"]}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "distribution")).count() == 100
+
+
+def test_dashboard_of_a_store_without_rows(spark, tmp_path):
+    os.makedirs(tmp_path / "store")
+    for as_of in (None, "latest"):
+        dash = jobs.dashboard(spark, str(tmp_path / "store"), as_of=as_of, item_id=1, user_id=1)
+        assert dash["summary"].first()["total_predictions"] == 0 and dash["stats"].first()["avg_prediction"] is None
+        assert dash["trends"].count() == dash["recent"].count() == dash["user_top"].count() == 0
+
+
+def test_blocks_follow_the_rows(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jobs, "ROWS_PER_BLOCK", 20)
+    real = jobs.M.train
+    monkeypatch.setattr(jobs.M, "train", lambda df, **k: (seen.append(k), real(df, **k))[1])
+    rows = [(i % 20, i % 17, float(i % 5 + 1)) for i in range(340)]
+    spark.createDataFrame(rows, "userId int, movieId int, rating float").write.parquet(str(tmp_path / "e"))
+    jobs.train_model(spark, str(tmp_path / "e"))
+    assert seen[0]["num_user_blocks"] == seen[0]["num_item_blocks"] > 10

@@ -18,8 +18,13 @@ EAGER = {
     "stream_parse",
     "stream_score_sink",
     "store_trends_24h",
+    "csv_inferred",
+    "movies_csv_roundtrip",
+    "stream_decode",
+    "stream_rejects",
+    "stream_two_queries",
 }
-BATCH = [n for n in E.queries() if n not in EAGER]
+BATCH = [n for n in E.QUERIES if n not in EAGER]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratelake.operators import model as M
 from ratelake.streaming import messages as SM
+from tests.conftest import SF_SMALL
 
 MESSAGES = [
     json.dumps({"userId": 1, "movieId": 2, "rating": 3.5, "timestamp": 1700000000}),
@@ -172,3 +173,60 @@ def test_min_partitions_spreads_a_single_partition_source(spark, tmp_path):
     )
     back = spark.read.parquet(out)
     assert back.count() == 35 and back.select("part").distinct().count() == 4
+
+
+def _epoch_stream(spark, src, tmp_path, ck="ck"):
+    hook = SM.epoch_writer(
+        str(tmp_path / "store"), str(tmp_path / "rejects"),
+        lambda df: df.drop("value").withColumn("event_date", F.to_date("timestamp")),
+    )
+    parsed = SM.parse_messages(_stream_of(spark, src), keep=("value",))
+    SM.run_available(SM.start_stream(parsed, foreach_batch=hook, checkpoint=str(tmp_path / ck), trigger={"availableNow": True}))
+
+
+def test_every_message_reaches_exactly_one_table(spark, tmp_path):
+    src = str(tmp_path / "src")
+    _write_json_lines(src, MESSAGES, "p.json")
+    _epoch_stream(spark, src, tmp_path)
+    store, rejects = (spark.read.parquet(str(tmp_path / n)) for n in ("store", "rejects"))
+    assert (store.count(), rejects.count()) == (4, 4)
+    # a replayed micro-batch (its commit removed) overwrites its own folders
+    for name in ("0", ".0.crc"):
+        os.remove(tmp_path / "ck" / "commits" / name)
+    _epoch_stream(spark, src, tmp_path)
+    assert (spark.read.parquet(str(tmp_path / "store")).count(), spark.read.parquet(str(tmp_path / "rejects")).count()) == (4, 4)
+    # the next micro-batch and another query add to them
+    _write_json_lines(src, MESSAGES[:2], "q.json")
+    _epoch_stream(spark, src, tmp_path)
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 6
+    _epoch_stream(spark, src, tmp_path, ck="other")
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 12
+
+
+def test_a_date_gets_few_files(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for n in range(8):
+        values = [json.dumps({"userId": 1, "movieId": n, "timestamp": 1700000000 + 86400 * day}) for day in range(5)]
+        _write_json_lines(src, values, f"p{n}.json")
+    _epoch_stream(spark, src, tmp_path)
+    files = list((tmp_path / "store").rglob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 40 and len(files) == 5
+
+
+def test_event_streams_read_files_and_folders_alike(spark, tmp_path):
+    from ratelake.plans import streams as ST
+
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    a, b = (sorted(map(tuple, ST.q_stream_parse(spark, d).collect()), key=repr) for d in (SF_SMALL, str(tmp_path)))
+    assert a == b and len(a) == events.count()
+
+
+@pytest.mark.parametrize("offsets", ["latest", "earliest", None])
+def test_starting_offsets_reach_the_source(spark, monkeypatch, offsets):
+    given = {}
+    reader = type(spark.readStream)
+    monkeypatch.setattr(reader, "option", lambda self, k, v: (given.__setitem__(k, v), self)[1])
+    monkeypatch.setattr(reader, "load", lambda self, *a: None)
+    SM.message_stream(spark, "kafka", {"subscribe": "ratings"}, offsets, min_partitions=3)
+    assert given == {"subscribe": "ratings", "minPartitions": "3"} | ({"startingOffsets": offsets} if offsets else {})
