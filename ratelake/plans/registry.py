@@ -272,7 +272,8 @@ def q_als_train_score(spark, d):
     TB.save_model(M.train(train_df, rank=10, max_iter=5, reg=0.01, cold_start="drop", seed=42), path)
     scored = M.score(TB.load_model(path), test_df.select("userId", "movieId", "rating", "ts"))
     finite = F.coalesce(F.abs("prediction") < F.lit(float("inf")), F.lit(False))
-    return scored.select("userId", "movieId", "rating", "ts", finite.alias("has_score"))
+    ids = [F.col(c).cast("bigint").alias(c) for c in ("userId", "movieId")]  # ALS scores int ids
+    return scored.select(*ids, "rating", "ts", finite.alias("has_score"))
 
 
 def q_dash_user_top_size(spark, d):
