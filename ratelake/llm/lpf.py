@@ -19,8 +19,9 @@ with one anchor form a segment.
    stays); ``keep="none"`` removes every repeated window.
 
 Whole-document copies are recognised by hash and never compared. An anchor with more
-than ``HOT`` distinct segments is not gathered: its windows are hashed and counted
-by Spark one by one instead, which is exact too.
+than ``HOT`` segments is not gathered: its segments are reduced to distinct ones and
+their windows hashed and counted by Spark one by one instead, which is exact too.
+Texts are shuffled only where the anchors or runs they meet are too many to broadcast.
 
 Defined results: texts are UTF-8 bytes, a null text is empty; matches never cross
 documents; equal rows are copies of one another; with ``keep="first"`` the first
@@ -35,7 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelake.llm.common import saved
@@ -43,9 +45,9 @@ from ratelake.session import scratch_path
 
 GRAM = 64
 PIECE = 1 << 20  # window starts hashed at once
-HOT = 4096
+HOT = 1024
 POS_BITS = 22
-MAX_BROADCAST_ENTRIES = 1_000_000
+MAX_BROADCAST_ENTRIES = 4_000_000  # numbers in a side that is broadcast
 _MASK = np.uint64((1 << POS_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -186,15 +188,15 @@ def _digest(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
 
 
-def removed_ranges(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame, DataFrame]:
-    """(copies: h1, h2, n, first id) of texts held by several rows, and (h1, h2, ranges) of every
-    distinct text's inclusive window ranges to remove. ``docs``: doc_id, t (bytes), h1, h2."""
+def removed_runs(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame, DataFrame]:
+    """(copies: h1, h2, n, first id) of texts held by several rows, and (h1, h2, runs) of every
+    distinct text's byte runs [start, end) to remove. ``docs``: doc_id, t (bytes), h1, h2."""
     spark = docs.sparkSession
     long_enough = F.octet_length("t") >= length
     copies = saved(
         docs.where(long_enough).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1")
     )
-    marked = docs.where(long_enough).join(_fits(copies, copies.count()), ["h1", "h2"], "left")
+    marked = docs.where(long_enough).join(_fits(copies, 4 * copies.count()), ["h1", "h2"], "left")
     reps = marked.where(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("low")))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def removed_ranges(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame,
     seen = spark.read.schema(seen.schema).parquet(_write(seen, "lpf-anchors"))
     again = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     wanted = saved(seen.join(again, "anchor").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("anchors")))
-    entries = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    entries = wanted.agg(F.sum(2 + F.size("anchors"))).first()[0] or 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers()
@@ -247,18 +249,19 @@ def removed_ranges(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame,
     # Positions in text order: null ids last.
     place = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), "h1", "h2", F.element_at("starts", 1).alias("a"))
     same = saved(
-        parts.groupBy("anchor", "k1", "k2").agg(F.sum(F.size("starts")).alias("n"), F.min(place).alias("first"))
-    )
-    groups = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("g"))
-    texts = parts.groupBy("anchor", "k1", "k2").agg(F.first("s").alias("s"), F.first("o").alias("o"))
-    plural = saved(groups.where("g > 1"))
-    hot = plural.where(F.col("g") > HOT)
+        parts.groupBy("anchor", "k1", "k2").agg(F.sum(F.size("starts")).alias("n"), F.count(F.lit(1)).alias("m"), F.min(place).alias("first"))
+    )
+    plural = saved(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("g"), F.sum("m").alias("m")).where("g > 1"))
+    calm, hot = plural.where(F.col("m") <= HOT).select("anchor"), plural.where(F.col("m") > HOT).select("anchor")
+    # The strings are shuffled once, by anchor; of equal segments the first in text order stays.
+    one = F.row_number().over(Window.partitionBy("anchor", "k1", "k2").orderBy("place"))
     cold = (
-        texts.join(plural.where(F.col("g") <= HOT).select("anchor"), "anchor")
-        .join(same.select("anchor", "k1", "k2", "first"), ["anchor", "k1", "k2"])
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "first")
-        .drop("first")
+        parts.select("anchor", "k1", "k2", "o", "s", place.alias("place"))
+        .join(calm.hint("merge"), "anchor")
+        .withColumn("r", one)
+        .where("r = 1")
+        .sortWithinPartitions("anchor", "place")
+        .select("anchor", "k1", "k2", "o", "s")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +279,8 @@ def removed_ranges(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame,
     ranged = cold.mapInArrow(compare, "k1 long, k2 long, ranges array<array<long>>")
     n_hot = hot.count()
     if n_hot:
-        ranged = ranged.unionAll(_hashed_windows(texts.join(hot.select("anchor"), "anchor"), same, length, keep))
+        strings = parts.join(_fits(hot, n_hot), "anchor").groupBy("anchor", "k1", "k2").agg(F.first("s").alias("s"))
+        ranged = ranged.unionAll(_hashed_windows(strings, same, length, keep))
     result = same.join(ranged, ["k1", "k2"], "left").where((F.col("n") > 1) | (F.size("ranges") > 0))
     every = lambda c: F.array(F.array(F.lit(0).cast("long"), c))
     merged = parts.select("k1", "k2", "doc_id", "h1", "h2", "starts", (F.octet_length("s") - length).cast("long").alias("end")).join(
@@ -289,9 +293,18 @@ def removed_ranges(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame,
         whole = whole & ~mine
     lists = F.when(whole, every(F.col("end"))).otherwise(F.coalesce("ranges", F.array().cast("array<array<long>>")))
     spans = rows.select("h1", "h2", "a", F.explode(lists).alias("r")).select(
-        "h1", "h2", F.struct((F.col("a") + F.col("r")[0]).alias("x"), (F.col("a") + F.col("r")[1]).alias("y")).alias("r")
+        "h1", "h2", F.struct((F.col("a") + F.col("r")[0]).alias("x"), (F.col("a") + F.col("r")[1] + length).alias("y")).alias("r")
     )
-    return copies, saved(spans.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("r")).alias("ranges")))
+    by_text = spans.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("r")).alias("runs"))  # one text's own segments
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [merged_runs([(r["x"], r["y"]) for r in one]) for one in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h1"), batch.column("h2"), pa.array(runs, pa.list_(pa.list_(pa.int64())))], names=["h1", "h2", "runs"]
+            )
+
+    return copies, saved(by_text.mapInArrow(joined, "h1 long, h2 long, runs array<array<long>>"))
 
 
 def _hashed_windows(texts: DataFrame, same: DataFrame, length: int, keep: str) -> DataFrame:
@@ -357,20 +370,24 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
     ])
 
 
-def cut_ranges(t: bytes, ranges: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], bytes]:
-    """The maximal removed byte runs of sorted inclusive window ranges, and what is left."""
-    runs: list[list[int]] = []
-    for x, y in ranges:
-        if runs and x <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], y + length)
+def merged_runs(runs: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal runs of sorted [start, end) runs that overlap or touch."""
+    out: list[list[int]] = []
+    for x, y in runs:
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
         else:
-            runs.append([x, y + length])
+            out.append([x, y])
+    return out
+
+
+def left_over(t: bytes, runs: list[list[int]]) -> bytes:
     kept, at = [], 0
     for a, b in runs:
         kept.append(t[at:a])
         at = b
     kept.append(t[at:])
-    return [(a, b) for a, b in runs], b"".join(kept)
+    return b"".join(kept)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", text: str = "text") -> DataFrame:
@@ -378,25 +395,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", text
     if keep not in ("first", "none") or length < 2 * GRAM:
         raise ValueError(f"keep is 'first' or 'none', length at least {2 * GRAM}")
     base = prepared(docs, text)
-    copies, ranges = removed_ranges(base, length, keep)
-    n_ranges = ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0
-    rows = base.join(_fits(copies, copies.count()), ["h1", "h2"], "left").join(_fits(ranges, n_ranges), ["h1", "h2"], "left")
+    copies, runs = removed_runs(base, length, keep)
+    entries = runs.agg(F.sum(2 + 2 * F.size("runs"))).first()[0] or 0
+    rows = base.join(_fits(copies, 4 * copies.count()), ["h1", "h2"], "left").join(_fits(runs, entries), ["h1", "h2"], "left")
     is_copy = F.col("n").isNotNull()
     if keep == "first":
         is_copy = is_copy & ~F.col("doc_id").eqNullSafe(F.col("low"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("x"), (F.octet_length("t") - length).cast("long").alias("y")))
-    rows = rows.select("doc_id", "t", F.when(is_copy, whole).otherwise(F.col("ranges")).alias("ranges"))
+    whole = F.array(F.array(F.lit(0).cast("long"), F.octet_length("t").cast("long")))
+    rows = rows.select("doc_id", "t", F.when(is_copy, whole).otherwise(F.col("runs")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for t, r in zip(batch.column("t"), batch.column("ranges"), strict=True):
-                t = t.as_py()
-                spans, kept = cut_ranges(t, [(p["x"], p["y"]) for p in r.as_py() or []], length)
-                for column, value in zip(out, (len(t), [list(s) for s in spans], kept), strict=True):
-                    column.append(value)
+            spans = [x or [] for x in batch.column("spans").to_pylist()]
+            kept = [left_over(t.as_py(), x) if x else t.as_py() for t, x in zip(batch.column("t"), spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.list_(pa.int64()))), pa.array(out[2], pa.binary())],
+                [batch.column("doc_id"), pc.binary_length(batch.column("t")).cast(pa.int64()),
+                 pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
 
