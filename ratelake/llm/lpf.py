@@ -427,3 +427,24 @@ def repeat_report(docs: DataFrame, length: int = 400) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def oracle_sql(length: int = 400) -> str:
+    """``repeat_report`` in DuckDB SQL: every window's digest counted over the corpus."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * length})) AS m
+      FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - {length - 1}, 0))) AS i FROM d)),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM hit),
+numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+runs AS (SELECT r, run, min(i) AS a, max(i) + {length} AS b FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM runs
+         UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+kept AS (SELECT g.r, string_agg(substr(h, 2 * x + 1, CASE WHEN y IS NULL THEN len(h) ELSE 2 * (y - x) END), '' ORDER BY x) AS k
+         FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r),
+sums AS (SELECT r, sum(b - a) AS n, count(*) AS c FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r
+"""

@@ -61,4 +61,7 @@ QUERIES = {
     "op10_kneser_ney_quality": op10_kneser_ney_quality,
 }
 
-ORACLE: dict[str, str] = {"op2_spaced_seeds": decontam.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op2_spaced_seeds": decontam.oracle_sql(),
+    "op8_longest_previous_factor": lpf.oracle_sql(),
+}
