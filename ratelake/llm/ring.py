@@ -16,6 +16,7 @@ and checksum 0. Input columns named like a result column are replaced.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
@@ -42,7 +43,7 @@ def ring_points(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
 def capacities(total: int, shards: int, epsilon: float) -> list[int]:
     """Rows a shard may take: exactly the even split for ``epsilon`` 0, else (1 + epsilon) times the mean."""
     if epsilon > 0:
-        return [-(-int(total * (1 + epsilon) * 1_000_000) // (shards * 1_000_000)) + 1] * shards
+        return [math.ceil(total * (1 + epsilon) / shards)] * shards
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
