@@ -2,8 +2,9 @@
 
 Texts become lower-case runs of letters and digits. A seed is a fixed mask over a
 short token window; the tokens under its zeros are ignored, so a hit survives
-substitutions there. Training and benchmark windows meet by seed hash; every hit
-gives an alignment (item, offset). Around it the item's tokens are compared with
+substitutions there. Training and benchmark windows meet by seed hash (only windows
+whose outer tokens occur so in the benchmark are hashed); every hit gives an
+alignment (item, offset). Around it the item's tokens are compared with
 the document's, and the pair counts as an overlap if some ``window`` consecutive
 aligned tokens hold at most ``substitutions`` differences.
 
@@ -26,30 +27,44 @@ from ratelake.llm.common import saved, small_side
 SEEDS = ("110101101", "101100111", "111001011")
 WINDOW = 13
 SUBSTITUTIONS = 2
+MAX_LITERALS = 50_000  # hashes of window ends that are written into the plan
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; an empty array for none."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+def token_hashes(text: Column) -> Column:
+    """Hashes of the lower-case runs of letters and digits; an empty array for none."""
+    runs = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    # The only empty pieces are those before the first and after the last run.
+    return F.array_remove(F.transform(runs, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
-def seed_hashes(hashes: Column, seeds: tuple[str, ...]) -> Column:
-    """For every seed, the hash at every position; positions of one seed follow those of the one before."""
+def _ends(seeds: tuple[str, ...]) -> list[int]:
+    """The first and the last position that all seeds look at."""
+    if len({len(s) for s in seeds}) != 1 or any(s[0] != "1" for s in seeds):
+        raise ValueError("seeds have one length and look at their first token")
+    return sorted({0, max(k for k in range(len(seeds[0])) if all(s[k] == "1" for s in seeds))})
 
-    def at(number: int, seed: str) -> Column:
-        ones = [k for k, c in enumerate(seed) if c == "1"]
-        return F.transform(
-            hashes, lambda x, i: F.xxhash64(F.lit(number), x, *[F.get(hashes, i + F.lit(k)) for k in ones if k])
-        )
-
-    return F.concat(*[at(n, s) for n, s in enumerate(seeds)])
 
+def _windows(df: DataFrame, seeds: tuple[str, ...], key: str, ends: list[int] | None = None) -> DataFrame:
+    """(key, pos, seed) of all windows; ``df`` has a column ``h`` of token hashes.
 
-def _windows(df: DataFrame, seeds: tuple[str, ...], *keys: str) -> DataFrame:
-    """(keys, pos, seed hash) of all windows; ``df`` has a column ``h`` of token hashes."""
-    rows = df.select(*keys, F.size("h").alias("n"), F.posexplode(seed_hashes(F.col("h"), seeds)).alias("at", "seed"))
-    return rows.select(*keys, F.pmod("at", "n").alias("pos"), "seed")
+    ``ends`` are the hashes that the tokens at the seeds' common ends may have:
+    no other window can meet a seed of theirs, so its seeds are not computed.
+    """
+    h = F.col("h")
+    look = lambda i, k: F.get(h, i + F.lit(k))
+    starts = F.when(F.size(h) >= len(seeds[0]), F.sequence(F.lit(0), F.size(h) - len(seeds[0])))
+    if ends is not None:
+        starts = F.filter(starts, lambda i: F.xxhash64(*[look(i, k) for k in _ends(seeds)]).isin(ends))
+    found = F.transform(
+        starts,
+        lambda i: F.array(
+            *[
+                F.struct(i.alias("pos"), F.xxhash64(F.lit(n), *[look(i, k) for k, c in enumerate(s) if c == "1"]).alias("seed"))
+                for n, s in enumerate(seeds)
+            ]
+        ),
+    )
+    return df.select(key, F.explode(F.flatten(found)).alias("w")).select(key, "w.pos", "w.seed")
 
 
 def overlaps(
@@ -64,25 +79,33 @@ def overlaps(
     ``key`` identifies the row's doc_id and text; ``pos`` is the document token that
     the item's first token falls on (it may be negative for a partial passage).
     """
-    token_hashes = F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w))
-    least = max(window, max(map(len, seeds)))
+    hashed = token_hashes(F.col("text"))
+    least = max(window, len(seeds[0]))
     items = saved(
-        benchmark.select("item_id", token_hashes.alias("h"))
+        benchmark.select("item_id", hashed.alias("h"))
         .where(F.size("h") >= least)
         .select(F.col("item_id"), F.xxhash64("item_id", "h").alias("item"), "h")
         .distinct()
     )
-    known = saved(_windows(items, seeds, "item").select("item", F.col("pos").alias("item_pos"), "seed"))
+    known = saved(_windows(items, seeds, "item").withColumnRenamed("pos", "item_pos"))
+    pairs_of = F.explode(
+        F.transform(
+            F.sequence(F.lit(0), F.size("h") - len(seeds[0])), lambda i: F.xxhash64(*[F.get("h", i + F.lit(k)) for k in _ends(seeds)])
+        )
+    )
+    ends = saved(items.select(pairs_of.alias("e")).distinct())
+    few = ends.count() <= MAX_LITERALS  # a benchmark beyond that is met by its seeds alone
+    literals = sorted(r["e"] for r in ends.collect()) if few else None
     key = F.xxhash64("doc_id", "text").alias("key")
     scan = docs.where(F.col("text").isNotNull())
-    found = _windows(scan.select(key, token_hashes.alias("h")), seeds, "key")
+    found = _windows(scan.select(key, hashed.alias("h")), seeds, "key", literals)
     hits = found.join(small_side(known, known.count()), "seed").select(
         "key", F.struct("item", (F.col("pos") - F.col("item_pos")).alias("shift")).alias("hit")
     )
     wanted = saved(hits.groupBy("key").agg(F.collect_set("hit").alias("hits")))
     near = scan.select("doc_id", "text", key).join(small_side(wanted, wanted.count()), "key")
     pairs = (
-        near.select("key", "doc_id", token_hashes.alias("d"), F.explode("hits").alias("hit"))
+        near.select("key", "doc_id", hashed.alias("d"), F.explode("hits").alias("hit"))
         .select("key", "doc_id", "d", "hit.item", "hit.shift")
         .join(small_side(items, items.count()), "item")
     )
