@@ -44,8 +44,8 @@ from ratelake.llm.common import saved
 from ratelake.session import scratch_path
 
 GRAM = 64
-PIECE = 1 << 20  # window starts hashed at once
-HOT = 1024
+PIECE = 1 << 18  # window starts hashed at once: about 50 MB of arrays in a task
+HOT = 1 << 14  # segments of one anchor that are compared in one task: tens of MB
 POS_BITS = 22
 MAX_BROADCAST_ENTRIES = 4_000_000  # numbers in a side that is broadcast
 _MASK = np.uint64((1 << POS_BITS) - 1)
