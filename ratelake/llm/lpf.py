@@ -201,7 +201,7 @@ def removed_runs(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame, Da
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers()
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column("t").to_pylist()
             h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
             for i, _, _, _, hashes in segments(texts, length, powers):
@@ -218,7 +218,7 @@ def removed_runs(docs: DataFrame, length: int, keep: str) -> tuple[DataFrame, Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers()
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column("t").to_pylist()
             ids, h1, h2 = (batch.column(c) for c in ("doc_id", "h1", "h2"))
             want = [np.sort(np.array(a.as_py(), np.int64)) for a in batch.column("anchors")]
@@ -331,7 +331,7 @@ def _hashed_windows(texts: DataFrame, same: DataFrame, length: int, keep: str) -
     return hits.groupBy("k1", "k2").agg(F.collect_list(F.array("a", "a")).alias("ranges"))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.Table]:
     """Tables of complete anchor groups from batches sorted by anchor."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -352,6 +352,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterat
         yield pa.Table.from_batches(held)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _fits(df: DataFrame, entries: int) -> DataFrame:
     """Broadcast a narrow side of at most ``MAX_BROADCAST_ENTRIES`` entries; beyond that Spark shuffles."""
     return F.broadcast(df) if entries <= MAX_BROADCAST_ENTRIES else df
@@ -405,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", text
     rows = rows.select("doc_id", "t", F.when(is_copy, whole).otherwise(F.col("runs")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             spans = [x or [] for x in batch.column("spans").to_pylist()]
             kept = [left_over(t.as_py(), x) if x else t.as_py() for t, x in zip(batch.column("t"), spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
