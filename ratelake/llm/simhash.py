@@ -11,6 +11,9 @@ gives its pair from plain aggregates; larger buckets are split into blocks of
 bounded size, and each pair of blocks gives only a spanning forest of its links.
 Links are joined into components.
 
+``drop_near_duplicates`` uses no fingerprints: its candidates come from a prefix
+filter over the shingle sets, which loses no pair of the asked similarity.
+
 Defined results: a null or empty text has no words and fingerprint zero, linked
 like any other; equal rows share a component; a null ``doc_id`` never becomes a
 component id unless nothing else is reachable; an empty table gives an empty
@@ -19,12 +22,13 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelake.llm.common import saved, small_side
@@ -32,6 +36,10 @@ from ratelake.llm.components import connected_components
 
 BLOCK = 256  # members of a bucket that are compared at once
 CHUNK = 1 << 15  # shingles unpacked at once
+BLOCK_SHINGLES = 1 << 19  # shingles of a block
+SAMPLE = 8_000  # documents whose shingles are counted
+COMMON = 3  # documents of the sample that share a common shingle
+MOST_COMMON = 200_000
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -145,34 +153,75 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.unionAll(sets.mapInArrow(run, "a long, b long")).distinct()
 
 
-def signatures(docs: DataFrame, n_prints: int = 4) -> DataFrame:
-    """(doc_id, key, w1, w2, fps) of every row: a key of id and text, a 128-bit hash of the word
-    sequence, and ``n_prints`` independent fingerprints of the set of words."""
-    odd = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)][:n_prints]
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(shingle_hashes(words_of(text), width, 42)).view(np.int64)
+
 
-    def mixed(h: np.ndarray, m: np.uint64) -> np.ndarray:
-        h = h * m
-        h = (h ^ (h >> np.uint64(32))) * m
-        return h ^ (h >> np.uint64(29))
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(cid, s): the sorted distinct shingle hashes of column ``t``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w1, w2, fps = [], [], []
+            sets = [np.sort(shingle_set(t.as_py(), width)) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "s"])
+
+    return docs.select("cid", "t").mapInArrow(run, "cid long, s array<long>")
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several of about ``SAMPLE`` documents share, sorted: prefixes take them last, rarer ones first.
+
+    Only the order of a prefix depends on them, never which pairs are found.
+    """
+    n = docs.count()
+    texts = docs.select(F.col("text").cast("binary").alias("t")).distinct()
+    if n > SAMPLE:
+        texts = texts.where(F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
+    sets = shingle_sets(texts.withColumn("cid", F.lit(0).cast("long")), width)
+    often = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    top = often.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
+    return np.array(sorted(r.s for r in top), np.int64)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set: those of ``indexed`` and a tenth more."""
+    n = len(own)
+    often = np.isin(own, common, assume_unique=True)
+    ranked = np.concatenate([own[~often], own[often]])
+    return ranked[: n - math.ceil(similarity * n - 1e-9) + 1 + n // 10] if n else own
+
+
+def indexed(similarity: float) -> Column:
+    """The shingles of ``pre`` of which any two sets of Jaccard ``similarity`` share one.
+
+    Such sets share at least ``similarity`` times the larger one's size, so under one order
+    of all shingles the first ``size - need + 1`` of each hold a shared one.
+    """
+    return F.slice("pre", F.lit(1), (F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
+
+
+def signatures(docs: DataFrame, common: np.ndarray, similarity: float, width: int) -> DataFrame:
+    """(doc_id, key, w1, w2, size, pre) of every row: a key of id and text, a 128-bit hash of the
+    shingle set, its size and its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w1, w2, size, pre = [], [], [], []
             for t in batch.column("t"):
-                words = words_of(t.as_py())
-                joined = b" ".join(words)
-                w1.append(signed(xxhash.xxh64_intdigest(joined, 1)))
-                w2.append(signed(xxhash.xxh64_intdigest(joined, 2)))
-                own = set(words)
-                h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
-                fps.append([signed(majority(mixed(h, m))) for m in odd])
+                own = shingle_set(t.as_py(), width)
+                w1.append(signed(xxhash.xxh64_intdigest(own.tobytes(), 1)))
+                w2.append(signed(xxhash.xxh64_intdigest(own.tobytes(), 2)))
+                size.append(len(own))
+                pre.append(prefix(own, common, similarity))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "w1", "w2", "fps"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()),
+                 pa.array(size, pa.int64()), pa.array(pre, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "w1", "w2", "size", "pre"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, key long, w1 long, w2 long, fps array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, w1 long, w2 long, size long, pre array<long>")
 
 
 def row_key() -> Column:
@@ -180,108 +229,105 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(cid, s): the sorted distinct shingle hashes of column ``t``."""
+def _meetings(classes: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, cid, size, low): the classes of every prefix shingle that several have, and the bucket's smallest class."""
+    rows = classes.select("cid", "size", F.explode(indexed(similarity)).alias("bucket"))
+    whole = Window.partitionBy("bucket")
+    met = rows.withColumn("low", F.min("cid").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
+    return met.where("n > 1").select("bucket", "cid", "size", "low")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), width, 42)).view(np.int64) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "s"])
 
-    return docs.select("cid", "t").mapInArrow(run, "cid long, s array<long>")
+def _sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``table`` (cid and others) of both, named with a and b behind."""
+    for end in ("a", "b"):
+        pairs = pairs.join(table.select(*[F.col(c).alias(end if c == "cid" else c + end) for c in table.columns]), end)
+    return pairs
 
 
-def _candidate_sets(classes: DataFrame, radius: int) -> DataFrame:
-    """(cids): the distinct sets of classes that meet in a bucket of any print, at most two blocks in each."""
-    masks = [signed(m) for m in covering_masks(radius)]
-    one = lambda fp, j: F.array(*[F.xxhash64(j, F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
-    rows = classes.select("cid", F.explode(F.flatten(F.transform("fps", lambda fp, j: one(fp, j)))).alias("bucket"))
-    # Nearly every bucket holds one row, so rows are shuffled as they are, without partial sums.
-    sizes = rows.repartition("bucket").groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b")
+def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
+    """``pairs`` (a, b) whose shingle sets have at least the similarity, counted exactly.
+
+    What two sets share lies in both prefixes or beyond the end of one, which bounds it: pairs
+    that this rules out need no whole sets.
+    """
+    share = similarity / (1 + similarity)
+    beyond = F.greatest(F.col("sizea") - F.size("prea"), F.col("sizeb") - F.size("preb"))
+    most = F.size(F.array_intersect("prea", "preb")) + beyond
+    hopeful = _sides(pairs, classes.select("cid", "size", "pre")).where(most >= share * (F.col("sizea") + F.col("sizeb")) - 1e-6)
+    hopeful = saved(hopeful.select("a", "b"))
+    ids = hopeful.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = saved(classes.join(ids, "cid").select("cid", F.col("low.key").alias("key")))
+    texts = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(
+        small_side(wanted, wanted.count()), "key"
     )
-    full = saved(sizes.where("n > 1"))
-    pairs = full.where("n = 2").select(F.array("a", "b").alias("cids"))
-    large = full.where("n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    info = shingle_sets(texts, width).groupBy("cid").agg(F.first("s").alias("s"))
+    rows = _sides(hopeful, info).withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return rows.where(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+
+def _open_sets(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(m): of every bucket that several components meet in, its members' (cid, label), at most two blocks in each."""
+    rows = met.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    sizes = rows.groupBy("bucket").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")
+    )
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
+    wide = saved(sizes.where("x <> y").where("n > 2").select("bucket", blocks.alias("blocks")))  # two met at their star
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = rows.join(small_side(large, large.count()), "bucket").withColumn("own", own).withColumn("other", other)
+    member = rows.join(small_side(wide, wide.count()), "bucket").withColumn("own", own).withColumn("other", other)
     sets = member.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
-        F.sort_array(F.collect_list("cid")).alias("cids")  # two blocks: bounded by about 2 * BLOCK
+        F.sort_array(F.collect_list(F.struct("cid", "label", "size"))).alias("m")  # two blocks: bounded by about 2 * BLOCK
     )
-    return pairs.unionAll(sets.select("cids")).distinct().where(F.size("cids") > 1)
+    return sets.select("m").distinct()
 
 
-def _verified_links(sets: DataFrame, info: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b): in every set, links that join all classes which similar pairs join.
-
-    A pair counts if some print differs in at most ``radius`` bits and the shingle
-    sets' similarity suffices; pairs already joined inside the set are not counted again.
-    ``info``: cid, fps, s.
-    """
-    members = sets.select(F.xxhash64("cids").alias("sid"), F.explode("cids").alias("cid")).join(info, "cid")
-    # A set holds at most two blocks, so its members fit one row.
-    gathered = members.groupBy("sid").agg(F.collect_list(F.struct("cid", "fps", "s")).alias("m"))
+def _open_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of a set whose labels differ and whose sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
             for row in batch.column("m"):
-                cid, fps, s = row.values.flatten()
-                ids = cid.to_numpy()
-                prints = np.array(fps.to_pylist(), np.int64).view(np.uint64)
-                shingles = [x.values.to_numpy() for x in s]
-                gap = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).min(axis=2)
-                i, j = np.nonzero(np.triu(gap <= radius, 1))
-                parent = list(range(len(ids)))
-                for k in np.argsort(gap[i, j], kind="stable").tolist():
-                    p, q = int(i[k]), int(j[k])
-                    x, y = p, q
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    while parent[y] != y:
-                        parent[y] = parent[parent[y]]
-                        y = parent[y]
-                    if x == y:
-                        continue
-                    n, m = len(shingles[p]), len(shingles[q])
-                    if min(n, m) < similarity * max(n, m):
-                        continue
-                    both = len(np.intersect1d(shingles[p], shingles[q], assume_unique=True))
-                    if both >= similarity * (n + m - both):
-                        parent[x] = y
-                        a.append(int(ids[p]))
-                        b.append(int(ids[q]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                cid, label, size = (x.to_numpy(zero_copy_only=False) for x in row.values.flatten())
+                near = np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size)
+                i, j = np.nonzero(np.triu(near & (label[:, None] != label[None, :]), 1))
+                low, high = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+                for at in range(0, len(low), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(low[part], pa.int64()), "b": pa.array(high[part], pa.int64())})
 
-    return gathered.select("m").mapInArrow(run, "a long, b long").distinct()
+    return sets.mapInArrow(run, "a long, b long").distinct()
 
 
-def dropped_keys(docs: DataFrame, similarity: float = 0.8, width: int = 5, n_prints: int = 4, radius: int = 4) -> DataFrame:
+def dropped_keys(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(key): the documents to drop so that one document of each group stays.
 
-    Documents of one word sequence are copies. Distinct sequences are linked if one
-    of their fingerprints pairs them and their sets of ``width``-word shingles have
-    a Jaccard similarity of at least ``similarity``, counted exactly. Of a group the
-    smallest doc_id stays (null ids last).
+    Documents of one set of ``width``-word shingles are copies. Distinct sets are linked if
+    their Jaccard similarity is at least ``similarity``, counted exactly for every pair whose
+    prefixes share a shingle; no pair of that similarity has prefixes without one. A bucket's
+    members are first held against its smallest; then only pairs that this has not joined are
+    counted. Of a group the smallest doc_id stays (null ids last).
     """
-    rows = saved(signatures(docs, n_prints))
+    rows = saved(signatures(docs, common_shingles(docs, width), similarity, width))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = saved(
-        rows.groupBy("w1", "w2").agg(F.min(order).alias("low"), F.countDistinct("key").alias("n"), F.first("fps").alias("fps"))
+        rows.groupBy("w1", "w2")
+        .agg(F.min(order).alias("low"), F.min("key").alias("k1"), F.max("key").alias("k2"), F.first("size").alias("size"), F.first("pre").alias("pre"))
         .withColumn("cid", F.xxhash64("w1", "w2"))
+        .withColumn("several", F.col("k1") != F.col("k2"))
+        .drop("k1", "k2")
     )
-    sets = saved(_candidate_sets(classes, radius))
-    ids = sets.select(F.explode("cids").alias("cid")).distinct()
-    wanted = saved(classes.join(ids, "cid").select("cid", "fps", F.col("low.key").alias("key")))
-    texts = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(
-        small_side(wanted.select("key", "cid"), wanted.count()), "key"
-    )
-    shingles = shingle_sets(texts, width).groupBy("cid").agg(F.first("s").alias("s"))
-    linked = _verified_links(sets, wanted.select("cid", "fps").join(shingles, "cid"), radius, similarity)
-    labels = saved(connected_components(linked))
-    grouped = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 OR label IS NOT NULL")
+    met = saved(_meetings(classes, similarity))
+    sizes = classes.select(F.col("cid").alias("low"), F.col("size").alias("least"))
+    stars = met.where("cid <> low").select("cid", "low", "size").distinct().join(sizes, "low")
+    stars = stars.where(F.least("size", "least") >= similarity * F.greatest("size", "least")).select(F.col("low").alias("a"), F.col("cid").alias("b"))
+    linked = saved(_similar(stars, docs, classes, similarity, width))
+    labels = saved(connected_components(linked).withColumnRenamed("node", "cid"))
+    left = saved(_open_pairs(_open_sets(met, labels), similarity))
+    if left.limit(1).count():
+        linked = linked.unionAll(saved(_similar(left, docs, classes, similarity, width)))
+        labels = saved(connected_components(linked).withColumnRenamed("node", "cid"))
+    grouped = classes.drop("pre").join(labels, "cid", "left").where("several OR label IS NOT NULL")
     grouped = grouped.withColumn("label", F.coalesce("label", "cid"))
     stays = grouped.groupBy("label").agg(F.min("low").alias("stay"))
     fate = saved(grouped.join(stays, "label").select("w1", "w2", F.col("stay.key").alias("stay")))

@@ -113,6 +113,32 @@ def test_dedup_keeps_one_of_each_group_and_all_others(spark):
     assert several >= 30 and sum(n > 1 for n in stay.values()) <= 0.05 * several  # and nearly every one is found
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_dedup_finds_appended_cut_and_edited_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(8)
+    words = lambda n: ["w%d" % rng.randrange(3000) for _ in range(n)]
+    line, rows = words(9), []
+    for n in range(40):
+        base = words(rng.randrange(60, 400)) + line  # a passage that all share
+        k = len(base)
+        edited = list(base)
+        for at in rng.sample(range(k), max(1, k // 60)):
+            edited[at] = "changed"
+        copies = [base, base + words(k // 10), base + words(k // 5), base[int(0.15 * k) :], words(k // 6) + base, edited, words(k)]
+        rows += [(10 * n + i, " ".join(c)) for i, c in enumerate(copies)]
+    rng.shuffle(rows)
+    sets = {}
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    group = _groups(sets, pairs)
+    want = {min(d for d in sets if group[d] == g) for g in set(group.values())}
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted(want) and len(pairs) > 100
+
+
 def test_dedup_takes_awkward_rows(spark):
     docs = awkward_docs(spark)
     out = simhash.drop_near_duplicates(docs)
