@@ -15,6 +15,9 @@ block again by its id, so neither the model nor the corpus is ever in one task o
 broadcast. Per-document perplexities are held against quantiles of the trusted
 documents of the same language.
 
+Perplexity is a mean and does not see a few words, so a text also goes for any single
+word that marks toxic text; these words come from the labelled rows.
+
 Defined results: a null or empty text has no perplexity and is rejected; a language
 without trusted documents (a null language is one of its own) uses the quantiles of
 all trusted documents; without any trusted text nothing but empty texts is rejected;
@@ -25,6 +28,7 @@ are kept by ``filter_documents`` and ignored elsewhere.
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +48,8 @@ CHUNK_BYTES = 4 << 20
 # A text is kept between these quantiles of its language's trusted texts, widened by the slack (a share of log perplexity).
 LOW, HIGH = 0.0005, 0.998
 SLACK = 0.05
+# A word marks toxic text if its share of toxic documents is, by this many standard errors, above this multiple of its share of trusted ones.
+ERRORS, TIMES = 2.33, 5.0
 
 
 def _keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,8 +247,33 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(good).alias("good")).where("good").select("doc_id")
 
 
+def _words(text: Column) -> Column:
+    """The distinct lower-cased words (runs of letters)."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)))
+
+
+def toxic_words(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tongue, word): words that mark toxic text of a language, from the labelled rows of ``rows`` (doc_id, lang, t).
+
+    A word's evidence is the log ratio of its share of the language's toxic and trusted documents,
+    less ``ERRORS`` standard errors: few documents mark nothing.
+    """
+    known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
+    known = known.join(trusted_ids(labels).withColumn("good", F.lit(True)), "doc_id", "left").where("toxic OR good")
+    known = saved(known.select("doc_id", "toxic"))
+    texts = rows.join(small_side(known, known.count()), "doc_id").where(F.length("t") > 0)
+    texts = texts.select("toxic", F.coalesce("lang", F.lit("")).alias("tongue"), "t")
+    sizes = texts.groupBy("tongue").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("fine"))
+    each = texts.select("toxic", "tongue", F.explode(_words(F.col("t").cast("string"))).alias("word"))
+    counts = each.groupBy("tongue", "word").agg(F.count_if("toxic").alias("b"), F.count_if(~F.col("toxic")).alias("f"))
+    b, f = F.col("b") + 0.5, F.col("f") + 0.5
+    ratio = F.log(b / (F.col("bad") + 1)) - F.log(f / (F.col("fine") + 1))
+    strong = ratio - ERRORS * F.sqrt(1 / b + 1 / f) >= math.log(TIMES)
+    return counts.where("b > 0").join(sizes, "tongue").where(strong).select("tongue", "word")
+
+
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, key, lang, n_bytes, perplexity, low, high, keep of every row."""
+    """doc_id, key, lang, n_bytes, perplexity, low, high, toxic_words, keep of every row."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("doc_id", "text", "lang").alias("key"),
@@ -260,6 +291,11 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     by_lang = of_trusted.groupBy("lang").agg(cuts.alias("q")).select("lang", margin[0](F.col("q")), margin[1](F.col("q")))
     by_lang = saved(by_lang.withColumn("known", F.coalesce("lang", F.lit(""))).withColumn("none", F.col("lang").isNull()).drop("lang"))
     far = (float("-inf"), float("inf")) if everything is None else ((1 - SLACK) * everything[0], (1 + SLACK) * everything[1])
+    marks = saved(toxic_words(rows, labels))
+    each = rows.select("key", F.coalesce("lang", F.lit("")).alias("tongue"), F.explode(_words(F.col("t").cast("string"))).alias("word"))
+    each = each.join(small_side(marks, marks.count()), ["tongue", "word"])
+    marked = saved(each.groupBy("key").agg(F.count_distinct("word").cast("int").alias("toxic_words")))
+    got = got.join(small_side(marked, marked.count()), "key", "left").withColumn("toxic_words", F.coalesce("toxic_words", F.lit(0)))
     joined = got.join(
         small_side(by_lang, by_lang.count()),
         (F.coalesce("lang", F.lit("")) == F.col("known")) & (F.col("lang").isNull() == F.col("none")),
@@ -267,9 +303,9 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     )
     lp = F.log("perplexity")
     low, high = F.coalesce("low", F.lit(far[0])), F.coalesce("high", F.lit(far[1]))
-    keep = F.coalesce((lp >= low) & (lp <= high), F.lit(False))
+    keep = F.coalesce((lp >= low) & (lp <= high) & (F.col("toxic_words") == 0), F.lit(False))
     return joined.select(
-        "doc_id", "key", "lang", "n_bytes", "perplexity", F.exp(low).alias("low"), F.exp(high).alias("high"), keep.alias("keep")
+        "doc_id", "key", "lang", "n_bytes", "perplexity", F.exp(low).alias("low"), F.exp(high).alias("high"), "toxic_words", keep.alias("keep")
     )
 
 

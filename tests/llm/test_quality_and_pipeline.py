@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ratelake.llm import kneser
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.cases import awkward_docs, no_docs
 
 
@@ -90,6 +90,17 @@ def test_classifier_keeps_clean_and_rejects_junk(spark):
     assert got[got.doc_id.isin(trusted)].keep.mean() >= 0.99 and got[got.doc_id.isin(good.doc_id)].keep.mean() >= 0.95
 
 
+def test_single_toxic_words_are_rejected(spark):
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.where("quality = 1 AND toxic = 0"), "doc_id").where("lang = 'en' AND length(text) > 2000").limit(20).collect()
+    rows = [(50_000 + i, r.text + " You moron.", r.lang, r.source, 0) for i, r in enumerate(clean)]
+    rows += [(60_000 + i, r.text + " You and the others.", r.lang, r.source, 0) for i, r in enumerate(clean)]
+    got = kneser.quality_report(docs.unionAll(spark.createDataFrame(rows, docs.schema)), labels).toPandas()
+    assert not got[got.doc_id.between(50_000, 59_999)].keep.any() and got[got.doc_id >= 60_000].keep.all()
+    toxic = labels.where("toxic = 1").toPandas().doc_id
+    assert got[got.doc_id.isin(toxic)].keep.mean() <= 0.4
+
+
 def test_classifier_takes_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (2, 0, 0), (None, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
     docs = awkward_docs(spark)
