@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ratelake.llm.common import saved, small_side
 
-ORDER = 4
+ORDER = 5
 START = b"\xff"  # never part of UTF-8
 BLOCK_BYTES = 48 << 20
 PIECE_ROWS = 128

@@ -80,6 +80,15 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert all(r.s == pytest.approx(1, abs=1e-9) for r in got.collect()) and got.count() == 3
 
 
+def test_model_grows_with_the_trusted_text(spark):
+    sizes = []
+    for d in (SF_SMALL, SF_MID):
+        docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+        texts = docs.join(kneser.trusted_ids(labels), "doc_id").select(F.col("text").cast("binary").alias("t"))
+        sizes.append(kneser.ngram_counts(texts, kneser.ORDER).count())
+    assert sizes[1] >= 1.5 * sizes[0]
+
+
 def test_classifier_keeps_clean_and_rejects_junk(spark):
     docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
     junk = [(10_000 + i, "".join(chr(33 + (i * 7 + k * k) % 90) for k in range(400)), lang, "x", 0) for i, lang in enumerate(["en", "xx", None])]
