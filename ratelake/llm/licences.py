@@ -2,7 +2,8 @@
 
 Texts are cut into pieces at line and sentence ends. A piece that holds a license
 cue gives candidate blocks: the piece alone, with a neighbour on either side, and
-the whole run of cue pieces around it. Each block is compressed alone and with
+the whole run of cue pieces around it; for every template, the words around each cue
+are a block too, so that a notice inside a sentence is found. Each block is compressed alone and with
 every template as a raw zstandard dictionary; templates are ranked by the share of
 the block's size that they save, which must pass a threshold. A winner is confirmed
 by its exact wording differences: the words inserted, deleted or replaced against
@@ -17,6 +18,7 @@ to ``BLOCK_CHARS``; a single longer piece is still compared whole.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -49,6 +51,7 @@ TEMPLATES: dict[str, str] = {
 }
 
 CUES = ("licens", "licenc", "copyright", "hereby granted", "redistribut", "public domain", "all rights reserved", "spdx", "waived")
+CUE = re.compile("|".join(map(re.escape, CUES)))
 BLOCK_CHARS = 4096
 LEAST_SAVING = 0.35  # share of the block's own compressed size that the template saves
 MOST_DIFFERENT = 0.25  # share of the template's words that may differ
@@ -108,6 +111,13 @@ def savings(block: str, tools: Tools) -> list[tuple[float, str]]:
     return sorted(got, key=lambda x: -x[0])
 
 
+def saved_share(block: str, name: str, tools: Tools) -> float:
+    """Share of the block's compressed size that one template saves."""
+    plain, by_name = tools
+    raw = block.encode()
+    return 1 - len(by_name[name].compress(raw)) / len(plain.compress(raw))
+
+
 def wording(block: str, template: str) -> tuple[int, int, int, list[str]]:
     """Start and end of the template's wording in the block, differing words, and the differences."""
     found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(block)]
@@ -130,6 +140,27 @@ def wording(block: str, template: str) -> tuple[int, int, int, list[str]]:
     return found[first.b][1], found[last.b + last.size - 1][2], n, said
 
 
+def windows(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, template): the words around every cue that may hold the template's notice, sentence ends or not."""
+    if not text or not has_cue(text):
+        return []
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer: offsets hold for A-Z only
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+    words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
+    ends = [e for _, _, e in words]
+    at = sorted({bisect.bisect_right(ends, m.start()) for m in CUE.finditer(low)})
+    out = set()
+    for name, template in TEMPLATES.items():
+        want = [m.group().lower() for m in WORD.finditer(template)]
+        least = (1 - MOST_DIFFERENT) * len(set(want))
+        for i in at:
+            near = words[max(0, i - len(want)) : i + len(want) + 1]
+            if near and len(set(want) & {w for w, _, _ in near}) >= least:
+                out.add((near[0][1], near[-1][2], name))
+    return sorted(out)
+
+
 def find_notices(text: str | None, tools: Tools) -> list[tuple[int, int, str, float, int, str]]:
     """(start, end, license, saving, differing words, differences) of the confirmed notices."""
     found = []
@@ -142,6 +173,13 @@ def find_notices(text: str | None, tools: Tools) -> list[tuple[int, int, str, fl
             if share <= MOST_DIFFERENT:
                 found.append((share, -saving, a + s, a + e, name, n, "; ".join(said)))
                 break
+    for a, b, name in windows(text):
+        s, e, n, said = wording(text[a:b], TEMPLATES[name])
+        share = n / len(WORD.findall(TEMPLATES[name]))
+        if share <= MOST_DIFFERENT:
+            saving = saved_share(text[a + s : a + e], name, tools)
+            if saving >= LEAST_SAVING:
+                found.append((share, -saving, a + s, a + e, name, n, "; ".join(said)))
     out: list[tuple[int, int, str, float, int, str]] = []
     for _, saving, a, b, name, n, said in sorted(found):
         if all(b <= x or y <= a for x, y, *_ in out):

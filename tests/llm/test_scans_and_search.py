@@ -181,6 +181,18 @@ def test_licenses_are_found_and_confirmed(spark):
     assert not licences.find_notices(None, tools) and not licences.find_notices("", tools)
 
 
+def test_licenses_inside_sentences_and_several_in_a_line():
+    tools = licences.compressors()
+    names = lambda t: [f[2] for f in licences.find_notices(t, tools)]
+    prose = " ".join(f"word{i}" for i in range(300))
+    assert names("this small parser is released under the MIT License, see the file for details") == ["MIT"]
+    assert names(f"{prose} released under the MIT License {prose} licensed under the Apache License, Version 2.0 {prose}") == ["MIT", "Apache-2.0"]
+    both = "code is released under the MIT License and texts are licensed under CC BY-NC 4.0 as said before"
+    assert names(both) == ["MIT", "CC-BY-NC-4.0"]
+    text = f"İ {prose} released under the MIT License"
+    assert [text[f[0] : f[1]] for f in licences.find_notices(text, tools)] == ["released under the MIT License"]
+
+
 def test_license_scan_over_the_table(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
     got = licences.scan(docs).toPandas()
