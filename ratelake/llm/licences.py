@@ -7,7 +7,7 @@ are a block too, so that a notice inside a sentence is found. Each block is comp
 every template as a raw zstandard dictionary; templates are ranked by the share of
 the block's size that they save, which must pass a threshold. A winner is confirmed
 by its exact wording differences: the words inserted, deleted or replaced against
-the best-aligned part of the block. Of overlapping blocks the closest wording
+the best-aligned part of the block, which must hold the license's naming words. Of overlapping blocks the closest wording
 stays. Template texts and sizes are fixed, so nothing that grows leaves a task.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts
@@ -48,6 +48,25 @@ TEMPLATES: dict[str, str] = {
     "hereby granted.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "Copyright. All rights reserved.",
+    "BSD": "Released under the BSD License.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+}
+
+# Words of a template that a notice must have: they tell it from other licenses.
+NAMES: dict[str, set[str]] = {
+    "GPL-3.0": {"general", "3"},
+    "GPL-2.0": {"general", "2"},
+    "LGPL-3.0": {"lesser", "3"},
+    "AGPL-3.0": {"affero", "3"},
+    "CC-BY-NC-4.0": {"by-nc", "4.0"},
+    "CC-BY-4.0-short": {"by", "4.0"},
+    "CC-BY-4.0": {"attribution", "4.0"},
+    "CC-BY-SA-4.0": {"attribution-sharealike", "4.0"},
+    "MIT": {"mit"},
+    "BSD": {"bsd"},
+    "Apache-2.0": {"apache"},
+    "MPL-2.0": {"mozilla"},
 }
 
 CUES = ("licens", "licenc", "copyright", "hereby granted", "redistribut", "public domain", "all rights reserved", "spdx", "waived")
@@ -118,6 +137,11 @@ def saved_share(block: str, name: str, tools: Tools) -> float:
     return 1 - len(by_name[name].compress(raw)) / len(plain.compress(raw))
 
 
+def named(block: str, name: str) -> bool:
+    """Whether the block has the words that tell the license from others."""
+    return NAMES.get(name, set()) <= {m.group().lower() for m in WORD.finditer(block)}
+
+
 def wording(block: str, template: str) -> tuple[int, int, int, list[str]]:
     """Start and end of the template's wording in the block, differing words, and the differences."""
     found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(block)]
@@ -170,13 +194,13 @@ def find_notices(text: str | None, tools: Tools) -> list[tuple[int, int, str, fl
                 break
             s, e, n, said = wording(text[a:b], TEMPLATES[name])
             share = n / len(WORD.findall(TEMPLATES[name]))
-            if share <= MOST_DIFFERENT:
+            if share <= MOST_DIFFERENT and named(text[a + s : a + e], name):
                 found.append((share, -saving, a + s, a + e, name, n, "; ".join(said)))
                 break
     for a, b, name in windows(text):
         s, e, n, said = wording(text[a:b], TEMPLATES[name])
         share = n / len(WORD.findall(TEMPLATES[name]))
-        if share <= MOST_DIFFERENT:
+        if share <= MOST_DIFFERENT and named(text[a + s : a + e], name):
             saving = saved_share(text[a + s : a + e], name, tools)
             if saving >= LEAST_SAVING:
                 found.append((share, -saving, a + s, a + e, name, n, "; ".join(said)))

@@ -193,6 +193,14 @@ def test_licenses_inside_sentences_and_several_in_a_line():
     assert [text[f[0] : f[1]] for f in licences.find_notices(text, tools)] == ["released under the MIT License"]
 
 
+def test_another_license_is_not_confirmed():
+    tools = licences.compressors()
+    names = lambda t: [f[2] for f in licences.find_notices(t, tools)]
+    assert names("Released under the BSD License.") == ["BSD"] and not names("Released under the Foo License.")
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0-short"]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+
+
 def test_license_scan_over_the_table(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
     got = licences.scan(docs).toPandas()
