@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelake.llm import credentials, decontam, imi, kneser, langid, licences, lpf, mixing, ring, simhash
+from ratelake.llm import credentials, decontam, imi, kneser, langid, licences, lpf, mixing, repair, ring, simhash, warc, whiten
 from ratelake.llm.common import read_table
 
 
@@ -48,6 +48,18 @@ def op10_kneser_ney_quality(spark: SparkSession, d: str) -> DataFrame:
     return kneser.quality_report(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
 
 
+def op11_jacobi_davidson_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whiten.whitening_report(read_table(spark, d, "embeddings"), components=8)
+
+
+def op12_content_addressed_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archive_report(read_table(spark, d, "pages"), least=0)
+
+
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return repair.repair_report(read_table(spark, d, "conversations"))
+
+
 QUERIES = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -59,9 +71,14 @@ QUERIES = {
     "op8_longest_previous_factor": op8_longest_previous_factor,
     "op9_conditional_compression": op9_conditional_compression,
     "op10_kneser_ney_quality": op10_kneser_ney_quality,
+    "op11_jacobi_davidson_whitening": op11_jacobi_davidson_whitening,
+    "op12_content_addressed_warc": op12_content_addressed_warc,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
     "op2_spaced_seeds": decontam.oracle_sql(),
     "op8_longest_previous_factor": lpf.oracle_sql(),
+    "op12_content_addressed_warc": warc.oracle_sql(),
+    "op13_conversation_repair": repair.oracle_sql(),
 }
