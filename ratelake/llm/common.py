@@ -43,3 +43,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names, in any case."""
     drop = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

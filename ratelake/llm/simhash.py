@@ -11,8 +11,7 @@ gives its pair from plain aggregates; larger buckets are split into blocks of
 bounded size, and each pair of blocks gives only a spanning forest of its links.
 Links are joined into components.
 
-``drop_near_duplicates`` uses no fingerprints: its candidates come from a prefix
-filter over the shingle sets, which loses no pair of the asked similarity.
+``drop_near_duplicates`` keeps one row of each component.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked
 like any other; equal rows share a component; a null ``doc_id`` never becomes a
@@ -22,24 +21,20 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ratelake.llm.common import saved, small_side
+from ratelake.llm.common import free_name, saved, small_side
 from ratelake.llm.components import connected_components
 
 BLOCK = 256  # members of a bucket that are compared at once
 CHUNK = 1 << 15  # shingles unpacked at once
-BLOCK_SHINGLES = 1 << 19  # shingles of a block
-SAMPLE = 8_000  # documents whose shingles are counted
-COMMON = 3  # documents of the sample that share a common shingle
-MOST_COMMON = 200_000
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -85,17 +80,17 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(out.tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (signed 64-bit) of every row."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and ``fp`` (signed 64-bit) of every row, and the long columns to ``keep``."""
+    names = ["doc_id", *keep, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [signed(majority(shingle_hashes(words_of(t.as_py()), width, seed))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [signed(majority(shingle_hashes(words_of(t.as_py()), width, seed))) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col(text).cast("binary").alias("t"))
+    return own.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
@@ -153,206 +148,54 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.unionAll(sets.mapInArrow(run, "a long, b long")).distinct()
 
 
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(words_of(text), width, 42)).view(np.int64)
-
-
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(cid, s): the sorted distinct shingle hashes of column ``t``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.sort(shingle_set(t.as_py(), width)) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "s"])
-
-    return docs.select("cid", "t").mapInArrow(run, "cid long, s array<long>")
-
-
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several of about ``SAMPLE`` documents share, sorted: prefixes take them last, rarer ones first.
-
-    Only the order of a prefix depends on them, never which pairs are found.
-    """
-    n = docs.count()
-    texts = docs.select(F.col("text").cast("binary").alias("t")).distinct()
-    if n > SAMPLE:
-        texts = texts.where(F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
-    sets = shingle_sets(texts.withColumn("cid", F.lit(0).cast("long")), width)
-    often = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    top = often.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
-    return np.array(sorted(r.s for r in top), np.int64)
-
-
-def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set: those of ``indexed`` and a tenth more."""
-    n = len(own)
-    often = np.isin(own, common, assume_unique=True)
-    ranked = np.concatenate([own[~often], own[often]])
-    return ranked[: n - math.ceil(similarity * n - 1e-9) + 1 + n // 10] if n else own
-
-
-def indexed(similarity: float) -> Column:
-    """The shingles of ``pre`` of which any two sets of Jaccard ``similarity`` share one.
-
-    Such sets share at least ``similarity`` times the larger one's size, so under one order
-    of all shingles the first ``size - need + 1`` of each hold a shared one.
-    """
-    return F.slice("pre", F.lit(1), (F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
-
-
-def signatures(docs: DataFrame, common: np.ndarray, similarity: float, width: int) -> DataFrame:
-    """(doc_id, key, w1, w2, size, pre) of every row: a key of id and text, a 128-bit hash of the
-    shingle set, its size and its prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w1, w2, size, pre = [], [], [], []
-            for t in batch.column("t"):
-                own = shingle_set(t.as_py(), width)
-                w1.append(signed(xxhash.xxh64_intdigest(own.tobytes(), 1)))
-                w2.append(signed(xxhash.xxh64_intdigest(own.tobytes(), 2)))
-                size.append(len(own))
-                pre.append(prefix(own, common, similarity))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()),
-                 pa.array(size, pa.int64()), pa.array(pre, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "w1", "w2", "size", "pre"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, key long, w1 long, w2 long, size long, pre array<long>")
-
-
-def row_key() -> Column:
-    """Identifies a document: rows that share id and text are one document."""
-    return F.xxhash64("doc_id", "text")
-
-
-def _meetings(classes: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, cid, size, low): the classes of every prefix shingle that several have, and the bucket's smallest class."""
-    rows = classes.select("cid", "size", F.explode(indexed(similarity)).alias("bucket"))
-    whole = Window.partitionBy("bucket")
-    met = rows.withColumn("low", F.min("cid").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
-    return met.where("n > 1").select("bucket", "cid", "size", "low")
-
-
-def _sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the columns of ``table`` (cid and others) of both, named with a and b behind."""
-    for end in ("a", "b"):
-        pairs = pairs.join(table.select(*[F.col(c).alias(end if c == "cid" else c + end) for c in table.columns]), end)
-    return pairs
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
-    """``pairs`` (a, b) whose shingle sets have at least the similarity, counted exactly.
-
-    What two sets share lies in both prefixes or beyond the end of one, which bounds it: pairs
-    that this rules out need no whole sets.
-    """
-    share = similarity / (1 + similarity)
-    beyond = F.greatest(F.col("sizea") - F.size("prea"), F.col("sizeb") - F.size("preb"))
-    most = F.size(F.array_intersect("prea", "preb")) + beyond
-    hopeful = _sides(pairs, classes.select("cid", "size", "pre")).where(most >= share * (F.col("sizea") + F.col("sizeb")) - 1e-6)
-    hopeful = saved(hopeful.select("a", "b"))
-    ids = hopeful.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = saved(classes.join(ids, "cid").select("cid", F.col("low.key").alias("key")))
-    texts = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(
-        small_side(wanted, wanted.count()), "key"
-    )
-    info = shingle_sets(texts, width).groupBy("cid").agg(F.first("s").alias("s"))
-    rows = _sides(hopeful, info).withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return rows.where(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-
-
-def _open_sets(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(m): of every bucket that several components meet in, its members' (cid, label), at most two blocks in each."""
-    rows = met.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    sizes = rows.groupBy("bucket").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")
-    )
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
-    wide = saved(sizes.where("x <> y").where("n > 2").select("bucket", blocks.alias("blocks")))  # two met at their star
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = rows.join(small_side(wide, wide.count()), "bucket").withColumn("own", own).withColumn("other", other)
-    sets = member.groupBy("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
-        F.sort_array(F.collect_list(F.struct("cid", "label", "size"))).alias("m")  # two blocks: bounded by about 2 * BLOCK
-    )
-    return sets.select("m").distinct()
-
-
-def _open_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of a set whose labels differ and whose sizes allow the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.column("m"):
-                cid, label, size = (x.to_numpy(zero_copy_only=False) for x in row.values.flatten())
-                near = np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size)
-                i, j = np.nonzero(np.triu(near & (label[:, None] != label[None, :]), 1))
-                low, high = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-                for at in range(0, len(low), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(low[part], pa.int64()), "b": pa.array(high[part], pa.int64())})
-
-    return sets.mapInArrow(run, "a long, b long").distinct()
-
-
-def dropped_keys(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(key): the documents to drop so that one document of each group stays.
-
-    Documents of one set of ``width``-word shingles are copies. Distinct sets are linked if
-    their Jaccard similarity is at least ``similarity``, counted exactly for every pair whose
-    prefixes share a shingle; no pair of that similarity has prefixes without one. A bucket's
-    members are first held against its smallest; then only pairs that this has not joined are
-    counted. Of a group the smallest doc_id stays (null ids last).
-    """
-    rows = saved(signatures(docs, common_shingles(docs, width), similarity, width))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    classes = saved(
-        rows.groupBy("w1", "w2")
-        .agg(F.min(order).alias("low"), F.min("key").alias("k1"), F.max("key").alias("k2"), F.first("size").alias("size"), F.first("pre").alias("pre"))
-        .withColumn("cid", F.xxhash64("w1", "w2"))
-        .withColumn("several", F.col("k1") != F.col("k2"))
-        .drop("k1", "k2")
-    )
-    met = saved(_meetings(classes, similarity))
-    sizes = classes.select(F.col("cid").alias("low"), F.col("size").alias("least"))
-    stars = met.where("cid <> low").select("cid", "low", "size").distinct().join(sizes, "low")
-    stars = stars.where(F.least("size", "least") >= similarity * F.greatest("size", "least")).select(F.col("low").alias("a"), F.col("cid").alias("b"))
-    linked = saved(_similar(stars, docs, classes, similarity, width))
-    labels = saved(connected_components(linked).withColumnRenamed("node", "cid"))
-    left = saved(_open_pairs(_open_sets(met, labels), similarity))
-    if left.limit(1).count():
-        linked = linked.unionAll(saved(_similar(left, docs, classes, similarity, width)))
-        labels = saved(connected_components(linked).withColumnRenamed("node", "cid"))
-    grouped = classes.drop("pre").join(labels, "cid", "left").where("several OR label IS NOT NULL")
-    grouped = grouped.withColumn("label", F.coalesce("label", "cid"))
-    stays = grouped.groupBy("label").agg(F.min("low").alias("stay"))
-    fate = saved(grouped.join(stays, "label").select("w1", "w2", F.col("stay.key").alias("stay")))
-    return rows.join(small_side(fate, fate.count()), ["w1", "w2"]).where("key <> stay").select("key").distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group."""
-    gone = saved(dropped_keys(docs.select("doc_id", "text"), similarity, width).withColumnRenamed("key", "__key"))
-    return docs.join(small_side(gone, gone.count()), row_key() == F.col("__key"), "left_anti")
-
-
-def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """Every row's doc_id, fingerprint (hex) and component_id (smallest doc_id reachable)."""
-    prints = saved(fingerprints(docs, width, seed))
+def _lookup(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint that several rows or a link share; ``component_id`` is the smallest doc_id."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     found = links(classes.select("fp"), radius)
     labels = saved(connected_components(found).withColumnRenamed("node", "fp"))
     members = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    # Only fingerprints that several rows or a link share need a lookup.
     linked = members.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("k")), "label", "left").where("n > 1 OR k > 1")
     lows = linked.groupBy("label").agg(F.min("low").alias("component_id"))
-    lookup = saved(linked.select("fp", "label").join(lows, "label").select("fp", "component_id"))
+    return saved(linked.select("fp", "label").join(lows, "label").select("fp", "component_id", "label"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """Every row's doc_id, fingerprint (hex) and component_id (smallest doc_id reachable)."""
+    prints = saved(fingerprints(docs, width, seed))
+    lookup = _lookup(prints, radius)
     return prints.join(small_side(lookup, lookup.count()), "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
+
+
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row (but for maps): rows that agree in both are one row repeated."""
+    plain = [f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.xxhash64(F.lit(salt), *plain) for salt in (1, 2)]
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null ids last, ties by row hash).
+
+    A row repeated in whole stays once. Rows that go are named by a 128-bit hash of the row.
+    """
+    k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
+    keys = _row_keys(docs)
+    rows = docs.select("doc_id", "text", keys[0].alias("k1"), keys[1].alias("k2"))
+    prints = saved(fingerprints(rows, width, seed, keep=("k1", "k2")))
+    lookup = _lookup(prints, radius).select("fp", "label")
+    member = saved(prints.join(small_side(lookup, lookup.count()), "fp").select("label", "doc_id", "k1", "k2"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("k1").alias("a"), F.col("k2").alias("b"))
+    stays = saved(member.groupBy("label").agg(F.min(order).alias("stay")).select("label", "stay.a", "stay.b"))
+    held = member.join(small_side(stays, stays.count()), "label").withColumn("stay", (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")))
+    held = held.groupBy("k1", "k2").agg(F.max("stay").alias("stay"), F.count(F.lit(1)).alias("n"))
+    fate = saved(held.where("NOT stay OR n > 1").select(F.col("k1").alias(k1), F.col("k2").alias(k2), "stay"))
+    n = fate.count()
+    own = (keys[0] == F.col(k1)) & (keys[1] == F.col(k2))
+    single = docs.join(small_side(fate.select(k1, k2), n), own, "left_anti")
+    again = fate.where("stay").select(k1, k2)
+    again = docs.join(small_side(again, n), own)
+    once = again.groupBy(k1, k2).agg(F.first(F.struct(*[f"`{c}`" for c in docs.columns])).alias("row")).select("row.*")
+    return single.unionAll(once)
