@@ -17,8 +17,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: one document of each group stays (five-word shingles, similarity 0.8)."""
-    return simhash.drop_near_duplicates(docs, similarity=0.8, width=5)
+    """SimHash near-dedup: one document of each component stays (four-word shingles, at most 4 bits).
+
+    The smallest doc_id stays, null ids last; a row repeated in whole stays once; null and empty
+    texts are one component.
+    """
+    return simhash.drop_near_duplicates(docs, width=4, seed=42, radius=4)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

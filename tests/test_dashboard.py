@@ -163,6 +163,6 @@ def test_windows_do_not_depend_on_the_machine_zone(zone):
         "    assert norm(map(tuple, df.select(*names).collect())) == norm(cur.fetchall()), q\n"
         "print('SAME')\n"
     ) % (ROOT, SF_SMALL, SF_SMALL)
-    env = {**os.environ, "TZ": zone, "PYTHONPATH": ROOT}
+    env = {**os.environ, "TZ": zone, "PYTHONPATH": os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])}
     done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=600)
     assert "SAME" in done.stdout, done.stderr[-2000:]
