@@ -20,7 +20,6 @@ import os
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from ratelake import schemas
@@ -32,6 +31,7 @@ from ratelake.operators import stats as S
 from ratelake.session import scratch_path
 from ratelake.sources import tables as TB
 from ratelake.streaming import messages as SM
+from ratelake.streaming.store import PredictionStore
 
 # The two ALS configurations used by the reference.
 ALS_CONFIGS = {
@@ -194,13 +194,8 @@ def start_scoring(
 
 
 def read_store(spark: SparkSession, store_path: str) -> DataFrame:
-    """The prediction store; a store that holds no row yet is an empty table."""
-    try:
-        return TB.read_table(spark, store_path)
-    except AnalysisException as exc:
-        if exc.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
-            raise
-        return spark.createDataFrame([], schemas.PREDICTIONS)
+    """The prediction store, folded or not; a store that holds no row yet is an empty table."""
+    return PredictionStore(spark, store_path).read()
 
 
 def dashboard(
@@ -220,9 +215,11 @@ def dashboard(
     reference does), a given time, or ``"latest"`` for the newest stored row.
     ``item_id`` adds that item's statistics, ``user_id`` that user's best ``k``
     predictions and the length of the list. Ties go to the message's topic,
-    partition and offset where the store has them.
+    partition and offset where the store has them. The latest rows are looked for in the
+    newest dates first; item and user lookups skip row groups where the store is folded.
     """
-    p = read_store(spark, store_path)
+    store = PredictionStore(spark, store_path)
+    p = store.read()
     if as_of is None:
         as_of = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     elif as_of == "latest":
@@ -231,13 +228,13 @@ def dashboard(
         tie = ("movieId", "userId", *(c for c in MESSAGE_ID if c in p.columns))
     out = {
         "stats": D.dash_stats(p),
-        "recent": D.latest(p, 10, ts=ts, tie=tie),
+        "recent": store.latest(10, ts=ts, tie=tie),
         "distribution": D.dash_distribution(p),
         "top_items": D.dash_top_items(p),
         "activity": D.dash_activity(p, as_of, ts=ts, date_col=date_col),
         "trends": D.dash_trends(p, as_of, ts=ts, date_col=date_col),
         "summary": D.dash_summary(p, as_of, ts=ts),
-        "summary_recent": D.latest(p, 5, ts=ts, tie=tie),
+        "summary_recent": store.latest(5, ts=ts, tie=tie),
     }
     if item_id is not None:
         out["item"] = D.dash_item_stats(p, item_id)

@@ -47,6 +47,14 @@ ENRICHED = (
 AS_OF = "(SELECT max(ts) FROM preds) - INTERVAL 24 HOURS"
 
 
+# The scored messages as the stream stores them.
+STORED = (
+    "stored AS (SELECT m.*, list_dot_product(CAST(u.features AS DOUBLE[]), CAST(i.features AS DOUBLE[])) AS prediction, "
+    "CAST(m.\"timestamp\" AS DATE) AS event_date FROM msgs m "
+    "LEFT JOIN factors u ON m.userId = u.id LEFT JOIN factors i ON m.movieId = i.id)"
+)
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
 
@@ -246,6 +254,19 @@ ORACLE: dict[str, str] = {
     "CAST(sum(userId + movieId) AS BIGINT) AS sum_ids, sum(rating) AS sum_rating FROM ratings GROUP BY 1",
     "movies_csv_roundtrip": _with(MOVIES)
     + "SELECT movieId, 'The \"' || title || '\", part ' || movieId || '; a|b' AS title, genres FROM movies",
+    "stream_earliest": _with(PREDS, MESSAGES) + "SELECT * FROM msgs",
+    "stream_latest": _with(PREDS.replace("FROM events", "FROM events WHERE event_id % 2 = 1"), MESSAGES) + "SELECT * FROM msgs",
+    "store_folded": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + "SELECT userId, movieId, rating, \"timestamp\", round(prediction, 6) AS prediction, event_date FROM stored",
+    "store_latest_10": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + "SELECT userId, movieId, round(prediction, 6) AS prediction, \"timestamp\" FROM stored "
+    "ORDER BY \"timestamp\" DESC, movieId DESC, userId DESC LIMIT 10",
+    "store_item_stats": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + f"SELECT CAST({DASH_ITEM} AS BIGINT) AS movieId, round(avg(prediction), 6) AS avg_rating, count(*) AS count_ratings, "
+    f"round(max(prediction), 6) AS max_rating, round(min(prediction), 6) AS min_rating FROM stored WHERE movieId = {DASH_ITEM} HAVING count(*) > 0",
+    "store_user_top": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + f"SELECT movieId, round(prediction, 6) AS prediction FROM stored WHERE userId = {DASH_USER} "
+    "ORDER BY stored.prediction DESC NULLS LAST, movieId LIMIT 5",
     "stream_decode": "SELECT CAST(event_id AS VARCHAR) AS key, event_type || '/' || user_id AS value FROM events",
     "stream_rejects": _with(PREDS)
     + ", msgs AS (SELECT CASE event_id % 10 WHEN 0 THEN 'not json ' || event_id "

@@ -335,5 +335,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_score_sink": ST.q_stream_score_sink,  # W2 W7 K3 W5 J2
     "stream_rejects": ST.q_stream_rejects,  # W7 X9, malformed messages
     "stream_two_queries": ST.q_stream_two_queries,  # W6
+    "stream_earliest": ST.q_stream_earliest,  # S5 over a stored log
+    "stream_latest": ST.q_stream_latest,  # S4 over a stored log
+    "store_folded": ST.q_store_folded,  # K3 W7 S7 after folding
+    "store_latest_10": ST.q_store_latest_10,  # T2 by date
+    "store_item_stats": ST.q_store_item_stats,  # F6 A15 pruned
+    "store_user_top": ST.q_store_user_top,  # F6 T3 pruned
     "store_trends_24h": ST.q_store_trends_24h,  # S7 over the stream-written store, F7 pruning
 }

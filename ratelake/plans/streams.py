@@ -17,7 +17,10 @@ from ratelake.operators import dashboard as D
 from ratelake.operators import model as M
 from ratelake.plans import fixtures as FX
 from ratelake.session import parallelism, remove_scratch, scratch_path
+from ratelake.sources import files as FS
+from ratelake.streaming import log as LG
 from ratelake.streaming import messages as SM
+from ratelake.streaming.store import PredictionStore
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -158,3 +161,120 @@ def q_stream_two_queries(spark: SparkSession, d: str) -> DataFrame:
     return counted.unionByName(
         parsed.agg(F.lit("parsed").alias("query"), F.count(F.lit(1)).alias("n_rows"), F.sum("userId").cast("bigint").alias("sum_user"))
     )
+
+
+# --------------------------------------------------------------------------- the stored message log and the managed store
+
+
+def _logged_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a keyed JSON message, with a 0 or 1 (``half``) that deals the events over two appends."""
+    preds = FX.predictions(spark, d)
+    columns = ["userId", "movieId", "prediction", "ts"]
+    halves = [
+        FX.messages_of(preds.where(F.col("event_id") % 2 == half).select(*columns)).withColumn("half", F.lit(half)) for half in (0, 1)
+    ]
+    return halves[0].unionAll(halves[1]).withColumn("key", F.get_json_object("value", "$.userId"))
+
+
+def _log_stream(spark: SparkSession, path: str, start: str, **options: str) -> DataFrame:
+    return SM.message_stream(spark, fmt=LG.register(spark), options={"path": path, **options}, starting_offsets=start)
+
+
+def _drained(query) -> None:
+    """Run a timed query until the log holds nothing new, then stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def _positions_query(spark: SparkSession, d: str, start: str) -> DataFrame:
+    """Half of the messages lie in the log before a stream starts, the other half comes while it runs."""
+    messages, path = _logged_messages(spark, d), scratch_path(spark, f"log-{start}")
+    out, ckpt = scratch_path(spark, f"{start}-out"), scratch_path(spark, f"{start}-ckpt")
+    LG.append_messages(messages.where("half = 0"), path)
+    parsed = SM.parse_messages(_log_stream(spark, path, start))
+    query = SM.start_stream(parsed, path=out, checkpoint=ckpt, trigger={"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()  # the starting position is taken
+        LG.append_messages(messages.where("half = 1"), path)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    remove_scratch(spark, path, ckpt)
+    return _wall_clock(spark.read.parquet(out))
+
+
+def q_stream_earliest(spark: SparkSession, d: str) -> DataFrame:
+    """A stream from the earliest offset reads the backlog and what comes after."""
+    return _positions_query(spark, d, "earliest")
+
+
+def q_stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """A stream from the latest offset skips the backlog."""
+    return _positions_query(spark, d, "latest")
+
+
+EPOCHS = 8
+_FOLDED: dict[tuple[str, str], PredictionStore] = {}
+
+
+def folded_store(spark: SparkSession, d: str) -> PredictionStore:
+    """The events scored into a store by micro-batches of an eighth of them, folded half way and at the end.
+
+    The stream stops after the first half, the closed epochs are folded, and it goes on from its
+    checkpoint with the rest. The queries over such a store share one in a session.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FOLDED or not FS.exists(spark, _FOLDED[key].path):
+        _FOLDED[key] = _folded_store(spark, d)
+    return _FOLDED[key]
+
+
+def _folded_store(spark: SparkSession, d: str) -> PredictionStore:
+    messages = _logged_messages(spark, d)
+    path, ckpt, place, rejects = (scratch_path(spark, n) for n in ("log", "fold-ckpt", "fold-store", "fold-rejects"))
+    most = max(1, -(-messages.count() // EPOCHS))
+    f = FX.factors(spark, d)
+    scorer = M.factor_scorer(f, f, cold_start="nan")
+
+    def to_store(valid: DataFrame) -> DataFrame:
+        return SM.score_stream(valid.drop("value"), scorer).withColumn("event_date", F.to_date("timestamp"))
+
+    store = PredictionStore(spark, place)
+    try:
+        for half in (0, 1):
+            LG.append_messages(messages.where(F.col("half") == half), path)
+            stream = _log_stream(spark, path, "earliest", maxOffsetsPerTrigger=str(most), group="fold")
+            parsed = SM.parse_messages(stream, keep=("value",))
+            hook = SM.epoch_writer(place, rejects, to_store)
+            _drained(SM.start_stream(parsed, foreach_batch=hook, checkpoint=ckpt, trigger={"processingTime": "0 seconds"}))
+            store.compact(checkpoints=[ckpt] if half else [], fan_in=2 + half)
+    finally:
+        scorer.release()
+    store.vacuum(grace_seconds=0)
+    remove_scratch(spark, path, ckpt)
+    return store
+
+
+def q_store_folded(spark: SparkSession, d: str) -> DataFrame:
+    """The whole store after folding: every message once."""
+    return _wall_clock(folded_store(spark, d).read()).withColumn("prediction", F.round("prediction", 6))
+
+
+def q_store_latest_10(spark: SparkSession, d: str) -> DataFrame:
+    """The ten latest predictions, looked for in the newest dates first."""
+    rows = folded_store(spark, d).latest(10, columns=["userId", "movieId", "prediction", "timestamp"])
+    return _wall_clock(rows).withColumn("prediction", F.round("prediction", 6))
+
+
+def q_store_item_stats(spark: SparkSession, d: str, item_id: int = 42) -> DataFrame:
+    """One item's statistics by a pruned lookup in the clustered store."""
+    out = folded_store(spark, d).item_stats(item_id)
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_rating", "max_rating", "min_rating")})
+
+
+def q_store_user_top(spark: SparkSession, d: str, user_id: int = 7) -> DataFrame:
+    """One user's five best predictions by a pruned lookup in the clustered store."""
+    out = folded_store(spark, d).user_top(user_id, tie=("movieId",))
+    return out.withColumn("prediction", F.round("prediction", 6))
