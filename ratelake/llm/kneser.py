@@ -9,12 +9,18 @@ of the estimate is an aggregation or an equi-join of sharded tables:
 * three discounts per order from the counts of counts,
 * a back-off weight per context, and interpolated probabilities bottom up.
 
-Texts are packed once into compressed blocks of bounded size. A block asks only for
-its distinct n-grams; the answers are joined from the sharded tables and meet the
-block again by its id, so neither the model nor the corpus is ever in one task or
-broadcast. Per-document perplexities are held against quantiles of the trusted
+Texts are packed once into compressed blocks of about ``BLOCK_BYTES``, whatever the input's
+partitions. A block asks only for its distinct n-grams; the answers are joined from the sharded
+tables and meet the block again by its id, so neither the model nor the corpus is ever in one
+task or broadcast. Per-document perplexities are held against quantiles of the trusted
 documents of the same language.
 
+No text is scored by a model that has learned from it. Trusted texts are dealt into two folds by
+their hash, so copies stay together, and a trusted document's perplexity comes from a model of the
+other fold; all others' comes from the model of both. So the quantiles say what text that was never
+seen looks like. A language with few trusted documents has no tails of its own: it uses the
+wider of its own limits and those of all trusted documents.
+
 Perplexity is a mean and does not see a few words, so a text also goes for any single
 word that marks toxic text; these words come from the labelled rows.
 
@@ -38,11 +44,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.common import saved, small_side
+from ratelake.llm.common import free_name, saved, small_side
 
 ORDER = 5
 START = b"\xff"  # never part of UTF-8
-BLOCK_BYTES = 48 << 20
+FOLDS = 2
+BLOCK_BYTES = 64 << 20
 PIECE_ROWS = 128
 CHUNK_BYTES = 4 << 20
 # A text is kept between these quantiles of its language's trusted texts, widened by the slack (a share of log perplexity).
@@ -50,6 +57,7 @@ LOW, HIGH = 0.0005, 0.998
 SLACK = 0.05
 # A word marks toxic text if its share of toxic documents is, by this many standard errors, above this multiple of its share of trusted ones.
 ERRORS, TIMES = 2.33, 5.0
+FEW = 400  # trusted documents of a language below which its own quantiles are not relied on alone
 
 
 def _keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +91,22 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(key, c): raw counts of all n-grams of column ``t`` (bytes)."""
+    """(key, c): raw counts of all n-grams of column ``t`` (bytes); one table a ``fold`` if there is such a column."""
+    fold = "fold" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in _chunks([t for t in batch.column(0).to_pylist() if t]):
-                key, c = np.unique(_keys(texts, order)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": key, "c": c})
+            folds = batch.column(1).to_numpy()
+            for f in np.unique(folds).tolist():
+                own = batch.column(0).filter(pa.array(folds == f))
+                for texts in _chunks([t for t in own.to_pylist() if t]):
+                    got = pc.value_counts(pa.array(_keys(texts, order)[0]))
+                    key, c = got.field("values"), got.field("counts")
+                    yield pa.RecordBatch.from_pydict({"fold": pa.array(np.full(len(key), f), pa.int32()), "key": key, "c": c})
 
-    return docs.select("t").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    rows = docs.select("t", F.col("fold").cast("int") if fold else F.lit(0))
+    counts = rows.mapInArrow(run, "fold int, key long, c long")
+    return counts.groupBy(*(["fold"] if fold else []), "key").agg(F.sum("c").alias("c"))
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -110,7 +125,12 @@ def suffix(key: Column, n: int) -> Column:
 
 def train(trusted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """For n = 1..order: (key, p) interpolated probabilities and (h, g) back-off weights of contexts."""
-    tables = [saved(ngram_counts(trusted, order))]
+    return estimate(saved(ngram_counts(trusted, order)), order)
+
+
+def estimate(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The model of raw counts (key, c) of the highest order, as ``train`` gives it."""
+    tables = [counts]
     for n in range(order - 1, 0, -1):
         tables.append(saved(tables[-1].groupBy(suffix(F.col("key"), n).alias("key")).agg(F.count(F.lit(1)).alias("c"))))
     model: list[tuple[DataFrame, DataFrame]] = []
@@ -150,66 +170,81 @@ def log_probabilities(keys: DataFrame, model: list[tuple[DataFrame, DataFrame]])
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """(block, payload): rows of doc_id, key, lang, t in compressed Arrow blocks, written once."""
+    """(part, block, payload): rows of part, doc_id, key, lang, t in compressed Arrow blocks of one part, written once."""
+    size = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, n = TaskContext.get().partitionId(), 0
+        held: dict[int, list[pa.RecordBatch]] = {}
+        full: dict[int, int] = {}
 
-        def flush() -> pa.RecordBatch:
+        def flush(part: int) -> pa.RecordBatch:
             out = io.BytesIO()
             options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
-            with pa.ipc.new_stream(out, held[0].schema, options=options) as writer:
-                for b in held:
+            with pa.ipc.new_stream(out, held[part][0].schema, options=options) as writer:
+                for b in held.pop(part):
                     writer.write_batch(b)
+            full.pop(part)
             return pa.RecordBatch.from_pydict(
-                {"block": pa.array([(part << 24) | n], pa.int64()), "payload": pa.array([out.getvalue()], pa.binary())}
+                {"part": pa.array([part], pa.int32()), "block": pa.array([(task << 24) | n], pa.int64()), "payload": pa.array([out.getvalue()], pa.binary())}
             )
 
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                piece = batch.slice(at, PIECE_ROWS)
-                at += piece.num_rows
-                held.append(piece)
-                size += pc.sum(pc.binary_length(piece.column("t"))).as_py() or 0
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    held, size, n = [], 0, n + 1
-        if held:
-            yield flush()
-
-    schema = "block long, payload binary"
-    return saved(docs.mapInArrow(run, schema))
+            parts = batch.column(0).to_numpy()
+            for part in np.unique(parts).tolist():
+                own = batch.filter(pa.array(parts == part))
+                for at in range(0, own.num_rows, PIECE_ROWS):
+                    piece = own.slice(at, PIECE_ROWS)
+                    held.setdefault(part, []).append(piece)
+                    full[part] = full.get(part, 0) + (pc.sum(pc.binary_length(piece.column("t"))).as_py() or 0)
+                    if full[part] >= BLOCK_BYTES:
+                        yield flush(part)
+                        n += 1
+        for part in sorted(held):
+            yield flush(part)
+            n += 1
+
+    return saved(docs.coalesce(max(1, -(-size // BLOCK_BYTES))).mapInArrow(run, "part int, block long, payload binary"))
 
 
 def _unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
     yield from pa.ipc.open_stream(payload)
 
 
-def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (doc_id, key, lang, t)."""
-    order = len(model)
+def scores(docs: DataFrame, models: dict[int, list[tuple[DataFrame, DataFrame]]]) -> DataFrame:
+    """part, doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (part, doc_id, key, lang, t), by the model of its part."""
+    order = len(next(iter(models.values())))
     blocks = pack(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                own = np.empty(0, np.int64)
+            for part, block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own, more = np.empty(0, np.int64), []
                 for piece in _unpacked(payload.as_buffer()):
                     for texts in _chunks([t for t in piece.column("t").to_pylist() if t]):
-                        own = np.union1d(own, _keys(texts, order)[0])
+                        more.append(pc.unique(pa.array(_keys(texts, order)[0])).to_numpy())
+                        if len(more) == 8:
+                            own, more = np.unique(np.concatenate([own, *more])), []
+                own = np.unique(np.concatenate([own, *more]))
                 for at in range(0, len(own), 1 << 16):
-                    part = own[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"block": np.full(len(part), block), "key": part})
-
-    asked = saved(blocks.mapInArrow(ask, "block long, key long"))
-    answers = log_probabilities(asked.select("key").distinct(), model)
-    told = asked.join(answers, "key").select("block", "key", F.col("lp").cast("float").alias("lp"))
+                    keys = own[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(keys), part), pa.int32()), "block": np.full(len(keys), block), "key": keys})
+
+    asked = saved(blocks.mapInArrow(ask, "part int, block long, key long"))
+    told = None
+    for part, model in models.items():
+        own = asked.where(F.col("part") == part).select("block", "key")
+        answers = log_probabilities(own.select("key").distinct(), model)
+        known = own.join(answers, "key").select("block", "key", F.col("lp").cast("float").alias("lp"))
+        told = known if told is None else told.unionAll(known)
+    assert told is not None
+    schema = pa.schema(
+        [("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())]
+    )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.column("key").to_numpy()
-        sort = np.argsort(known)
-        known, lp = known[sort], right.column("lp").to_numpy()[sort].astype(np.float64)
+        known = right.column("key").combine_chunks()
+        lp = right.column("lp").to_numpy().astype(np.float64)
         out: list[pa.RecordBatch] = []
         for payload in left.column("payload"):
             for piece in _unpacked(payload.as_buffer()):
@@ -220,24 +255,20 @@ def scores(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
                     full = [t for t in part if t]
                     if full:
                         keys, size = _keys(full, order)
-                        each = np.add.reduceat(lp[np.searchsorted(known, keys)], np.r_[0, np.cumsum(size)[:-1]])
+                        row = pc.index_in(pa.array(keys), value_set=known).to_numpy()
+                        each = np.add.reduceat(lp[row], np.r_[0, np.cumsum(size)[:-1]])
                         where = np.array([bool(t) for t in part])
                         value[at : at + len(part)][where] = np.exp(-each / size)
                     at += len(part)
-                out.append(
-                    pa.RecordBatch.from_arrays(
-                        [piece.column("doc_id"), piece.column("key"), piece.column("lang"), pa.array([len(t) for t in texts], pa.int64()),
-                         pa.array(value, pa.float64(), mask=np.isnan(value))],
-                        names=["doc_id", "key", "lang", "n_bytes", "perplexity"],
-                    )
-                )
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in out], schema=schema)
+                columns = [piece.column(c) for c in ("part", "doc_id", "key", "lang")]
+                columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(value, pa.float64(), mask=np.isnan(value))]
+                out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     return (
         blocks.groupBy("block")
         .cogroup(told.groupBy("block"))
-        .applyInArrow(score, "doc_id long, key long, lang string, n_bytes long, perplexity double")
+        .applyInArrow(score, "part int, doc_id long, key long, lang string, n_bytes long, perplexity double")
     )
 
 
@@ -272,6 +303,14 @@ def toxic_words(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.where("b > 0").join(sizes, "tongue").where(strong).select("tongue", "word")
 
 
+def _parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with ``part``: the fold of a trusted row, ``FOLDS`` for all others."""
+    trusted = saved(trusted_ids(labels))
+    known = small_side(trusted.withColumn("good", F.lit(True)), trusted.count())
+    fold = F.pmod(F.xxhash64("t", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    return rows.join(known, "doc_id", "left").withColumn("part", F.when(F.col("good"), fold).otherwise(FOLDS)).drop("good")
+
+
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, key, lang, n_bytes, perplexity, low, high, toxic_words, keep of every row."""
     rows = docs.select(
@@ -280,17 +319,25 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("binary").alias("t"),
     )
-    trusted = saved(trusted_ids(labels))
-    n_trusted = trusted.count()
-    model = train(rows.join(small_side(trusted, n_trusted), "doc_id").where(F.length("t") > 0), order)
-    got = saved(scores(rows, model))
-    of_trusted = got.join(small_side(trusted, n_trusted), "doc_id").where("perplexity IS NOT NULL").withColumn("lp", F.log("perplexity"))
+    parts = _parts(rows, labels).select("part", "doc_id", "key", "lang", "t")
+    seen = parts.where(F.col("part") < FOLDS).where(F.length("t") > 0).select("t", F.col("part").alias("fold"))
+    counts = saved(ngram_counts(seen, order))
+    models = {f: estimate(saved(counts.where(F.col("fold") != f).groupBy("key").agg(F.sum("c").alias("c"))), order) for f in range(FOLDS)}
+    models[FOLDS] = estimate(saved(counts.groupBy("key").agg(F.sum("c").alias("c"))), order)
+    got = saved(scores(parts, models))
+    of_trusted = got.where(F.col("part") < FOLDS).where("perplexity IS NOT NULL").withColumn("lp", F.log("perplexity"))
     cuts = F.percentile_approx("lp", F.array(F.lit(LOW), F.lit(HIGH)), 10_000)
-    margin = lambda q: (F.lit(1.0 - SLACK) * q[0]).alias("low"), lambda q: (F.lit(1.0 + SLACK) * q[1]).alias("high")
     everything = of_trusted.agg(cuts.alias("q")).first()["q"]
-    by_lang = of_trusted.groupBy("lang").agg(cuts.alias("q")).select("lang", margin[0](F.col("q")), margin[1](F.col("q")))
-    by_lang = saved(by_lang.withColumn("known", F.coalesce("lang", F.lit(""))).withColumn("none", F.col("lang").isNull()).drop("lang"))
     far = (float("-inf"), float("inf")) if everything is None else ((1 - SLACK) * everything[0], (1 + SLACK) * everything[1])
+    few = F.col("n") < FEW
+    low, high = (1 - SLACK) * F.col("q")[0], (1 + SLACK) * F.col("q")[1]
+    by_lang = of_trusted.groupBy("lang").agg(cuts.alias("q"), F.count(F.lit(1)).alias("n")).select(
+        F.coalesce("lang", F.lit("")).alias("known"),
+        F.col("lang").isNull().alias("none"),
+        F.when(few, F.least(low, F.lit(far[0]))).otherwise(low).alias("low"),
+        F.when(few, F.greatest(high, F.lit(far[1]))).otherwise(high).alias("high"),
+    )
+    by_lang = saved(by_lang)
     marks = saved(toxic_words(rows, labels))
     each = rows.select("key", F.coalesce("lang", F.lit("")).alias("tongue"), F.explode(_words(F.col("t").cast("string"))).alias("word"))
     each = each.join(small_side(marks, marks.count()), ["tongue", "word"])
@@ -316,5 +363,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    bad = saved(judge(docs, labels).where("NOT keep").select(F.col("key").alias("__key")).distinct())
-    return docs.join(small_side(bad, bad.count()), F.xxhash64("doc_id", "text", "lang") == F.col("__key"), "left_anti")
+    gone = free_name(docs, "gone")
+    bad = saved(judge(docs, labels).where("NOT keep").select(F.col("key").alias(gone)).distinct())
+    return docs.join(small_side(bad, bad.count()), F.xxhash64("doc_id", "text", "lang") == F.col(gone), "left_anti")
