@@ -256,6 +256,9 @@ ORACLE: dict[str, str] = {
     + "SELECT movieId, 'The \"' || title || '\", part ' || movieId || '; a|b' AS title, genres FROM movies",
     "stream_earliest": _with(PREDS, MESSAGES) + "SELECT * FROM msgs",
     "stream_latest": _with(PREDS.replace("FROM events", "FROM events WHERE event_id % 2 = 1"), MESSAGES) + "SELECT * FROM msgs",
+    "stream_timed": _with(PREDS, MESSAGES) + "SELECT * FROM msgs",
+    "stream_console": "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS input_rows FROM events "
+    "UNION ALL SELECT 1, count(*) FROM events WHERE event_id % 2 = 1",
     "store_folded": _with(PREDS, MESSAGES, FACTORS, STORED)
     + "SELECT userId, movieId, rating, \"timestamp\", round(prediction, 6) AS prediction, event_date FROM stored",
     "store_latest_10": _with(PREDS, MESSAGES, FACTORS, STORED)

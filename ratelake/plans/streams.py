@@ -20,6 +20,7 @@ from ratelake.session import parallelism, remove_scratch, scratch_path
 from ratelake.sources import files as FS
 from ratelake.streaming import log as LG
 from ratelake.streaming import messages as SM
+from ratelake.streaming import progress as PR
 from ratelake.streaming.store import PredictionStore
 
 
@@ -278,3 +279,49 @@ def q_store_user_top(spark: SparkSession, d: str, user_id: int = 7) -> DataFrame
     """One user's five best predictions by a pruned lookup in the clustered store."""
     out = folded_store(spark, d).user_top(user_id, tie=("movieId",))
     return out.withColumn("prediction", F.round("prediction", 6))
+
+
+def q_stream_timed(spark: SparkSession, d: str) -> DataFrame:
+    """All messages through bounded micro-batches two seconds apart.
+
+    The listener's records must show several micro-batches, none over its bound, no two in one
+    two-second slot, and every message once.
+    """
+    messages, path = _logged_messages(spark, d), scratch_path(spark, "timed-log")
+    out, ckpt = scratch_path(spark, "timed-out"), scratch_path(spark, "timed-ckpt")
+    LG.append_messages(messages, path)
+    n = messages.count()
+    most = max(1, -(-n // 3))
+    log = PR.watch(spark, interval_ms=2000)
+    try:
+        parsed = SM.parse_messages(_log_stream(spark, path, "earliest", maxOffsetsPerTrigger=str(most), group="timed"))
+        query = SM.start_stream(parsed, path=out, checkpoint=ckpt, trigger={"processingTime": "2 seconds"})
+        _drained(query)
+        log.wait_ended(query)
+    finally:
+        PR.unwatch(spark, log)
+    records, seen = log.of(query), log.summary(query)
+    slots = [int(r["started"].timestamp() * 1000) // 2000 for r in records]
+    on_time = all(a < b for a, b in zip(slots, slots[1:], strict=False))
+    if n and (seen["batches"] < min(n, 3) or seen["input_rows"] != n or max(r["input_rows"] for r in records) > most or not on_time):
+        raise RuntimeError(f"micro-batches are not as configured: {seen}")
+    remove_scratch(spark, path, ckpt)
+    return _wall_clock(spark.read.parquet(out))
+
+
+def q_stream_console(spark: SparkSession, d: str) -> DataFrame:
+    """The parsed messages on the console (a row of each micro-batch is shown), and how many each micro-batch brought."""
+    messages, path = _logged_messages(spark, d), scratch_path(spark, "console-log")
+    LG.append_messages(messages, path)
+    log = PR.watch(spark)
+    try:
+        parsed = SM.parse_messages(_log_stream(spark, path, "earliest"))
+        query = SM.start_stream(parsed, sink="console", trigger={"processingTime": "0 seconds"}, options={"numRows": "1"})
+        query.processAllAvailable()
+        LG.append_messages(messages.where("half = 1"), path)
+        _drained(query)
+        log.wait_ended(query)
+    finally:
+        PR.unwatch(spark, log)
+    remove_scratch(spark, path)
+    return log.as_table(spark, query).select("batch_id", "input_rows")

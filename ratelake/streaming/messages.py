@@ -133,13 +133,14 @@ def start_stream(
     partition_by: Iterable[str] | None = None,
     query_name: str | None = None,
     foreach_batch: Callable[[DataFrame, int], None] | None = None,
+    options: dict[str, str] | None = None,
 ) -> StreamingQuery:
     """Start an append query.
 
     ``sink`` is ``parquet`` (the prediction store), ``console``, ``memory`` or
     any other format; ``foreach_batch`` is for external stores only. File and
     batch-function sinks require a checkpoint. ``trigger`` is passed through,
-    e.g. ``{"processingTime": "2 seconds"}`` or ``{"availableNow": True}``.
+    e.g. ``{"processingTime": "2 seconds"}`` or ``{"availableNow": True}``; ``options`` go to the sink.
 
     After a failure a micro-batch is replayed with the same epoch id: the file
     sink commits each epoch once, while a ``foreach_batch`` function must make
@@ -156,6 +157,8 @@ def start_stream(
         raise ValueError("a checkpoint location is required for this sink")
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
+    for key, value in (options or {}).items():
+        writer = writer.option(key, value)
     if path:
         writer = writer.option("path", path)
     if partition_by:
