@@ -9,8 +9,8 @@ of the estimate is an aggregation or an equi-join of sharded tables:
 * three discounts per order from the counts of counts,
 * a back-off weight per context, and interpolated probabilities bottom up.
 
-Texts are packed once into compressed blocks of about ``BLOCK_BYTES``, whatever the input's
-partitions. A block asks only for its distinct n-grams; the answers are joined from the sharded
+Texts are packed once into compressed blocks of about ``BLOCK_BYTES``, however small the
+input's partitions. A block asks only for its distinct n-grams; the answers are joined from the sharded
 tables and meet the block again by its id, so neither the model nor the corpus is ever in one
 task or broadcast. Per-document perplexities are held against quantiles of the trusted
 documents of the same language.
@@ -50,13 +50,14 @@ ORDER = 5
 START = b"\xff"  # never part of UTF-8
 FOLDS = 2
 BLOCK_BYTES = 64 << 20
-PIECE_ROWS = 128
+PIECE_ROWS = 512
 CHUNK_BYTES = 4 << 20
 # A text is kept between these quantiles of its language's trusted texts, widened by the slack (a share of log perplexity).
 LOW, HIGH = 0.0005, 0.998
 SLACK = 0.05
 # A word marks toxic text if its share of toxic documents is, by this many standard errors, above this multiple of its share of trusted ones.
 ERRORS, TIMES = 2.33, 5.0
+LEAST = 1e-12  # the least probability of a byte: discounts of zero leave nothing to unseen ones
 FEW = 400  # trusted documents of a language below which its own quantiles are not relied on alone
 
 
@@ -109,116 +110,120 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
     return counts.groupBy(*(["fold"] if fold else []), "key").agg(F.sum("c").alias("c"))
 
 
-def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """D1, D2, D3+ of modified Kneser-Ney from the counts of counts."""
-    n = table.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (n[f"n{i}"] for i in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 1.0, 1.5
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))  # type: ignore[return-value]
+def discounts(table: DataFrame) -> tuple[Column, int]:
+    """The discount of a row of (m, key, c), D1, D2 or D3+ of its model's counts of counts, and the number of rows."""
+    n = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    cut, total = F.lit(0.0), 0
+    for r in table.groupBy("m").agg(*n, F.count(F.lit(1)).alias("rows")).collect():  # a row a model
+        n1, n2, n3, n4, total = r["n1"], r["n2"], r["n3"], r["n4"], total + r["rows"]
+        d = (0.5, 1.0, 1.5)
+        if n1 and n2 and n3 and n4:
+            y = n1 / (n1 + 2 * n2)
+            d = tuple(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+        own = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        cut = F.when(F.col("m") == r["m"], own).otherwise(cut)
+    return cut, total
 
 
 def suffix(key: Column, n: int) -> Column:
     return key.bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
 
-def train(trusted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """For n = 1..order: (key, p) interpolated probabilities and (h, g) back-off weights of contexts."""
-    return estimate(saved(ngram_counts(trusted, order)), order)
+# For n = 1..order: (m, key, p) interpolated probabilities and (m, h, g) back-off weights of contexts, each marked for
+# broadcast if its counted rows are few.
+Model = list[tuple[DataFrame, DataFrame]]
 
 
-def estimate(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
-    """The model of raw counts (key, c) of the highest order, as ``train`` gives it."""
+def train(trusted: DataFrame, order: int = ORDER) -> Model:
+    """One model (m = 0) of all of ``trusted``."""
+    return estimate(saved(ngram_counts(trusted, order).withColumn("m", F.lit(0))), order)
+
+
+def estimate(counts: DataFrame, order: int) -> Model:
+    """The models of raw counts (m, key, c) of the highest order, one for each m, in one set of tables."""
     tables = [counts]
     for n in range(order - 1, 0, -1):
-        tables.append(saved(tables[-1].groupBy(suffix(F.col("key"), n).alias("key")).agg(F.count(F.lit(1)).alias("c"))))
-    model: list[tuple[DataFrame, DataFrame]] = []
+        tables.append(saved(tables[-1].groupBy("m", suffix(F.col("key"), n).alias("key")).agg(F.count(F.lit(1)).alias("c"))))
+    model: Model = []
     for n, table in enumerate(reversed(tables), 1):
-        d1, d2, d3 = discounts(table)
-        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        cut, n_rows = discounts(table)
         rows = table.withColumn("h", F.shiftright("key", 8)).withColumn("d", cut)
-        contexts = saved(rows.groupBy("h").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("g")))
-        rows = rows.join(contexts, "h")
+        contexts = saved(rows.groupBy("m", "h").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("g")))
+        contexts = small_side(contexts, n_rows)  # never more contexts than rows
+        rows = rows.join(contexts, ["m", "h"])
         if n == 1:
             lower = F.lit(1.0 / 256)
         else:
-            below = model[-1][0].select(F.col("key").alias("low"), F.col("p").alias("q"))
-            rows = rows.join(below, suffix(F.col("key"), n - 1) == F.col("low"))
+            below = model[-1][0].select("m", F.col("key").alias("low"), F.col("p").alias("q"))
+            rows = rows.withColumn("low", suffix(F.col("key"), n - 1)).join(below, ["m", "low"])
             lower = F.col("q")
         p = (F.col("c") - F.col("d")) / F.col("s") + F.col("g") * lower
-        model.append((saved(rows.select("key", p.alias("p"))), contexts.select("h", "g")))
+        model.append((small_side(saved(rows.select("m", "key", p.alias("p"))), n_rows), contexts.select("m", "h", "g")))
     return model
 
 
-def log_probabilities(keys: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(key, lp): the natural log probability of every asked n-gram, backing off where it was never seen."""
+def log_probabilities(keys: DataFrame, model: Model) -> DataFrame:
+    """(m, key, lp): the natural log probability of every asked n-gram (m, key), backing off where it was never seen."""
     order = len(model)
-    top = keys.join(model[-1][0], "key", "left")
-    seen = top.where(F.col("p").isNotNull()).select("key", F.log("p").alias("lp"))
-    rest = saved(top.where(F.col("p").isNull()).select("key"))
+    top = keys.join(model[-1][0], ["m", "key"], "left")
+    seen = top.where(F.col("p").isNotNull()).select("m", "key", F.log(F.greatest("p", F.lit(LEAST))).alias("lp"))
+    rest = saved(top.where(F.col("p").isNull()).select("m", "key"))
     estimate: Column = F.lit(1.0 / 256)
     for n in range(1, order + 1):
         probs, contexts = model[n - 1]
         here = suffix(F.col("key"), n)
-        rest = rest.join(contexts.select(F.col("h").alias(f"h{n}"), F.col("g").alias(f"g{n}")), F.shiftright(here, 8) == F.col(f"h{n}"), "left")
+        rest = rest.withColumn("h", F.shiftright(here, 8)).join(contexts.withColumnRenamed("g", f"g{n}"), ["m", "h"], "left").drop("h")
         estimate = F.coalesce(F.col(f"g{n}"), F.lit(1.0)) * estimate
         if n < order:
-            rest = rest.join(probs.select(F.col("key").alias(f"k{n}"), F.col("p").alias(f"p{n}")), here == F.col(f"k{n}"), "left")
+            probs = probs.select("m", F.col("key").alias("low"), F.col("p").alias(f"p{n}"))
+            rest = rest.withColumn("low", here).join(probs, ["m", "low"], "left").drop("low")
             estimate = F.coalesce(F.col(f"p{n}"), estimate)
-    return seen.unionAll(rest.select("key", F.log(estimate).alias("lp")))
+    return seen.unionAll(rest.select("m", "key", F.log(F.greatest(estimate, F.lit(LEAST))).alias("lp")))
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """(part, block, payload): rows of part, doc_id, key, lang, t in compressed Arrow blocks of one part, written once."""
+    """(block, payload): rows of part, doc_id, key, lang, t in compressed Arrow blocks of about one size, written once."""
     size = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        held: dict[int, list[pa.RecordBatch]] = {}
-        full: dict[int, int] = {}
+        task, n, held, full = TaskContext.get().partitionId(), 0, [], 0
 
-        def flush(part: int) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
             out = io.BytesIO()
-            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
-            with pa.ipc.new_stream(out, held[part][0].schema, options=options) as writer:
-                for b in held.pop(part):
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+            with pa.ipc.new_stream(out, held[0].schema, options=options) as writer:
+                for b in held:
                     writer.write_batch(b)
-            full.pop(part)
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "block": pa.array([(task << 24) | n], pa.int64()), "payload": pa.array([out.getvalue()], pa.binary())}
+                {"block": pa.array([(task << 24) | n], pa.int64()), "payload": pa.array([out.getvalue()], pa.binary())}
             )
 
         for batch in batches:
-            parts = batch.column(0).to_numpy()
-            for part in np.unique(parts).tolist():
-                own = batch.filter(pa.array(parts == part))
-                for at in range(0, own.num_rows, PIECE_ROWS):
-                    piece = own.slice(at, PIECE_ROWS)
-                    held.setdefault(part, []).append(piece)
-                    full[part] = full.get(part, 0) + (pc.sum(pc.binary_length(piece.column("t"))).as_py() or 0)
-                    if full[part] >= BLOCK_BYTES:
-                        yield flush(part)
-                        n += 1
-        for part in sorted(held):
-            yield flush(part)
-            n += 1
-
-    return saved(docs.coalesce(max(1, -(-size // BLOCK_BYTES))).mapInArrow(run, "part int, block long, payload binary"))
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                piece = batch.slice(at, PIECE_ROWS)
+                held.append(piece)
+                full += pc.sum(pc.binary_length(piece.column("t"))).as_py() or 0
+                if full >= BLOCK_BYTES:
+                    yield flush()
+                    held, full, n = [], 0, n + 1
+        if held:
+            yield flush()
+
+    return saved(docs.coalesce(max(1, -(-size // BLOCK_BYTES))).mapInArrow(run, "block long, payload binary"))
 
 
 def _unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
     yield from pa.ipc.open_stream(payload)
 
 
-def scores(docs: DataFrame, models: dict[int, list[tuple[DataFrame, DataFrame]]]) -> DataFrame:
-    """part, doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (part, doc_id, key, lang, t), by the model of its part."""
-    order = len(next(iter(models.values())))
+def scores(docs: DataFrame, model: Model, parts: int) -> DataFrame:
+    """part, doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (part, doc_id, key, lang, t), by the model m = part."""
+    order = len(model)
     blocks = pack(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own, more = np.empty(0, np.int64), []
                 for piece in _unpacked(payload.as_buffer()):
                     for texts in _chunks([t for t in piece.column("t").to_pylist() if t]):
@@ -228,38 +233,35 @@ def scores(docs: DataFrame, models: dict[int, list[tuple[DataFrame, DataFrame]]]
                 own = np.unique(np.concatenate([own, *more]))
                 for at in range(0, len(own), 1 << 16):
                     keys = own[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(keys), part), pa.int32()), "block": np.full(len(keys), block), "key": keys})
-
-    asked = saved(blocks.mapInArrow(ask, "part int, block long, key long"))
-    told = None
-    for part, model in models.items():
-        own = asked.where(F.col("part") == part).select("block", "key")
-        answers = log_probabilities(own.select("key").distinct(), model)
-        known = own.join(answers, "key").select("block", "key", F.col("lp").cast("float").alias("lp"))
-        told = known if told is None else told.unionAll(known)
-    assert told is not None
+                    yield pa.RecordBatch.from_pydict({"block": np.full(len(keys), block), "key": keys})
+
+    asked = saved(blocks.mapInArrow(ask, "block long, key long"))
+    wanted = asked.select("key").distinct().select(F.explode(F.array(*[F.lit(m) for m in range(parts)])).alias("m"), "key")
+    each = [F.max(F.when(F.col("m") == m, F.col("lp"))).cast("float") for m in range(parts)]
+    answers = log_probabilities(wanted, model).groupBy("key").agg(F.array(*each).alias("lp"))
+    told = asked.join(answers, "key").select("block", "key", "lp")
     schema = pa.schema(
         [("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())]
     )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("key").combine_chunks()
-        lp = right.column("lp").to_numpy().astype(np.float64)
+        lp = right.column("lp").combine_chunks().flatten().to_numpy().reshape(-1, parts).astype(np.float64)
         out: list[pa.RecordBatch] = []
         for payload in left.column("payload"):
             for piece in _unpacked(payload.as_buffer()):
                 texts = [t or b"" for t in piece.column("t").to_pylist()]
+                part_of = piece.column("part").to_numpy()
                 value = np.full(len(texts), np.nan)
                 at = 0
-                for part in _chunks(texts):
-                    full = [t for t in part if t]
-                    if full:
-                        keys, size = _keys(full, order)
+                for chunk in _chunks(texts):
+                    where = at + np.nonzero([bool(t) for t in chunk])[0]
+                    at += len(chunk)
+                    if len(where):
+                        keys, size = _keys([t for t in chunk if t], order)
                         row = pc.index_in(pa.array(keys), value_set=known).to_numpy()
-                        each = np.add.reduceat(lp[row], np.r_[0, np.cumsum(size)[:-1]])
-                        where = np.array([bool(t) for t in part])
-                        value[at : at + len(part)][where] = np.exp(-each / size)
-                    at += len(part)
+                        each = np.add.reduceat(lp[row, np.repeat(part_of[where], size)], np.r_[0, np.cumsum(size)[:-1]])
+                        value[where] = np.exp(-each / size)
                 columns = [piece.column(c) for c in ("part", "doc_id", "key", "lang")]
                 columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(value, pa.float64(), mask=np.isnan(value))]
                 out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
@@ -321,10 +323,11 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     )
     parts = _parts(rows, labels).select("part", "doc_id", "key", "lang", "t")
     seen = parts.where(F.col("part") < FOLDS).where(F.length("t") > 0).select("t", F.col("part").alias("fold"))
-    counts = saved(ngram_counts(seen, order))
-    models = {f: estimate(saved(counts.where(F.col("fold") != f).groupBy("key").agg(F.sum("c").alias("c"))), order) for f in range(FOLDS)}
-    models[FOLDS] = estimate(saved(counts.groupBy("key").agg(F.sum("c").alias("c"))), order)
-    got = saved(scores(parts, models))
+    # Model m < FOLDS has all folds but m, model FOLDS has all.
+    learns = F.explode(F.array(*[F.when(F.col("fold") == m, None).otherwise(F.lit(m)) for m in range(FOLDS)], F.lit(FOLDS)))
+    counts = ngram_counts(seen, order).select("key", "c", learns.alias("m")).where("m IS NOT NULL")
+    model = estimate(saved(counts.groupBy("m", "key").agg(F.sum("c").alias("c"))), order)
+    got = saved(scores(parts, model, FOLDS + 1))
     of_trusted = got.where(F.col("part") < FOLDS).where("perplexity IS NOT NULL").withColumn("lp", F.log("perplexity"))
     cuts = F.percentile_approx("lp", F.array(F.lit(LOW), F.lit(HIGH)), 10_000)
     everything = of_trusted.agg(cuts.alias("q")).first()["q"]

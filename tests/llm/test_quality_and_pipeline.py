@@ -80,7 +80,7 @@ def test_perplexity_equals_the_textbook_model(spark, order):
 def test_probabilities_of_a_context_sum_to_one(spark):
     texts = spark.createDataFrame([(t.encode(),) for t in TRUSTED], "t binary")
     model = kneser.train(texts, 3)
-    asked = spark.createDataFrame([(int.from_bytes(h + bytes([b]), "big"),) for h in (b"th", b"\xff\xff", b"qq") for b in range(256)], "key long")
+    asked = spark.createDataFrame([(0, int.from_bytes(h + bytes([b]), "big")) for h in (b"th", b"\xff\xff", b"qq") for b in range(256)], "m int, key long")
     got = kneser.log_probabilities(asked, model).withColumn("h", F.shiftright("key", 8)).groupBy("h").agg(F.sum(F.exp("lp")).alias("s"))
     assert all(r.s == pytest.approx(1, abs=1e-9) for r in got.collect()) and got.count() == 3
 
