@@ -9,11 +9,12 @@ of the estimate is an aggregation or an equi-join of sharded tables:
 * three discounts per order from the counts of counts,
 * a back-off weight per context, and interpolated probabilities bottom up.
 
-Texts are packed once into compressed blocks of about ``BLOCK_BYTES``, however small the
-input's partitions. A block asks only for its distinct n-grams; the answers are joined from the sharded
-tables and meet the block again by its id, so neither the model nor the corpus is ever in one
-task or broadcast. Per-document perplexities are held against quantiles of the trusted
-documents of the same language.
+While the model's counted rows are at most ``HELD_ROWS`` its arrays are broadcast and texts are
+scored where they are read. A larger model stays sharded: texts are packed once into compressed
+blocks of about ``BLOCK_BYTES``, however small the input's partitions, a block asks only for its
+distinct n-grams, and the answers are joined from the sharded tables and meet the block again by its id.
+Both ways give the same perplexities, which are held against quantiles of the trusted documents of
+the same language.
 
 No text is scored by a model that has learned from it. Trusted texts are dealt into two folds by
 their hash, so copies stay together, and a trusted document's perplexity comes from a model of the
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ SLACK = 0.05
 # A word marks toxic text if its share of toxic documents is, by this many standard errors, above this multiple of its share of trusted ones.
 ERRORS, TIMES = 2.33, 5.0
 LEAST = 1e-12  # the least probability of a byte: discounts of zero leave nothing to unseen ones
+HELD_ROWS = 6_000_000  # rows of all tables of a broadcast model, 16 bytes each
 FEW = 400  # trusted documents of a language below which its own quantiles are not relied on alone
 
 
@@ -129,9 +131,11 @@ def suffix(key: Column, n: int) -> Column:
     return key.bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
 
-# For n = 1..order: (m, key, p) interpolated probabilities and (m, h, g) back-off weights of contexts, each marked for
-# broadcast if its counted rows are few.
-Model = list[tuple[DataFrame, DataFrame]]
+class Model(list[tuple[DataFrame, DataFrame]]):
+    """For n = 1..order: (m, key, p) interpolated probabilities and (m, h, g) back-off weights of contexts, each marked
+    for a broadcast join if its counted rows are few. ``rows`` bounds the rows of all tables."""
+
+    rows = 0
 
 
 def train(trusted: DataFrame, order: int = ORDER) -> Model:
@@ -144,12 +148,13 @@ def estimate(counts: DataFrame, order: int) -> Model:
     tables = [counts]
     for n in range(order - 1, 0, -1):
         tables.append(saved(tables[-1].groupBy("m", suffix(F.col("key"), n).alias("key")).agg(F.count(F.lit(1)).alias("c"))))
-    model: Model = []
+    model = Model()
     for n, table in enumerate(reversed(tables), 1):
         cut, n_rows = discounts(table)
         rows = table.withColumn("h", F.shiftright("key", 8)).withColumn("d", cut)
         contexts = saved(rows.groupBy("m", "h").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("g")))
         contexts = small_side(contexts, n_rows)  # never more contexts than rows
+        model.rows += 2 * n_rows
         rows = rows.join(contexts, ["m", "h"])
         if n == 1:
             lower = F.lit(1.0 / 256)
@@ -216,8 +221,81 @@ def _unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
     yield from pa.ipc.open_stream(payload)
 
 
+SCORED = "part int, doc_id long, key long, lang string, n_bytes long, perplexity double"
+
+
+def _scored(piece: pa.RecordBatch, order: int, logs: Callable[[int, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """The rows of ``SCORED`` for rows of part, doc_id, key, lang, t; ``logs`` gives a part's n-grams' log probabilities."""
+    texts = [t or b"" for t in piece.column("t").to_pylist()]
+    parts = piece.column("part").to_numpy()
+    value = np.full(len(texts), np.nan)
+    for part in np.unique(parts).tolist():
+        own = np.nonzero((parts == part) & np.array([bool(t) for t in texts]))[0]
+        at = 0
+        for chunk in _chunks([texts[i] for i in own]):
+            keys, size = _keys(chunk, order)
+            each = np.add.reduceat(logs(part, keys), np.r_[0, np.cumsum(size)[:-1]])
+            value[own[at : at + len(chunk)]] = np.exp(-each / size)
+            at += len(chunk)
+    schema = pa.schema(
+        [("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())]
+    )
+    columns = [piece.column(c) for c in ("part", "doc_id", "key", "lang")]
+    columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(value, pa.float64(), mask=np.isnan(value))]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def scores(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     """part, doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (part, doc_id, key, lang, t), by the model m = part."""
+    return held_scores(docs, model) if model.rows <= HELD_ROWS else sharded_scores(docs, model, parts)
+
+
+def held_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """``scores`` with the tables of a small model broadcast as sorted arrays."""
+    order, rows = len(model), None
+    for n, (probs, contexts) in enumerate(model):
+        both = probs.select(F.lit(2 * n).alias("kind"), "m", "key", F.col("p").alias("v"))
+        both = both.unionAll(contexts.select(F.lit(2 * n + 1), "m", "h", "g"))
+        rows = both if rows is None else rows.unionAll(both)
+    assert rows is not None
+    got = rows.toArrow()  # at most HELD_ROWS rows
+    kind, m, key, v = (got.column(i).to_numpy() for i in range(4))
+    tables = {}
+    for part in np.unique(m).tolist():
+        for k in range(2 * order):
+            own = (m == part) & (kind == k)
+            sort = np.argsort(key[own])
+            tables[part, k] = key[own][sort], v[own][sort]
+    held = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = held.value
+
+        def known(part: int, k: int, keys: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
+            have, values = arrays.get((part, k), (np.empty(0, np.int64), np.empty(0)))
+            if not len(have):
+                return np.broadcast_to(missing, keys.shape)
+            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            return np.where(have[at] == keys, values[at], missing)
+
+        def logs(part: int, keys: np.ndarray) -> np.ndarray:
+            coded = pa.array(keys).dictionary_encode()
+            own = coded.dictionary.to_numpy()
+            estimate = np.full(len(own), 1.0 / 256)
+            for n in range(1, order + 1):
+                here = own & ((1 << (8 * n)) - 1)
+                estimate = known(part, 2 * n - 1, here >> 8, 1.0) * estimate
+                estimate = known(part, 2 * n - 2, here, estimate)
+            return np.log(np.maximum(estimate, LEAST))[coded.indices.to_numpy()]
+
+        for batch in batches:
+            yield _scored(batch, order, logs)
+
+    return docs.select("part", "doc_id", "key", "lang", "t").mapInArrow(run, SCORED)
+
+
+def sharded_scores(docs: DataFrame, model: Model, parts: int) -> DataFrame:
+    """``scores`` with a model of any size: part, doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (part, doc_id, key, lang, t), by the model m = part."""
     order = len(model)
     blocks = pack(docs)
 
@@ -240,38 +318,17 @@ def scores(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     each = [F.max(F.when(F.col("m") == m, F.col("lp"))).cast("float") for m in range(parts)]
     answers = log_probabilities(wanted, model).groupBy("key").agg(F.array(*each).alias("lp"))
     told = asked.join(answers, "key").select("block", "key", "lp")
-    schema = pa.schema(
-        [("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())]
-    )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("key").combine_chunks()
         lp = right.column("lp").combine_chunks().flatten().to_numpy().reshape(-1, parts).astype(np.float64)
-        out: list[pa.RecordBatch] = []
-        for payload in left.column("payload"):
-            for piece in _unpacked(payload.as_buffer()):
-                texts = [t or b"" for t in piece.column("t").to_pylist()]
-                part_of = piece.column("part").to_numpy()
-                value = np.full(len(texts), np.nan)
-                at = 0
-                for chunk in _chunks(texts):
-                    where = at + np.nonzero([bool(t) for t in chunk])[0]
-                    at += len(chunk)
-                    if len(where):
-                        keys, size = _keys([t for t in chunk if t], order)
-                        row = pc.index_in(pa.array(keys), value_set=known).to_numpy()
-                        each = np.add.reduceat(lp[row, np.repeat(part_of[where], size)], np.r_[0, np.cumsum(size)[:-1]])
-                        value[where] = np.exp(-each / size)
-                columns = [piece.column(c) for c in ("part", "doc_id", "key", "lang")]
-                columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array(value, pa.float64(), mask=np.isnan(value))]
-                out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
-        return pa.Table.from_batches(out, schema=schema)
-
-    return (
-        blocks.groupBy("block")
-        .cogroup(told.groupBy("block"))
-        .applyInArrow(score, "part int, doc_id long, key long, lang string, n_bytes long, perplexity double")
-    )
+
+        def logs(part: int, keys: np.ndarray) -> np.ndarray:
+            return lp[pc.index_in(pa.array(keys), value_set=known).to_numpy(), part]
+
+        return pa.Table.from_batches([_scored(piece, order, logs) for payload in left.column("payload") for piece in _unpacked(payload.as_buffer())])
+
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, SCORED)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

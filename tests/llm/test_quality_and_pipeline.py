@@ -54,8 +54,9 @@ def _brute_model(texts, order):
 TRUSTED = ["the cat sat on the mat and the rat ran.", "a cat and a dog ran to the mat", "él niño está en la niebla", "the end"]
 
 
-@pytest.mark.parametrize("order", [2, 4])
-def test_perplexity_equals_the_textbook_model(spark, order):
+@pytest.mark.parametrize(("order", "held"), [(2, 0), (4, 0), (4, kneser.HELD_ROWS)])
+def test_perplexity_equals_the_textbook_model(spark, monkeypatch, order, held):
+    monkeypatch.setattr(kneser, "HELD_ROWS", held)
     others = ["the mat sat on the cat", "zzz qqq €", "x", "a" * 300, "", None]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(TRUSTED + others)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -135,13 +136,13 @@ def test_classifier_takes_awkward_rows(spark):
     assert [r.keep for r in nothing] == [r.n_bytes > 0 for r in nothing]
 
 
-def test_blocks_hold_every_row_once(spark, monkeypatch):
-    monkeypatch.setattr(kneser, "BLOCK_BYTES", 3000)
+def test_sharded_and_broadcast_models_score_alike(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
-    many = kneser.quality_report(docs, labels).orderBy("doc_id").toPandas()
-    monkeypatch.undo()
     one = kneser.quality_report(docs, labels).orderBy("doc_id").toPandas()
-    assert list(many.doc_id) == list(one.doc_id) and np.allclose(many.perplexity, one.perplexity)
+    monkeypatch.setattr(kneser, "HELD_ROWS", 0)
+    monkeypatch.setattr(kneser, "BLOCK_BYTES", 3000)
+    many = kneser.quality_report(docs, labels).orderBy("doc_id").toPandas()
+    assert list(many.doc_id) == list(one.doc_id) and np.allclose(many.perplexity, one.perplexity) and list(many.keep) == list(one.keep)
 
 
 def test_pipeline_stages_run_in_order_and_keep_their_columns(spark):
