@@ -23,7 +23,8 @@ seen looks like. A language with few trusted documents has no tails of its own:
 wider of its own limits and those of all trusted documents.
 
 Perplexity is a mean and does not see a few words, so a text also goes for any single
-word that marks toxic text; these words come from the labelled rows.
+word that marks toxic text; these words come from the labelled rows, counted by distinct
+contexts so that copies of a toxic text do not turn its ordinary words into marks.
 
 Defined results: a null or empty text has no perplexity and is rejected; a language
 without trusted documents (a null language is one of its own) uses the quantiles of
@@ -58,6 +59,7 @@ LOW, HIGH = 0.0005, 0.998
 SLACK = 0.05
 # A word marks toxic text if its share of toxic documents is, by this many standard errors, above this multiple of its share of trusted ones.
 ERRORS, TIMES = 2.33, 5.0
+CHANCE = 0.01
 LEAST = 1e-12  # the least probability of a byte: discounts of zero leave nothing to unseen ones
 HELD_ROWS = 6_000_000  # rows of all tables of a broadcast model, 16 bytes each
 FEW = 400  # trusted documents of a language below which its own quantiles are not relied on alone
@@ -342,24 +344,47 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)))
 
 
+def _in_context(texts: DataFrame) -> DataFrame:
+    """toxic, tongue, word, around of every word of column ``t``; ``around`` is a hash of the words beside it."""
+    rows = texts.withColumn("w", F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    rows = rows.select("toxic", "tongue", "w", F.concat(F.array(F.lit("")), "w").alias("before"), F.slice("w", F.lit(2), F.size("w")).alias("behind"))
+    rows = rows.select("toxic", "tongue", F.explode(F.arrays_zip("w", "before", "behind")).alias("z")).where("z.w IS NOT NULL")
+    around = F.xxhash64(F.coalesce("z.before", F.lit("")), F.coalesce("z.behind", F.lit("")))
+    return rows.select("toxic", "tongue", F.col("z.w").alias("word"), around.alias("around"))
+
+
 def toxic_words(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(tongue, word): words that mark toxic text of a language, from the labelled rows of ``rows`` (doc_id, lang, t).
 
-    A word's evidence is the log ratio of its share of the language's toxic and trusted documents,
-    less ``ERRORS`` standard errors: few documents mark nothing.
+    Candidates are words whose share of the language's toxic documents is, less ``ERRORS`` standard errors
+    of the log ratio, ``TIMES`` that of trusted ones. Copies of a text say the same thing many
+    times, so a candidate is then counted by its distinct contexts (the words beside it). It marks
+    toxic text if the chance that as many of them are toxic, were it only ``TIMES`` as frequent there, is below
+    ``CHANCE`` after all words tried (Chernoff's bound).
     """
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
     known = known.join(trusted_ids(labels).withColumn("good", F.lit(True)), "doc_id", "left").where("toxic OR good")
     known = saved(known.select("doc_id", "toxic"))
     texts = rows.join(small_side(known, known.count()), "doc_id").where(F.length("t") > 0)
-    texts = texts.select("toxic", F.coalesce("lang", F.lit("")).alias("tongue"), "t")
+    texts = texts.select("toxic", F.coalesce("lang", F.lit("")).alias("tongue"), F.col("t").cast("string").alias("t"))
     sizes = texts.groupBy("tongue").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("fine"))
-    each = texts.select("toxic", "tongue", F.explode(_words(F.col("t").cast("string"))).alias("word"))
-    counts = each.groupBy("tongue", "word").agg(F.count_if("toxic").alias("b"), F.count_if(~F.col("toxic")).alias("f"))
+    each = texts.select("toxic", "tongue", F.explode(_words(F.col("t"))).alias("word"))
+    counts = each.groupBy("tongue", "word").agg(F.count_if("toxic").alias("b"), F.count_if(~F.col("toxic")).alias("f")).where("b > 0")
     b, f = F.col("b") + 0.5, F.col("f") + 0.5
     ratio = F.log(b / (F.col("bad") + 1)) - F.log(f / (F.col("fine") + 1))
     strong = ratio - ERRORS * F.sqrt(1 / b + 1 / f) >= math.log(TIMES)
-    return counts.where("b > 0").join(sizes, "tongue").where(strong).select("tongue", "word")
+    counts = saved(counts)
+    tried = counts.groupBy("tongue").agg(F.count(F.lit(1)).alias("tried")).join(sizes, "tongue")
+    candidates = saved(counts.join(tried, "tongue").where(strong).select("tongue", "word", "bad", "fine", "tried"))
+    spots = _in_context(texts).join(small_side(candidates, candidates.count()), ["tongue", "word"])
+    spots = spots.groupBy("tongue", "word", "around").agg(F.max("toxic").alias("toxic"), *[F.first(c).alias(c) for c in ("bad", "fine", "tried")])
+    seen = spots.groupBy("tongue", "word").agg(
+        F.count_if("toxic").alias("b"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("bad", "fine", "tried")]
+    )
+    q, p = F.col("b") / F.col("n"), TIMES * (F.col("bad") + 1) / (TIMES * (F.col("bad") + 1) + F.col("fine") + 1)
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    bound = F.when(q > p, F.col("n") * (q * F.log(q / p) + rest)).otherwise(0.0)
+    return seen.where(bound >= F.log(F.col("tried") / CHANCE)).select("tongue", "word")
 
 
 def _parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
