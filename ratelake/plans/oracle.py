@@ -259,6 +259,12 @@ ORACLE: dict[str, str] = {
     "stream_timed": _with(PREDS, MESSAGES) + "SELECT * FROM msgs",
     "stream_console": "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS input_rows FROM events "
     "UNION ALL SELECT 1, count(*) FROM events WHERE event_id % 2 = 1",
+    "stream_two_models": " UNION ALL ".join(
+        "SELECT * FROM ("
+        + _with(PREDS.replace("FROM events", f"FROM events WHERE event_id % 2 = {half}"), MESSAGES, FACTORS, STORED)
+        + f"SELECT userId, movieId, \"timestamp\", round({half + 1} * prediction, 6) AS prediction, {half + 1} AS model_version FROM stored)"
+        for half in (0, 1)
+    ),
     "store_folded": _with(PREDS, MESSAGES, FACTORS, STORED)
     + "SELECT userId, movieId, rating, \"timestamp\", round(prediction, 6) AS prediction, event_date FROM stored",
     "store_latest_10": _with(PREDS, MESSAGES, FACTORS, STORED)

@@ -339,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_latest": ST.q_stream_latest,  # S4 over a stored log
     "stream_timed": ST.q_stream_timed,  # W4, several 2 s micro-batches
     "stream_console": ST.q_stream_console,  # K2
+    "stream_two_models": ST.q_stream_two_models,  # W2 K4 S8, a new version while the stream runs
     "store_folded": ST.q_store_folded,  # K3 W7 S7 after folding
     "store_latest_10": ST.q_store_latest_10,  # T2 by date
     "store_item_stats": ST.q_store_item_stats,  # F6 A15 pruned

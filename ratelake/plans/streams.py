@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ratelake.operators import dashboard as D
 from ratelake.operators import model as M
+from ratelake.operators import versions as V
 from ratelake.plans import fixtures as FX
 from ratelake.session import parallelism, remove_scratch, scratch_path
 from ratelake.sources import files as FS
@@ -325,3 +326,29 @@ def q_stream_console(spark: SparkSession, d: str) -> DataFrame:
         PR.unwatch(spark, log)
     remove_scratch(spark, path)
     return log.as_table(spark, query).select("batch_id", "input_rows")
+
+
+def q_stream_two_models(spark: SparkSession, d: str) -> DataFrame:
+    """One running stream, two model versions: the second is published between two appends and has twice the item factors."""
+    messages, f = _logged_messages(spark, d), FX.factors(spark, d)
+    path, root, place, rejects, ckpt = (scratch_path(spark, n) for n in ("models-log", "models", "models-store", "models-rejects", "models-ckpt"))
+    scorer = V.CurrentScorer(spark, root)
+
+    def to_store(valid: DataFrame) -> DataFrame:
+        return SM.score_stream(valid.drop("value"), scorer).withColumn("event_date", F.to_date("timestamp"))
+
+    V.publish_factors(f, f, root)
+    LG.append_messages(messages.where("half = 0"), path)
+    parsed = SM.parse_messages(_log_stream(spark, path, "earliest"), keep=("value",))
+    query = SM.start_stream(parsed, foreach_batch=SM.epoch_writer(place, rejects, to_store), checkpoint=ckpt, trigger={"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+        V.publish_factors(f, f.withColumn("features", F.transform("features", lambda x: x * 2)), root)
+        LG.append_messages(messages.where("half = 1"), path)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+        scorer.release()
+    remove_scratch(spark, path, root, ckpt)
+    back = PredictionStore(spark, place).read().select("userId", "movieId", "timestamp", "prediction", "model_version")
+    return _wall_clock(back).withColumn("prediction", F.round("prediction", 6))
