@@ -256,6 +256,9 @@ ORACLE: dict[str, str] = {
     + "SELECT movieId, 'The \"' || title || '\", part ' || movieId || '; a|b' AS title, genres FROM movies",
     "stream_earliest": _with(PREDS, MESSAGES) + "SELECT * FROM msgs",
     "stream_latest": _with(PREDS.replace("FROM events", "FROM events WHERE event_id % 2 = 1"), MESSAGES) + "SELECT * FROM msgs",
+    "csv_rejects": _with(PREDS)
+    + "SELECT CASE event_id % 20 WHEN 0 THEN 'rating' WHEN 1 THEN 'fields' WHEN 2 THEN 'time' WHEN 3 THEN 'user' ELSE 'stored' END AS what, "
+    "count(*) AS n, CAST(sum(userId) FILTER (WHERE event_id % 20 > 3) AS BIGINT) AS sum_user FROM preds GROUP BY 1",
     "stream_timed": _with(PREDS, MESSAGES) + "SELECT * FROM msgs",
     "stream_console": "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS input_rows FROM events "
     "UNION ALL SELECT 1, count(*) FROM events WHERE event_id % 2 = 1",

@@ -330,6 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rmse": q_rmse,  # M5
     "als_train_score": q_als_train_score,  # M1 M2 M4 K4 S8
     "als_cold_start": q_als_cold_start,  # M3 F3
+    "csv_rejects": IO.q_csv_rejects,  # S1, lines that do not fit
     "stream_parse": ST.q_stream_parse,  # S6 P3 X9 W1 W3 W5 K3
     "stream_decode": ST.q_stream_decode,  # P4 X10
     "stream_score_sink": ST.q_stream_score_sink,  # W2 W7 K3 W5 J2

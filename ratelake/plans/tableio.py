@@ -60,3 +60,31 @@ def q_movies_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat(F.lit('The "'), F.col("title"), F.lit('", part '), F.col("movieId").cast("string"), F.lit("; a|b"))
     TB.write_csv(FX.movies(spark, d).withColumn("title", title), path)
     return TB.read_csv(spark, path, MOVIES).withColumn("movieId", F.col("movieId").cast("bigint"))
+
+
+def q_csv_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Events as rating lines of which some have a word for a rating, a field too few, a bad time or no user."""
+    kind, parts = F.col("event_id") % 20, ["userId", "movieId", "prediction", "ts"]
+    fields = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts}
+    line = lambda **over: F.concat_ws(",", *[over.get(c, fields[c]) for c in parts if over.get(c, "") is not None])
+    lines = FX.predictions(spark, d).select(
+        F.when(kind == 0, line(prediction=F.lit("many")))
+        .when(kind == 1, line(ts=None))
+        .when(kind == 2, line(ts=F.lit("yesterday")))
+        .when(kind == 3, line(userId=F.lit("")))
+        .otherwise(line())
+        .alias("value")
+    )
+    place = scratch_path(spark, "bad-csv")
+    lines.write.text(f"{place}/in")
+    schema = T.StructType([T.StructField(n, t, True) for n, t in zip(parts, (T.IntegerType(), T.IntegerType(), T.DoubleType(), T.TimestampNTZType()), strict=True)])
+    TB.land_csv(spark, f"{place}/in", schema, f"{place}/out", f"{place}/rejects", required=("userId",), header=False)
+    good = spark.read.parquet(f"{place}/out").agg(F.lit("stored").alias("what"), F.count(F.lit(1)).alias("n"), F.sum("userId").cast("bigint").alias("sum_user"))
+    bad = spark.read.parquet(f"{place}/rejects")
+    why = (
+        F.when(F.col("line").contains("many"), "rating")
+        .when(F.col("line").contains("yesterday"), "time")
+        .when(F.col("line").startswith(","), "user")
+        .otherwise("fields")
+    )
+    return good.unionByName(bad.groupBy(why.alias("what")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("sum_user")))

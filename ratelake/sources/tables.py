@@ -31,6 +31,47 @@ def read_csv(
     return reader.option("inferSchema", True).csv(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def land_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    out: str,
+    rejects: str,
+    timestamp_format: str | None = None,
+    required: Sequence[str] = (),
+    header: bool = True,
+) -> None:
+    """CSV -> Parquet table ``out``; lines that do not fit the schema go to ``rejects`` as they were (``line``).
+
+    A plain PERMISSIVE scan turns a bad field into a null without a trace. Here the reader keeps
+    the raw text of a line with a bad field or a wrong number of fields; a line that lacks a
+    ``required`` value is rejected too. The text is parsed once, with all columns (a pruned scan would not look at
+    the others), into a Parquet copy that both tables are taken from; the copy is removed at the end.
+    """
+    from pyspark.sql import functions as F
+
+    from ratelake.session import remove_scratch, scratch_path
+
+    reader = spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if timestamp_format:
+        reader = reader.option("timestampFormat", timestamp_format)
+    staged = scratch_path(spark, "land")
+    reader.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])).csv(path).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    bad = F.col(CORRUPT).isNotNull()
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    names = [c for c in rows.columns if c != CORRUPT]
+    rows.where(~bad).select(*names).write.mode("overwrite").parquet(out)
+    # A whole line that only lacks a required value has no raw text: it is put together again.
+    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
+    rows.where(bad).select(line.alias("line")).write.mode("overwrite").parquet(rejects)
+    remove_scratch(spark, staged)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet scan; filters and projections above it reach the file reader."""
     reader = spark.read
