@@ -6,6 +6,7 @@
     python -m ratelake score-stream --model MODEL --store STORE --checkpoint CKPT \\
         --rejects REJ --option kafka.bootstrap.servers=HOST:9092 \\
         --option subscribe=TOPIC [--starting-offsets latest|earliest]
+    python -m ratelake compact --store STORE [--checkpoint CKPT ...] [--vacuum-hours 24]
     python -m ratelake dashboard --store STORE [--as-of 2024-01-30T12:00:00] [--item ID] [--user ID] [--out DIR]
 
 ``prepare --results DIR`` and ``dashboard --out DIR`` write every result whole, one Parquet
@@ -26,6 +27,7 @@ from ratelake.operators import model as M
 from ratelake.operators import quality as Q
 from ratelake.session import build_session, remove_scratch
 from ratelake.sources import tables as TB
+from ratelake.streaming.store import PredictionStore
 
 
 def _options(pairs: list[str] | None) -> dict[str, str]:
@@ -84,6 +86,11 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("--user", type=int, default=None, help="also this user's best predictions")
     d.add_argument("--out", default=None, help="folder for every full result, one Parquet table each")
 
+    f = sub.add_parser("compact", help="fold the store's closed micro-batches into sized, clustered files")
+    f.add_argument("--store", required=True)
+    f.add_argument("--checkpoint", action="append", default=[], help="checkpoint of an idle or ended stream (may be given several times)")
+    f.add_argument("--vacuum-hours", type=float, default=24.0, help="delete folders folded longer ago than this")
+
     args = ap.parse_args(argv)
     spark = build_session(args.master, app_name=f"ratelake-{args.cmd}")
 
@@ -113,6 +120,11 @@ def main(argv: list[str] | None = None) -> int:
         for q in queries:
             q.stop()
         queries.release()
+    elif args.cmd == "compact":
+        store = PredictionStore(spark, args.store)
+        done = store.compact(args.checkpoint)
+        gone = store.vacuum(args.vacuum_hours * 3600)
+        print(f"version {done.version}: {len(done.segments)} segments" if done else "nothing to fold", f"({gone} folders deleted)")
     elif args.cmd == "dashboard":
         as_of = args.as_of if args.as_of in (None, "latest") else dt.datetime.fromisoformat(args.as_of)
         _deliver(jobs.dashboard(spark, args.store, as_of=as_of, item_id=args.item, user_id=args.user), args.out)

@@ -44,7 +44,8 @@ def _rows(cols, rows):
     "name",
     ["top_rated", "genre_stats", "rating_stats", "duplicate_summary", "dash_trends_24h", "dash_user_top_all",
      "factor_score", "null_profile", "dash_user_top_size", "csv_inferred", "movies_csv_roundtrip", "stream_decode",
-     "stream_rejects", "stream_two_queries", "stream_score_sink", "store_trends_24h", "als_train_score"],
+     "stream_rejects", "stream_two_queries", "stream_score_sink", "store_trends_24h", "als_train_score", "stream_latest", "store_folded", "store_latest_10",
+     "store_item_stats", "store_user_top", "csv_rejects"],
 )
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()

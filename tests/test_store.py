@@ -194,6 +194,19 @@ def test_store_without_epochs_or_rows(spark, tmp_path):
     assert jobs.dashboard(spark, loose, as_of="latest", user_id=1)["recent"].count() == 10
 
 
+def test_compact_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    from ratelake.__main__ import main
+
+    path = str(tmp_path / "store")
+    for number in range(3):
+        _epoch(spark, path, "q", number, _rows(5))
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)  # the shared test session
+    assert main(["compact", "--store", path, "--vacuum-hours", "0"]) == 0 and main(["compact", "--store", path]) == 0
+    out = capsys.readouterr().out
+    assert "version 1: 1 segments (2 folders deleted)" in out and "nothing to fold" in out
+    assert PredictionStore(spark, path).read().count() == 15
+
+
 # ---- the message log ----
 
 
