@@ -31,6 +31,7 @@ from ratelake.operators import stats as S
 from ratelake.session import scratch_path
 from ratelake.sources import tables as TB
 from ratelake.streaming import messages as SM
+from ratelake.streaming import panels as P
 from ratelake.streaming.store import PredictionStore
 
 # The two ALS configurations used by the reference.
@@ -186,7 +187,7 @@ def start_scoring(
         columns = ["userId", "movieId", F.col("prediction").cast("float").alias("prediction"), "timestamp", *ids]
         return scored.select(*columns).withColumn("event_date", F.to_date("timestamp"))
 
-    hook = SM.epoch_writer(store_path, reject_path, to_store)
+    hook = SM.epoch_writer(store_path, reject_path, to_store, panels=True)
     query = SM.start_stream(
         parsed, foreach_batch=hook, checkpoint=checkpoint, trigger=trigger or {"processingTime": "2 seconds"}
     )
@@ -198,6 +199,31 @@ def read_store(spark: SparkSession, store_path: str) -> DataFrame:
     return PredictionStore(spark, store_path).read()
 
 
+def _panels_of_cells(store: PredictionStore, p: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
+    cells, scores = store.cells(), p.schema["prediction"].dataType
+    window = store.window_cells(as_of, cells=cells)
+    trends = P.trends(window)
+    return {
+        "stats": P.stats(cells),
+        "distribution": P.distribution(cells).withColumn("prediction", F.col("prediction").cast(scores)),
+        "top_items": P.top_items(cells),
+        "activity": trends.select("hour", "n_predictions"),
+        "trends": trends,
+        "summary": P.summary(cells, window),
+    }
+
+
+def _panels_of_rows(p: DataFrame, as_of: dt.datetime | None, ts: str, date_col: str) -> dict[str, DataFrame]:
+    return {
+        "stats": D.dash_stats(p),
+        "distribution": D.dash_distribution(p),
+        "top_items": D.dash_top_items(p),
+        "activity": D.dash_activity(p, as_of, ts=ts, date_col=date_col),
+        "trends": D.dash_trends(p, as_of, ts=ts, date_col=date_col),
+        "summary": D.dash_summary(p, as_of, ts=ts),
+    }
+
+
 def dashboard(
     spark: SparkSession,
     store_path: str,
@@ -216,26 +242,19 @@ def dashboard(
     ``item_id`` adds that item's statistics, ``user_id`` that user's best ``k``
     predictions and the length of the list. Ties go to the message's topic,
     partition and offset where the store has them. The latest rows are looked for in the
-    newest dates first; item and user lookups skip row groups where the store is folded.
+    newest dates first; item and user lookups skip row groups where the store is folded. The other
+    panels come from the store's partial aggregates, unless another time column is asked for.
     """
     store = PredictionStore(spark, store_path)
     p = store.read()
     if as_of is None:
         as_of = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     elif as_of == "latest":
-        as_of = D.resolve_as_of(p, ts, date_col)
+        as_of = store.newest() if ts == "timestamp" else D.resolve_as_of(p, ts, date_col)
     if tie is None:
         tie = ("movieId", "userId", *(c for c in MESSAGE_ID if c in p.columns))
-    out = {
-        "stats": D.dash_stats(p),
-        "recent": store.latest(10, ts=ts, tie=tie),
-        "distribution": D.dash_distribution(p),
-        "top_items": D.dash_top_items(p),
-        "activity": D.dash_activity(p, as_of, ts=ts, date_col=date_col),
-        "trends": D.dash_trends(p, as_of, ts=ts, date_col=date_col),
-        "summary": D.dash_summary(p, as_of, ts=ts),
-        "summary_recent": store.latest(5, ts=ts, tie=tie),
-    }
+    panels = _panels_of_cells(store, p, as_of) if ts == "timestamp" and as_of is not None else _panels_of_rows(p, as_of, ts, date_col)
+    out = {**panels, "recent": store.latest(10, ts=ts, tie=tie), "summary_recent": store.latest(5, ts=ts, tie=tie)}
     if item_id is not None:
         out["item"] = D.dash_item_stats(p, item_id)
     if user_id is not None:

@@ -279,6 +279,21 @@ ORACLE: dict[str, str] = {
     "store_user_top": _with(PREDS, MESSAGES, FACTORS, STORED)
     + f"SELECT movieId, round(prediction, 6) AS prediction FROM stored WHERE userId = {DASH_USER} "
     "ORDER BY stored.prediction DESC NULLS LAST, movieId LIMIT 5",
+    "panel_stats": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + "SELECT count(*) AS total_predictions, round(avg(prediction), 2) AS avg_prediction, "
+    "count(DISTINCT userId) AS unique_users FROM stored",
+    "panel_top_items": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + "SELECT CAST(movieId AS BIGINT) AS movieId, round(avg(prediction), 6) AS average_rating, count(*) AS total_ratings "
+    "FROM stored GROUP BY movieId HAVING count(*) >= 5 ORDER BY avg(prediction) DESC NULLS LAST, stored.movieId LIMIT 10",
+    "panel_trends_24h": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + "SELECT CAST(hour(\"timestamp\") AS BIGINT) AS hour, round(avg(prediction), 6) AS avg_rating, count(*) AS n_predictions "
+    "FROM stored WHERE \"timestamp\" >= (SELECT max(\"timestamp\") FROM stored) - INTERVAL 24 HOURS GROUP BY 1",
+    "panel_summary": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + "SELECT count(*) AS total_predictions, count(DISTINCT userId) FILTER (WHERE \"timestamp\" >= "
+    "(SELECT max(\"timestamp\") FROM stored) - INTERVAL 24 HOURS) AS active_users_24h, round(avg(prediction), 6) AS avg_rating FROM stored",
+    "panel_distribution": _with(PREDS, MESSAGES, FACTORS, STORED)
+    + "SELECT round(prediction, 6) AS prediction, CAST(count(*) AS BIGINT) AS n_predictions FROM stored "
+    "WHERE prediction IS NOT NULL GROUP BY 1",
     "stream_decode": "SELECT CAST(event_id AS VARCHAR) AS key, event_type || '/' || user_id AS value FROM events",
     "stream_rejects": _with(PREDS)
     + ", msgs AS (SELECT CASE event_id % 10 WHEN 0 THEN 'not json ' || event_id "

@@ -345,5 +345,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_latest_10": ST.q_store_latest_10,  # T2 by date
     "store_item_stats": ST.q_store_item_stats,  # F6 A15 pruned
     "store_user_top": ST.q_store_user_top,  # F6 T3 pruned
+    "panel_stats": ST.q_panel_stats,  # A14 by epoch
+    "panel_top_items": ST.q_panel_top_items,  # A16 by epoch
+    "panel_trends_24h": ST.q_panel_trends_24h,  # A17 A18 by epoch
+    "panel_summary": ST.q_panel_summary,  # A19 by epoch
+    "panel_distribution": ST.q_panel_distribution,  # A20 by epoch
     "store_trends_24h": ST.q_store_trends_24h,  # S7 over the stream-written store, F7 pruning
 }

@@ -225,7 +225,7 @@ def folded_store(spark: SparkSession, d: str) -> PredictionStore:
     """The events scored into a store by micro-batches of an eighth of them, folded half way and at the end.
 
     The stream stops after the first half, the closed epochs are folded, and it goes on from its
-    checkpoint with the rest. The queries over such a store share one in a session.
+    checkpoint with the rest; the last micro-batch stays open, with its partial aggregates. The queries over such a store share one in a session.
     """
     key = (spark.sparkContext.applicationId, d)
     if key not in _FOLDED or not FS.exists(spark, _FOLDED[key].path):
@@ -249,9 +249,9 @@ def _folded_store(spark: SparkSession, d: str) -> PredictionStore:
             LG.append_messages(messages.where(F.col("half") == half), path)
             stream = _log_stream(spark, path, "earliest", maxOffsetsPerTrigger=str(most), group="fold")
             parsed = SM.parse_messages(stream, keep=("value",))
-            hook = SM.epoch_writer(place, rejects, to_store)
+            hook = SM.epoch_writer(place, rejects, to_store, panels=True)
             _drained(SM.start_stream(parsed, foreach_batch=hook, checkpoint=ckpt, trigger={"processingTime": "0 seconds"}))
-            store.compact(checkpoints=[ckpt] if half else [], fan_in=2 + half)
+            store.compact(fan_in=2 + half)
     finally:
         scorer.release()
     store.vacuum(grace_seconds=0)
@@ -282,6 +282,36 @@ def q_store_user_top(spark: SparkSession, d: str, user_id: int = 7) -> DataFrame
     return out.withColumn("prediction", F.round("prediction", 6))
 
 
+def q_panel_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and distinct users merged from partial aggregates."""
+    return folded_store(spark, d).panel_stats()
+
+
+def q_panel_top_items(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best items merged from partial aggregates."""
+    return folded_store(spark, d).panel_top_items().withColumn("average_rating", F.round("average_rating", 6))
+
+
+def q_panel_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every exact prediction, merged from partial aggregates and shown to 6 digits."""
+    shown = folded_store(spark, d).panel_distribution().groupBy(F.round("prediction", 6).alias("prediction"))
+    return shown.agg(F.sum("n_predictions").alias("n_predictions"))
+
+
+def q_panel_trends_24h(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly trend of the last 24 hours: full hours from partial aggregates, the first one from its rows."""
+    store = folded_store(spark, d)
+    as_of = store.newest()
+    trends = store.panel_trends(as_of) if as_of is not None else D.dash_trends(store.read(), None, ts="timestamp")
+    return trends.withColumn("avg_rating", F.round("avg_rating", 6))
+
+
+def q_panel_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and the users of the last 24 hours, from partial aggregates and the window's first hour of rows."""
+    store = folded_store(spark, d)
+    return store.panel_summary(store.newest()).withColumn("avg_rating", F.round("avg_rating", 6))
+
+
 def q_stream_timed(spark: SparkSession, d: str) -> DataFrame:
     """All messages through bounded micro-batches two seconds apart.
 

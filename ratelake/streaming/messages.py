@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ratelake.schemas import MESSAGE
+from ratelake.sources import files as FS
+from ratelake.streaming import panels as P
 
 # Starting positions a message source accepts.
 STARTING_OFFSETS = ("latest", "earliest", None)
@@ -183,6 +185,7 @@ def epoch_writer(
     to_store: Callable[[DataFrame], DataFrame],
     id_cols: Iterable[str] = ("userId", "movieId"),
     partition_by: Iterable[str] = ("event_date",),
+    panels: bool = False,
 ) -> Callable[[DataFrame, int], None]:
     """A batch hook that writes every parsed row to exactly one of two tables.
 
@@ -192,7 +195,8 @@ def epoch_writer(
     the query and the micro-batch; a replayed micro-batch overwrites its own
     folders and nothing else. The store is rebalanced on its partition columns
     before the write, so a date gets a few files per micro-batch rather than
-    one per task.
+    one per task. ``panels`` also writes the micro-batch's partial aggregates
+    (``streaming.panels``) beside the store, in a folder that a replay replaces.
     """
     ids, parts = list(id_cols), list(partition_by)
 
@@ -214,7 +218,18 @@ def epoch_writer(
 
         batch.persist()
         try:
-            put(to_store(batch.filter(ok)), valid_path, parts)
+            stored = to_store(batch.filter(ok))
+            cells = f"{valid_path}/_panels/epoch={query}-{epoch_id}"
+            if panels:
+                FS.delete(batch.sparkSession, [cells])  # no reader meets cells older than their rows
+                stored = stored.persist()
+            try:
+                put(stored, valid_path, parts)
+                if panels:
+                    P.write(P.partials(stored), cells)
+            finally:
+                if panels:
+                    stored.unpersist()
             put(batch.filter(~ok), reject_path, [])
         finally:
             batch.unpersist()

@@ -20,6 +20,17 @@ so its number of files is bounded by its size and ``fan_in``. Rows of a segment
 by a grid of user and item hashes (their bits interleaved): a small row group then holds
 few of the users and few of the items, and Parquet's bloom filters and dictionaries on both ids leave the
 others unread. A table of n row groups reads about the root of n for one user or one item.
+
+Beside the rows stand partial aggregates (``streaming.panels``) for the dashboard's panels::
+
+    <store>/_panels/epoch=Q-N/    cells of one micro-batch, written by ``epoch_writer(panels=True)``
+    <store>/_panels/piece=P/      cells of folded epochs, merged by ``compact`` where a stream writes cells
+
+They follow the epochs: the same manifest says which pieces and which epochs count, so a replayed epoch
+replaces its cells and a folded one counts once. Cells of an epoch that has none (another
+writer, or a crash between rows and cells) are made from its rows when they are read or folded.
+Pieces are merged by size: a new piece takes in older ones of up to ``fan_in`` times its rows, so there are few
+of them and a cell is rewritten a logarithmic number of times.
 """
 
 from __future__ import annotations
@@ -37,24 +48,27 @@ from pyspark.sql import functions as F
 from ratelake import schemas
 from ratelake.operators import dashboard as D
 from ratelake.sources import files as FS
+from ratelake.streaming import panels as P
 
 DATE = "event_date"
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name of a null partition
 GRID_BITS = 6
 FILE_BYTES = 256 << 20
 ROW_GROUP_BYTES = 16 << 20
+CELL_BYTES = 24  # about what a cell takes in a file
 GRACE_SECONDS = 24 * 3600
 KEPT_VERSIONS = 20
 
 
 @dataclass
 class Manifest:
-    """One version: live segments [{segment, date, rows}], folded epoch numbers by query, folders to delete."""
+    """One version: live segments [{segment, date, rows}], folded epoch numbers by query, folders to delete, cells [{piece, rows}]."""
 
     version: int = 0
     segments: list[dict[str, Any]] = field(default_factory=list)
     folded: dict[str, int] = field(default_factory=dict)
     gone: list[dict[str, Any]] = field(default_factory=list)
+    pieces: list[dict[str, Any]] = field(default_factory=list)
 
 
 def grid_cell(user: str | Column = "userId", item: str | Column = "movieId", bits: int = GRID_BITS) -> Column:
@@ -181,6 +195,59 @@ class PredictionStore:
         """One user's best ``k`` predictions; row groups without the user are skipped."""
         return D.user_top(self.read(), user_id, k, tie=tie)
 
+    # -- panels -----------------------------------------------------------------------------------
+
+    def _cells(self, m: Manifest, epochs: Iterable[tuple[str, str, str, int]], pieces: Iterable[dict[str, Any]]) -> DataFrame:
+        """Cells of these pieces and epochs, a key repeated for each of them."""
+        epochs = list(epochs)
+        done = {f.rsplit("/", 2)[1] for f in FS.matching(self.spark, f"{self.path}/_panels/epoch=*/_SUCCESS")}
+        name = lambda e: f"epoch={e[2]}-{e[3]}"
+        folders = [f"{self.path}/_panels/piece={p['piece']}" for p in pieces]
+        folders += [f"{self.path}/_panels/{n}" for n in sorted({name(e) for e in epochs} & done)]
+        out = self.spark.createDataFrame([], P.SCHEMA)
+        for folder in folders:  # few: pieces grow geometrically, open epochs are those since the last fold
+            out = out.unionByName(self.spark.read.schema(P.SCHEMA).option("basePath", folder).parquet(folder))
+        # A store folded before its stream wrote cells has segments and no piece.
+        rows = self._rows([] if m.pieces else m.segments, [e for e in epochs if name(e) not in done])
+        return out if rows is None else out.unionByName(P.partials(rows))
+
+    def cells(self) -> DataFrame:
+        """The partial aggregates of the whole store."""
+        m = self.manifest()
+        return self._cells(m, self._open(m), m.pieces)
+
+    def window_cells(self, as_of: dt.datetime, hours: int = 24, cells: DataFrame | None = None) -> DataFrame:
+        """Cells of the last ``hours`` hours; of the window's first, partial hour the rows are read."""
+        cells = self.cells() if cells is None else cells
+        start, full = P.window_edge(as_of, hours)
+        days = {start.date().isoformat(), full.date().isoformat()}
+        edge = self.read(days).filter((F.col("timestamp") >= D._wall_clock(start)) & (F.col("timestamp") < D._wall_clock(full)))
+        return P.in_window(cells, edge, as_of, hours)
+
+    def newest(self) -> dt.datetime | None:
+        """The latest time of a row, from the newest date that holds one."""
+        for date in self.dates():
+            found = D.resolve_as_of(self.read([date]), "timestamp") if date else None
+            if found is not None:
+                return found
+        return None
+
+    def panel_stats(self, approx_users: bool = False) -> DataFrame:
+        return P.stats(self.cells(), approx_users)
+
+    def panel_top_items(self, min_count: int = 5, k: int = 10) -> DataFrame:
+        return P.top_items(self.cells(), min_count, k)
+
+    def panel_distribution(self) -> DataFrame:
+        return P.distribution(self.cells())
+
+    def panel_trends(self, as_of: dt.datetime, hours: int = 24) -> DataFrame:
+        return P.trends(self.window_cells(as_of, hours))
+
+    def panel_summary(self, as_of: dt.datetime | None, hours: int = 24, approx_users: bool = False) -> DataFrame:
+        cells = self.cells()
+        return P.summary(cells, None if as_of is None else self.window_cells(as_of, hours, cells), approx_users)
+
     # -- folding ----------------------------------------------------------------------------------
 
     def _closed(self, m: Manifest, checkpoints: Iterable[str]) -> list[tuple[str, str, str, int]]:
@@ -219,24 +286,50 @@ class PredictionStore:
         sources = [e[0] for e in closed] + [self._segment(s) for s in merged]
         write_clustered(rows, folder, -(-FS.data_size(self.spark, sources) // file_bytes), row_group_bytes=row_group_bytes)
         written = self.spark.read.parquet(folder).groupBy(F.col(DATE).cast("string").alias("date")).count().collect()  # a row a date
-        gone_now = [{"folder": p, "at": time.time()} for p in sources]
+        pieces, absorbed = self._fold_cells(m, closed, name, fan_in, file_bytes)
+        panels = [f"epoch={q}-{n}" for q, n in sorted({(e[2], e[3]) for e in closed})] + [f"piece={p['piece']}" for p in absorbed]
+        gone_now = [{"folder": p, "at": time.time()} for p in sources + [f"{self.path}/_panels/{p}" for p in panels]]
         folded = dict(m.folded)
         for _, _, query, number in closed:
             folded[query] = max(number, folded.get(query, -1))
         dropped = {(s["segment"], s["date"]) for s in merged}
         segments = [s for s in m.segments if (s["segment"], s["date"]) not in dropped]
         segments += [{"segment": name, "date": r["date"] or "", "rows": r["count"]} for r in sorted(written, key=lambda r: r["date"] or "")]
-        return self._publish(Manifest(m.version, segments, folded, m.gone + gone_now))
+        return self._publish(Manifest(m.version, segments, folded, m.gone + gone_now, [p for p in m.pieces if p not in absorbed] + pieces))
+
+    def _fold_cells(
+        self, m: Manifest, closed: list[tuple[str, str, str, int]], name: str, fan_in: int, file_bytes: int
+    ) -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
+        """Write one piece with the cells of the closed epochs and of recent pieces that are not much larger.
+
+        A store whose stream writes no cells gets none.
+        """
+        if not m.pieces and not FS.matching(self.spark, f"{self.path}/_panels/epoch=*/_SUCCESS"):
+            return [], []
+        fresh = P.merged(self._cells(m, closed, []))
+        grown, absorbed = self._cells(m, closed, []).count(), []  # from footers where cells are written; not merged, so a bound
+        for piece in reversed(m.pieces):
+            if piece["rows"] > fan_in * grown:
+                break
+            absorbed.append(piece)
+            grown += piece["rows"]
+        folder = f"{self.path}/_panels/piece={name}"
+        cells = P.merged(self._cells(m, closed, absorbed)) if absorbed else fresh
+        P.write(cells, folder, -(-grown * CELL_BYTES // file_bytes))
+        rows = self.spark.read.schema(P.SCHEMA).parquet(folder).count()
+        return [{"piece": name, "rows": rows}], absorbed
 
     def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> int:
         """Delete folders folded longer than ``grace_seconds`` ago; returns how many."""
         m = self.manifest()
         old = [g for g in m.gone if g["at"] <= time.time() - grace_seconds]
         # A replay may have written a folded epoch's folder again: it never counts, so it goes as well.
-        old += [{"folder": e[0]} for e in self._epochs() if grace_seconds <= 0 and e[3] <= m.folded.get(e[2], -1) and e[0] not in {g["folder"] for g in old}]
+        again = [e for e in self._epochs() if grace_seconds <= 0 and e[3] <= m.folded.get(e[2], -1)]
+        folders = {e[0] for e in again} | {f"{self.path}/_panels/epoch={e[2]}-{e[3]}" for e in again}
+        old += [{"folder": f} for f in sorted(folders - {g["folder"] for g in old})]
         if old:
             FS.delete(self.spark, [g["folder"] for g in old])
             dead = {g["folder"] for g in old}
-            self._publish(Manifest(m.version, m.segments, m.folded, [g for g in m.gone if g["folder"] not in dead]))
+            self._publish(Manifest(m.version, m.segments, m.folded, [g for g in m.gone if g["folder"] not in dead], m.pieces))
         FS.delete(self.spark, FS.matching(self.spark, f"{self.path}/_manifest/[0-9]*.json")[:-KEPT_VERSIONS])
         return len(old)
