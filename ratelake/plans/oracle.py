@@ -294,6 +294,10 @@ ORACLE: dict[str, str] = {
     "panel_distribution": _with(PREDS, MESSAGES, FACTORS, STORED)
     + "SELECT round(prediction, 6) AS prediction, CAST(count(*) AS BIGINT) AS n_predictions FROM stored "
     "WHERE prediction IS NOT NULL GROUP BY 1",
+    "wide_duplicate_summary": "SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS unique_rows, "
+    "CAST(sum(n) AS BIGINT) - count(*) AS duplicate_rows FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source)",
+    "wide_duplicate_groups": "SELECT text, lang, source, count(*) AS n_copies FROM documents GROUP BY text, lang, source HAVING count(*) > 1",
+    "wide_dedup": "SELECT DISTINCT text, lang, source FROM documents",
     "stream_decode": "SELECT CAST(event_id AS VARCHAR) AS key, event_type || '/' || user_id AS value FROM events",
     "stream_rejects": _with(PREDS)
     + ", msgs AS (SELECT CASE event_id % 10 WHEN 0 THEN 'not json ' || event_id "

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.operators import dashboard as D
+from ratelake.operators import digests as G
 from ratelake.operators import enrich as E
 from ratelake.operators import model as M
 from ratelake.operators import quality as Q
@@ -128,6 +129,23 @@ def q_duplicate_groups(spark, d):
     return Q.duplicate_groups(_ratings(spark, d))
 
 
+def _wide(spark, d):
+    """Rows as wide as a table gets: whole texts, without their id."""
+    return TB.read_table(spark, f"{d}/documents.parquet").select("text", "lang", "source")
+
+
+def q_wide_duplicate_summary(spark, d):
+    return G.duplicate_summary(_wide(spark, d))
+
+
+def q_wide_duplicate_groups(spark, d):
+    return G.duplicate_groups(_wide(spark, d))
+
+
+def q_wide_dedup(spark, d):
+    return G.dedup(_wide(spark, d))
+
+
 def q_dedup(spark, d):
     return Q.dedup(_ratings(spark, d))
 
@@ -300,6 +318,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_summary": q_duplicate_summary,  # Q2 U1
     "duplicate_groups": q_duplicate_groups,  # Q3 F5
     "dedup": q_dedup,  # U2
+    "wide_duplicate_summary": q_wide_duplicate_summary,  # Q2 U1 by digest
+    "wide_duplicate_groups": q_wide_duplicate_groups,  # Q3 by digest
+    "wide_dedup": q_wide_dedup,  # U2 by digest
     "distinct_keys": q_distinct_keys,  # A2
     "distinct_pairs": q_distinct_pairs,  # A3
     "ratings_per_user": q_ratings_per_user,  # A4
