@@ -47,19 +47,23 @@ def partials(rows: DataFrame, ts: str = "timestamp") -> DataFrame:
         F.col("movieId").cast("bigint").alias("item"),
         F.col("prediction").cast("double").alias("value"),
     )
-    n = F.count(F.lit(1)).alias("n")
-    sums = (n, F.count("value").alias("scored"), F.sum("value").alias("total"))
-    kinds = {
-        "item": p.groupBy(F.col("item").alias("id")).agg(*sums),
-        "value": p.filter(~missing("value")).groupBy("value").agg(n),
-        "user": p.groupBy("hour", F.col("user").alias("id")).agg(n),
-        "hour": p.groupBy("hour").agg(*sums, F.hll_sketch_agg("user", F.lit(SKETCH_BITS)).alias("users")),
-    }
-    out = None
-    for kind, cells in kinds.items():
-        cells = _conform(cells.withColumn(KIND, F.lit(kind)))
-        out = cells if out is None else out.unionAll(cells)
-    return out
+    sums = (F.count(F.lit(1)).alias("n"), F.count("value").alias("scored"), F.sum("value").alias("total"))
+    hours = p.groupBy("hour").agg(*sums, F.hll_sketch_agg("user", F.lit(SKETCH_BITS)).alias("users"))
+    # The other three kinds in one grouping: a row meets its three keys, tasks combine them before the shuffle.
+    key = lambda kind, **of: F.struct(
+        F.lit(kind).alias(KIND), *[of.get(c, F.lit(None).cast(t)).alias(c) for c, t in (("hour", "timestamp"), ("id", "bigint"), ("value", "double"))]
+    )
+    keys = F.array(
+        key("item", id=F.col("item")),
+        key("user", hour=F.col("hour"), id=F.col("user")),
+        F.when(~missing("value"), key("value", value=F.col("value"))),
+    )
+    met = p.select(F.col("value").alias("score"), F.explode(F.array_compact(keys)).alias("key"))
+    of_item = F.col("key.kind") == "item"
+    plain = met.groupBy(*[F.col(f"key.{c}").alias(c) for c in KEYS]).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(of_item, F.col("score"))).alias("scored"), F.sum(F.when(of_item, F.col("score"))).alias("total")
+    )
+    return _conform(hours.withColumn(KIND, F.lit("hour"))).unionAll(_conform(plain))
 
 
 def _conform(cells: DataFrame) -> DataFrame:
