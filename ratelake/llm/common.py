@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +51,16 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def with_plain_names(df: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run(df)``, with columns of ``df`` that begin with two underscores (the operators' own names) renamed meanwhile."""
+    held: dict[str, str] = {}
+    for c in df.columns:
+        if c.startswith("__"):
+            held[c] = free_name(df, "held" + c)
+    if not held:
+        return run(df)
+    back = {v: c for c, v in held.items()}
+    out = run(df.withColumnsRenamed(held))
+    return out.withColumnsRenamed({v: c for v, c in back.items() if v in out.columns})

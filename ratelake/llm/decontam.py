@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.common import saved, small_side
+from ratelake.llm.common import saved, small_side, with_plain_names
 
 SEEDS = ("110101101", "101100111", "111001011")
 WINDOW = 13
@@ -144,7 +144,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that overlap a benchmark item."""
     hit = saved(overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("key").alias("__key")).distinct())
-    return docs.join(small_side(hit, hit.count()), F.xxhash64("doc_id", "text") == F.col("__key"), "left_anti")
+    side = small_side(hit, hit.count())
+    return with_plain_names(docs, lambda rows: rows.join(side, F.xxhash64("doc_id", "text") == F.col("__key"), "left_anti"))
 
 
 def oracle_sql() -> str:

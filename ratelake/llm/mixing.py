@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelake.llm.common import saved, small_side, top_bits, without
+from ratelake.llm.common import saved, small_side, top_bits, with_plain_names, without
 
 BUCKET_BITS = 10  # a source is ranked in 2**BUCKET_BITS pieces
 BLOCK_TOKENS = 1 << 19
@@ -156,6 +156,10 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: f
 
 def mixed_documents(docs: DataFrame, max_repeats: float = 1.5) -> DataFrame:
     """The columns of ``docs``, one row per read, laid out in block order."""
-    reads = mix(docs, max_repeats=max_repeats)
-    ordered = reads.repartitionByRange("__block", "__key").sortWithinPartitions("__block", "__key")
-    return without(ordered, "__src", "__tokens", "__epoch", "__block", "__key", "__weight").select(*docs.columns)
+
+    def run(rows: DataFrame) -> DataFrame:
+        reads = mix(rows, max_repeats=max_repeats)
+        ordered = reads.repartitionByRange("__block", "__key").sortWithinPartitions("__block", "__key")
+        return without(ordered, "__src", "__tokens", "__epoch", "__block", "__key", "__weight").select(*rows.columns)
+
+    return with_plain_names(docs, run)

@@ -22,7 +22,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelake.llm.common import inline_table, top_bits, without
+from ratelake.llm.common import inline_table, top_bits, with_plain_names, without
 
 GRID_BITS = 12
 SALTS = 4
@@ -99,6 +99,10 @@ def assign(
     """``docs`` with ``shard`` and ``slot`` (gapless from 0 in each shard)."""
     if shards < 1:
         raise ValueError("shards must be positive")
+    return with_plain_names(docs, lambda rows: _assign(rows, shards, epsilon, key, text, vnodes))
+
+
+def _assign(docs: DataFrame, shards: int, epsilon: float, key: str, text: str, vnodes: int) -> DataFrame:
     body = without(docs, "shard", "slot")
     hashed = F.xxhash64(F.col(key))
     cell = [
