@@ -114,6 +114,11 @@ def visit_order(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, visit: float
     return out
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, largest component in [0.5, 1): squares neither overflow nor vanish, cosines stay."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+
+
 def best_pairs(
     qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, seen: np.ndarray, code: np.ndarray, k: int
 ) -> pd.DataFrame:
@@ -133,6 +138,7 @@ def best_pairs(
     near[(qid[:, None] == vid[None, :]) | ~seen[:, code]] = -np.inf
     kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(q), -2.0)
     i, j = np.nonzero((near >= kth[:, None] - 1e-9) & np.isfinite(near))
+    q, v = scaled(q), scaled(v)
     dot, nq, nv = np.zeros(len(i)), np.zeros(len(q)), np.zeros(len(v))
     for c in range(q.shape[1]):  # component by component: equal vectors get equal scores
         dot += q[i, c] * v[j, c]

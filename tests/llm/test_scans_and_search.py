@@ -63,6 +63,16 @@ def test_search_takes_awkward_vectors(spark):
     assert imi.search(few.limit(0)).count() == 0
 
 
+def test_scores_of_huge_and_tiny_vectors():
+    q = np.array([[1.0, 0.0], [1e200, 0.0], [1e-200, 0.0], [5e-324, 0.0]])
+    v = np.array([[0.0, 1e200], [2.0**600, 2.0**600], [2.0**-600, 2.0**-600], [-1e308, 0.0]])
+    ids, seen = np.arange(4), np.ones((4, 1), bool)
+    got = imi.best_pairs(ids + 10, q, ids, v, seen, np.zeros(4, int), 4)
+    for _, mine in got.groupby("query_id"):
+        assert mine["vec_id"].tolist() == [1, 2, 0, 3]
+        assert np.allclose(mine["score"], [0.5**0.5, 0.5**0.5, 0.0, -1.0], atol=1e-12)
+
+
 def test_decontamination_equals_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
