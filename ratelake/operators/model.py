@@ -145,6 +145,28 @@ def factor_bytes(factors: DataFrame) -> int:
     return factors.agg(F.sum(per_row).alias("b")).first()["b"] or 0
 
 
+# A batch job builds its broadcasts once, so their bound is larger than a stream's.
+BATCH_BROADCAST_BYTES = 64 << 20
+
+
+def score_measured(
+    df: DataFrame,
+    user_factors: DataFrame,
+    item_factors: DataFrame,
+    cold_start: str = "nan",
+    max_broadcast_bytes: int = BATCH_BROADCAST_BYTES,
+) -> DataFrame:
+    """``score_factors`` of a batch table, each factor table measured and broadcast if it is within the bound.
+
+    Then the rows are scored where they are; otherwise they are shuffled on both ids, on the
+    second one with the first one's vectors.
+    """
+    own = factor_bytes(user_factors)
+    sizes = own, own if item_factors is user_factors else factor_bytes(item_factors)
+    users, items = (n <= max_broadcast_bytes for n in sizes)
+    return score_factors(df, user_factors, item_factors, cold_start=cold_start, broadcast_users=users, broadcast_items=items)
+
+
 def factor_scorer(
     user_factors: DataFrame,
     item_factors: DataFrame,

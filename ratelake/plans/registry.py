@@ -237,7 +237,7 @@ def q_split_sizes(spark, d):
 
 def _factor_scored(spark, d):
     f = FX.factors(spark, d)
-    return M.score_factors(_ratings(spark, d), f, f, cold_start="nan")
+    return M.score_measured(_ratings(spark, d), f, f, cold_start="nan")
 
 
 def q_factor_score(spark, d):

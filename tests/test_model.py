@@ -131,3 +131,20 @@ def test_large_factor_tables_are_cached_and_joined_by_a_splittable_shuffle(spark
         scorer.release()
     # both sides meet by a shuffle that adaptive execution may split
     assert plan.count("ENSURE_REQUIREMENTS") == 4 and "InMemoryTableScan" in plan
+
+
+def test_batch_scoring_shuffles_no_rows_while_factors_are_small(spark):
+    rows = spark.createDataFrame([(1, 2, 3.0), (2, 9, 1.0), (None, 1, 2.0)], "userId int, movieId int, rating double")
+    f = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -1.0])], "id int, features array<float>")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = M.score_measured(rows, f, f)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        large = M.score_measured(rows, f, f, max_broadcast_bytes=10)
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+        for df in (got, large):
+            assert sorted(map(str, df.select("rating", "prediction").collect())) == sorted(map(str, M.score_factors(rows, f, f).select("rating", "prediction").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
