@@ -10,8 +10,9 @@ collect to the driver per micro-batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +126,26 @@ def score_stream(df: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> Dat
     return scorer(df)
 
 
+# Fixed value: what the console sink shows of a micro-batch unless told otherwise.
+CONSOLE_ROWS = 20
+
+
+def shown_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each partition. Every row is still read and computed.
+
+    Spark's console sink ships a whole micro-batch to the driver to print a few of its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = n
+        for batch in batches:  # to the end, so that the micro-batch is processed and counted in whole
+            if left:
+                yield batch.slice(0, left)
+                left -= min(left, batch.num_rows)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def start_stream(
     df: DataFrame,
     sink: str = "parquet",
@@ -143,12 +164,17 @@ def start_stream(
     any other format; ``foreach_batch`` is for external stores only. File and
     batch-function sinks require a checkpoint. ``trigger`` is passed through,
     e.g. ``{"processingTime": "2 seconds"}`` or ``{"availableNow": True}``; ``options`` go to the sink.
+    The console gets only as many rows of a partition as it may show (``numRows``) and one more, by
+    which it tells that there are more.
 
     After a failure a micro-batch is replayed with the same epoch id: the file
     sink commits each epoch once, while a ``foreach_batch`` function must make
     its write idempotent per epoch id (for example overwrite a folder named
     after it, or upsert on a key).
     """
+    if sink == "console" and foreach_batch is None:
+        told = {k.lower(): v for k, v in (options or {}).items()}
+        df = shown_rows(df, int(told.get("numrows", CONSOLE_ROWS)) + 1)
     writer = df.writeStream.outputMode(output_mode)
     if foreach_batch is not None:
         writer = writer.foreachBatch(foreach_batch)

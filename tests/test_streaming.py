@@ -230,3 +230,16 @@ def test_starting_offsets_reach_the_source(spark, monkeypatch, offsets):
     monkeypatch.setattr(reader, "load", lambda self, *a: None)
     SM.message_stream(spark, "kafka", {"subscribe": "ratings"}, offsets, min_partitions=3)
     assert given == {"subscribe": "ratings", "minPartitions": "3"} | ({"startingOffsets": offsets} if offsets else {})
+
+
+def test_the_console_gets_few_rows_of_a_whole_micro_batch(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.range(0, 5000, 1, 3).select(F.to_json(F.struct(F.col("id").alias("userId"), F.col("id").alias("movieId"))).alias("value")).write.parquet(src)
+    stream = SM.message_stream(spark, fmt="parquet", schema=spark.read.parquet(src).schema, path=src)
+    query = SM.start_stream(SM.parse_messages(stream), sink="console", trigger={"availableNow": True}, options={"numRows": "1"})
+    SM.run_available(query)
+    seen = [p for p in query.recentProgress if p.numInputRows]
+    assert sum(p.numInputRows for p in seen) == 5000
+    assert 2 <= sum(p.sink.numOutputRows for p in seen) <= 2 * 3
+    df = spark.range(0, 100, 1, 4)
+    assert [r["id"] for r in SM.shown_rows(df, 2).collect()] == [0, 1, 25, 26, 50, 51, 75, 76]
