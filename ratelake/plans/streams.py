@@ -26,13 +26,17 @@ from ratelake.streaming.store import PredictionStore
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a stream. The glob names the table itself, be it one file or a folder of files."""
+    """The events table as a stream, in tasks of a bounded number of rows (counted from Parquet footers).
+
+    The glob names the table itself, be it one file or a folder of files.
+    """
+    table = FX.table(spark, d, "events")
     return SM.message_stream(
         spark,
         fmt="parquet",
-        schema=FX.table(spark, d, "events").schema,
+        schema=table.schema,
         path=os.path.join(d, "events.parque[t]"),
-        min_partitions=parallelism(spark),
+        min_partitions=max(parallelism(spark), -(-table.count() // SM.TASK_ROWS)),
     )
 
 

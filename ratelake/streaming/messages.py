@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 
 from ratelake.schemas import MESSAGE
@@ -126,6 +127,8 @@ def score_stream(df: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> Dat
     return scorer(df)
 
 
+TASK_ROWS = 1 << 19  # rows of a micro-batch that one task writes: about 100 MB to sort
+
 # Fixed value: what the console sink shows of a micro-batch unless told otherwise.
 CONSOLE_ROWS = 20
 
@@ -205,6 +208,30 @@ def start_many(specs: Iterable[tuple[DataFrame, dict]]) -> list[StreamingQuery]:
     return [start_stream(df, **kwargs) for df, kwargs in specs]
 
 
+def dealt(df: DataFrame, by: list[str], rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows. Rows of one value of ``by`` lie in neighbouring tasks, so it gets few files.
+
+    A value of many rows takes several tasks, small ones share one: a task's sort before the write is as
+    large for a micro-batch of a hundred million rows without a date as for one of a million.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect()  # a row a date
+    sizes.sort(key=lambda r: [(r[c] is not None, r[c]) for c in by])
+    places, at = [], 0
+    for r in sizes:
+        places.append({**{f"_by{i}": r[c] for i, c in enumerate(by)}, "_at": at, "_n": r["_n"]})
+        at += r["_n"]
+    kinds = [T.StructField(f"_by{i}", df.schema[c].dataType) for i, c in enumerate(by)]
+    schema = T.StructType([*kinds, T.StructField("_at", T.LongType()), T.StructField("_n", T.LongType())])
+    table = F.broadcast(df.sparkSession.createDataFrame(pa.Table.from_pylist(places, to_arrow_schema(schema))))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    spot = F.col("_at") + F.pmod(F.xxhash64("_row"), F.col("_n"))
+    out = df.withColumn("_row", F.monotonically_increasing_id()).join(table, same)
+    out = out.repartitionById(max(1, -(-at // rows)), F.floor(spot / rows).cast("int"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def epoch_writer(
     valid_path: str,
     reject_path: str,
@@ -221,7 +248,7 @@ def epoch_writer(
     the query and the micro-batch; a replayed micro-batch overwrites its own
     folders and nothing else. The store is rebalanced on its partition columns
     before the write, so a date gets a few files per micro-batch rather than
-    one per task. ``panels`` also writes the micro-batch's partial aggregates
+    one per task; beyond ``TASK_ROWS`` rows it is dealt by counts (``dealt``). ``panels`` also writes the micro-batch's partial aggregates
     (``streaming.panels``) beside the store, in a folder that a replay replaces.
     """
     ids, parts = list(id_cols), list(partition_by)
@@ -236,25 +263,29 @@ def epoch_writer(
             ok = ok & F.col(c).isNotNull()
 
         def put(df: DataFrame, path: str, by: list[str]) -> None:
-            out = df.withColumn("epoch", epoch)
             if by:
-                out = out.hint("rebalance", *by)
+                df = dealt(df, by, TASK_ROWS) if n > TASK_ROWS else df.hint("rebalance", *by)
+            out = df.withColumn("epoch", epoch)
             writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy(*by, "epoch").parquet(path)
 
         batch.persist()
         try:
+            n = batch.count()
             stored = to_store(batch.filter(ok))
             cells = f"{valid_path}/_panels/epoch={query}-{epoch_id}"
+            again = panels or n > TASK_ROWS  # read more than once
             if panels:
                 FS.delete(batch.sparkSession, [cells])  # no reader meets cells older than their rows
+            if again:
                 stored = stored.persist()
             try:
                 put(stored, valid_path, parts)
                 if panels:
-                    P.write(P.partials(stored), cells)
+                    # Three cells a row at most, and those of the hours.
+                    P.write(P.partials(stored), cells, -(-3 * n // TASK_ROWS) if 3 * n > TASK_ROWS else None)
             finally:
-                if panels:
+                if again:
                     stored.unpersist()
             put(batch.filter(~ok), reject_path, [])
         finally:

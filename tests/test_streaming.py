@@ -243,3 +243,32 @@ def test_the_console_gets_few_rows_of_a_whole_micro_batch(spark, tmp_path):
     assert 2 <= sum(p.sink.numOutputRows for p in seen) <= 2 * 3
     df = spark.range(0, 100, 1, 4)
     assert [r["id"] for r in SM.shown_rows(df, 2).collect()] == [0, 1, 25, 26, 50, 51, 75, 76]
+
+
+def test_large_micro_batches_are_dealt_by_counts(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 3).withColumn("event_date", F.when(F.col("id") % 10 == 0, F.to_date(F.lit("2024-01-01"))))
+    out = SM.dealt(df, ["event_date"], 100)
+    assert out.columns == df.columns and sorted(r["id"] for r in out.collect()) == list(range(1000))
+    tasks = [r.asDict() for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("event_date").alias("d")).collect()]
+    assert len(tasks) == 10 and max(t["n"] for t in tasks) <= 130  # a null date of 900 rows takes nine of them
+    dates = out.groupBy("event_date").agg(F.count_distinct(F.spark_partition_id()).alias("files")).collect()
+    assert {str(r["event_date"]): r["files"] for r in dates} == {"None": 9, "2024-01-01": 1}
+    empty = SM.dealt(df.limit(0), ["event_date"], 100)
+    assert empty.collect() == []
+
+
+def test_the_epoch_writer_deals_large_micro_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SM, "TASK_ROWS", 50)
+    src, store, rejects = (str(tmp_path / n) for n in ("in", "store", "rejects"))
+    body = F.struct(F.when(F.col("id") % 4 > 0, F.col("id")).alias("userId"), F.lit(1).alias("movieId"))
+    spark.range(0, 400, 1, 1).select(F.to_json(body).alias("value")).write.parquet(src)
+    stream = SM.message_stream(spark, fmt="parquet", schema=spark.read.parquet(src).schema, path=src)
+    dated = lambda valid: valid.drop("value").withColumn("prediction", F.lit(1.5)).withColumn("event_date", F.to_date("timestamp"))
+    hook = SM.epoch_writer(store, rejects, dated, panels=True)
+    parsed = SM.parse_messages(stream, keep=("value",))
+    SM.run_available(SM.start_stream(parsed, foreach_batch=hook, checkpoint=str(tmp_path / "ckpt"), trigger={"availableNow": True}))
+    back = spark.read.parquet(store)
+    assert sorted(r["userId"] for r in back.collect()) == [i for i in range(400) if i % 4]
+    assert spark.read.parquet(rejects).count() == 100
+    files = back.select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) == 6 and max(r["count"] for r in files) <= 60  # one null date
