@@ -25,7 +25,8 @@ import posixpath
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -33,6 +34,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from ratelake.sources import files as FS
 
 FORMAT = "message_log"
+RANGE_ROWS = 1 << 18  # messages that one task sorts: about 100 MB
+SPAN_ROWS = 1 << 17  # messages that one task reads
+ROW_GROUP_BYTES = 8 << 20
 SCHEMA = "partition int, offset long, key binary, value binary, timestamp timestamp"
 
 
@@ -53,9 +57,9 @@ def append_messages(messages: DataFrame, path: str, partitions: int = 4, order_b
     """Append ``messages`` (value, and key and timestamp where present) as one segment; returns its number.
 
     Messages of one key go to one partition, in the order of ``order_by`` (then key and value);
-    messages without a key are dealt by their value. A partition's offsets go on where it ended. Partitions
-    are numbered side by side, each by one task, so a log needs as many partitions as its writers'
-    rate asks for. Of two appends at once one fails and leaves no trace in the index.
+    messages without a key are dealt by their value. A partition's offsets go on where it ended. The
+    messages are sorted in ranges of about ``RANGE_ROWS``, the ranges counted, and their rows numbered from
+    there, so the tasks grow with the messages and not with the partitions. Of two appends at once one fails and leaves no trace in the index.
     """
     spark = messages.sparkSession
     taken = _indexes(spark, path)
@@ -64,12 +68,27 @@ def append_messages(messages: DataFrame, path: str, partitions: int = 4, order_b
     column = lambda c, t: (F.col(c) if c in messages.columns else F.lit(None)).cast(t).alias(c)
     rows = messages.select(column("key", "binary"), column("value", "binary"), column("timestamp", "timestamp"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order_by)])
     rows = rows.withColumn("partition", F.pmod(F.xxhash64(F.coalesce("key", "value")), F.lit(partitions)).cast("int"))
-    start = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, e in ends.items() for x in (p, e)]), F.col("partition")), F.lit(0)) if ends else F.lit(0)
-    inside = Window.partitionBy("partition").orderBy(*[f"_by{i}" for i in range(len(order_by))], "key", "value")
-    rows = rows.withColumn("offset", (F.row_number().over(inside) - 1 + start).cast("long"))
+    # Equal messages are told apart by their place in the input, so that a range is never larger for their sake.
+    order = ["partition", *[f"_by{i}" for i in range(len(order_by))], "key", "value", "_tie"]
+    ranges = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranges = ranges.repartitionByRange(max(1, -(-rows.count() // RANGE_ROWS)), *order).sortWithinPartitions(*order).persist()
     folder = f"{path}/segment={number:08d}"
-    # Offsets stay sorted within a file, so row groups have narrow offset ranges.
-    rows.select("partition", "offset", "key", "value", "timestamp").sortWithinPartitions("partition", "offset").write.mode("overwrite").parquet(folder)
+    try:
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number inside its range
+        numbered = ranges.withColumns({"_range": F.spark_partition_id(), "_row": place})
+        sizes = numbered.groupBy("_range", "partition").agg(F.min("_row").alias("low"), F.count(F.lit(1)).alias("n"))
+        bases = []
+        for r in sorted(sizes.collect(), key=lambda r: (r["partition"], r["_range"])):  # a row a range and partition
+            bases.append({"_range": r["_range"], "partition": r["partition"], "_base": ends.get(r["partition"], 0) - r["low"]})
+            ends[r["partition"]] = ends.get(r["partition"], 0) + r["n"]
+        kinds = pa.schema([("_range", pa.int32()), ("partition", pa.int32()), ("_base", pa.int64())])
+        base = F.broadcast(spark.createDataFrame(pa.Table.from_pylist(bases, kinds)))
+        placed = numbered.join(base, ["_range", "partition"]).withColumn("offset", F.col("_row") + F.col("_base"))
+        # Offsets stay sorted within a file, so row groups have narrow offset ranges.
+        writer = placed.select("partition", "offset", "key", "value", "timestamp").write.mode("overwrite")
+        writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
+    finally:
+        ranges.unpersist()
     held = spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("file"), "partition")
     entries = held.agg(F.min("offset").alias("first"), F.max("offset").alias("last")).collect()  # one row per file and partition
     FS.write_json(spark, f"{path}/_index/{number:08d}.json", sorted((r.asDict() for r in entries), key=lambda e: (e["partition"], e["first"])))
@@ -155,12 +174,11 @@ class LogReader(DataSourceStreamReader):
         spans = []
         for e in self._entries():
             first, last = max(e["first"], start.get(str(e["partition"]), 0)), min(e["last"], end.get(str(e["partition"]), 0) - 1)
-            if first <= last:
-                spans.append(_Span(e["file"], e["partition"], first, last))
+            for at in range(first, last + 1, SPAN_ROWS):
+                spans.append(_Span(e["file"], e["partition"], at, min(last, at + SPAN_ROWS - 1)))
         return spans
 
     def read(self, partition: _Span) -> Iterator[Any]:
-        import pyarrow as pa
         import pyarrow.dataset as ds
 
         store, file = _opened(partition.file)
