@@ -54,6 +54,7 @@ DATE = "event_date"
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name of a null partition
 GRID_BITS = 6
 FILE_BYTES = 256 << 20
+FILE_ROWS = 1 << 19  # rows or cells of a file, which one task sorts: about 50 MB
 ROW_GROUP_BYTES = 16 << 20
 CELL_BYTES = 24  # about what a cell takes in a file
 GRACE_SECONDS = 24 * 3600
@@ -284,10 +285,16 @@ class PredictionStore:
         name = f"{m.version + 1:010d}-{uuid.uuid4().hex[:8]}"
         folder = f"{self.path}/_folded/segment={name}"
         sources = [e[0] for e in closed] + [self._segment(s) for s in merged]
-        write_clustered(rows, folder, -(-FS.data_size(self.spark, sources) // file_bytes), row_group_bytes=row_group_bytes)
+        fresh = self._rows([], closed)
+        assert fresh is not None
+        n = sum(s["rows"] for s in merged) + fresh.count()  # from footers
+        files = max(-(-FS.data_size(self.spark, sources) // file_bytes), -(-n // FILE_ROWS))
+        write_clustered(rows, folder, files, row_group_bytes=row_group_bytes)
         written = self.spark.read.parquet(folder).groupBy(F.col(DATE).cast("string").alias("date")).count().collect()  # a row a date
         pieces, absorbed = self._fold_cells(m, closed, name, fan_in, file_bytes)
-        panels = [f"epoch={q}-{n}" for q, n in sorted({(e[2], e[3]) for e in closed})] + [f"piece={p['piece']}" for p in absorbed]
+        celled = {f.rsplit("/", 1)[1] for f in FS.matching(self.spark, f"{self.path}/_panels/epoch=*")}
+        panels = [f"epoch={q}-{n}" for q, n in sorted({(e[2], e[3]) for e in closed}) if f"epoch={q}-{n}" in celled]
+        panels += [f"piece={p['piece']}" for p in absorbed]
         gone_now = [{"folder": p, "at": time.time()} for p in sources + [f"{self.path}/_panels/{p}" for p in panels]]
         folded = dict(m.folded)
         for _, _, query, number in closed:
@@ -315,7 +322,7 @@ class PredictionStore:
             grown += piece["rows"]
         folder = f"{self.path}/_panels/piece={name}"
         cells = P.merged(self._cells(m, closed, absorbed)) if absorbed else fresh
-        P.write(cells, folder, -(-grown * CELL_BYTES // file_bytes))
+        P.write(cells, folder, max(-(-grown * CELL_BYTES // file_bytes), -(-grown // FILE_ROWS)))
         rows = self.spark.read.schema(P.SCHEMA).parquet(folder).count()
         return [{"piece": name, "rows": rows}], absorbed
 
@@ -325,7 +332,8 @@ class PredictionStore:
         old = [g for g in m.gone if g["at"] <= time.time() - grace_seconds]
         # A replay may have written a folded epoch's folder again: it never counts, so it goes as well.
         again = [e for e in self._epochs() if grace_seconds <= 0 and e[3] <= m.folded.get(e[2], -1)]
-        folders = {e[0] for e in again} | {f"{self.path}/_panels/epoch={e[2]}-{e[3]}" for e in again}
+        cells = {f"{self.path}/_panels/epoch={e[2]}-{e[3]}" for e in again}
+        folders = {e[0] for e in again} | {c for c in cells if FS.exists(self.spark, c)}
         old += [{"folder": f} for f in sorted(folders - {g["folder"] for g in old})]
         if old:
             FS.delete(self.spark, [g["folder"] for g in old])

@@ -15,6 +15,8 @@ from ratelake.operators import dashboard as D
 from ratelake.sources import files as FS
 from ratelake.streaming import log as LG
 from ratelake.streaming import messages as SM
+from ratelake.streaming import panels as P
+from ratelake.streaming import store as ST
 from ratelake.streaming.store import PredictionStore, grid_cell, write_clustered
 
 SCHEMA = "userId int, movieId int, prediction double, timestamp timestamp"
@@ -283,3 +285,47 @@ def test_readers_get_only_their_offsets(spark, tmp_path):
     rows = [r for span in spans for batch in reader.read(span) for r in batch.to_pylist()]
     assert sorted((r["partition"], r["offset"]) for r in rows) == sorted((int(p), o) for p, e in ends.items() for o in range(e - 5, e))
     assert reader.partitions(ends, ends) == [] and all("segment=00000001" in s.file for s in spans)
+
+
+def test_an_append_is_numbered_in_ranges_and_read_in_spans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LG, "RANGE_ROWS", 100)
+    monkeypatch.setattr(LG, "SPAN_ROWS", 40)
+    path = str(tmp_path / "log")
+    rows = [(f"k{i % 3}".encode() if i % 5 else None, f"v{i % 7}".encode(), i) for i in range(1000)]  # many equal messages
+    df = spark.createDataFrame(rows, "key binary, value binary, i int")
+    LG.append_messages(df, path, partitions=2, order_by=("i",))
+    LG.append_messages(df.where("i < 500"), path, partitions=2, order_by=("i",))
+    LG.append_messages(df.limit(0), path, partitions=2)
+    back = spark.read.schema(LG.SCHEMA).parquet(f"{path}/segment=00000000", f"{path}/segment=00000001")
+    assert back.count() == 1500 and len(back.select(F.input_file_name()).distinct().collect()) >= 10
+    ends = LG.log_ends(spark, path)
+    for p in range(2):
+        own = [r["offset"] for r in back.where(F.col("partition") == p).select("offset").collect()]
+        assert sorted(own) == list(range(ends.get(p, 0)))
+    first = spark.read.schema(LG.SCHEMA).parquet(f"{path}/segment=00000000").orderBy("partition", "offset").collect()
+    for p in range(2):
+        for key in (None, b"k0", b"k1", b"k2"):
+            got = [bytes(r["value"]) for r in first if r["partition"] == p and (r["key"] and bytes(r["key"])) == key]
+            mine = [v for k, v, _ in rows if k == key]
+            assert not got or key is None or got == mine  # a key's messages lie in one partition, in order
+    reader = LG.LogReader({"path": path, "startingoffsets": "earliest"})
+    spans = reader.partitions({}, reader.latestOffset())
+    assert max(s.last - s.first for s in spans) < 40
+    read = [tuple(r) for s in spans for b in reader.read(s) for r in zip(b.column("partition").to_pylist(), b.column("offset").to_pylist(), strict=True)]
+    assert len(read) == 1500 == len(set(read))
+
+
+def test_a_fold_deals_rows_and_cells_over_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "FILE_ROWS", 50)
+    path = str(tmp_path / "store")
+    for number in range(2):
+        _epoch(spark, path, "q", number, [(i, i, i / 8, DAY + dt.timedelta(seconds=i)) for i in range(300)])
+        P.write(P.partials(spark.read.parquet(path).where(F.col("epoch") == f"q-{number}")), f"{path}/_panels/epoch=q-{number}")
+    store = PredictionStore(spark, path)
+    before = _content(store.read())
+    m = store.compact()
+    assert _content(store.read()) == before and m.pieces
+    for folder in (f"{path}/_folded/*/*", f"{path}/_panels/piece=*/*"):
+        files = spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()
+        assert len(files) >= 4 and max(r["count"] for r in files) <= 100
+    assert store.panel_stats().first()["total_predictions"] == 600
