@@ -62,6 +62,8 @@ ERRORS, TIMES = 2.33, 5.0
 CHANCE = 0.01
 LEAST = 1e-12  # the least probability of a byte: discounts of zero leave nothing to unseen ones
 HELD_ROWS = 6_000_000  # rows of all tables of a broadcast model, 16 bytes each
+HELD_PIECE = 1 << 18  # rows of a broadcast model that are sorted and compressed at once
+JOINED_ROWS = 50_000  # rows of a table that the estimate joins by broadcast: the driver holds such a side several times
 FEW = 400  # trusted documents of a language below which its own quantiles are not relied on alone
 
 
@@ -155,7 +157,7 @@ def estimate(counts: DataFrame, order: int) -> Model:
         cut, n_rows = discounts(table)
         rows = table.withColumn("h", F.shiftright("key", 8)).withColumn("d", cut)
         contexts = saved(rows.groupBy("m", "h").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("g")))
-        contexts = small_side(contexts, n_rows)  # never more contexts than rows
+        contexts = small_side(contexts, n_rows, JOINED_ROWS)  # never more contexts than rows
         model.rows += 2 * n_rows
         rows = rows.join(contexts, ["m", "h"])
         if n == 1:
@@ -165,7 +167,7 @@ def estimate(counts: DataFrame, order: int) -> Model:
             rows = rows.withColumn("low", suffix(F.col("key"), n - 1)).join(below, ["m", "low"])
             lower = F.col("q")
         p = (F.col("c") - F.col("d")) / F.col("s") + F.col("g") * lower
-        model.append((small_side(saved(rows.select("m", "key", p.alias("p"))), n_rows), contexts.select("m", "h", "g")))
+        model.append((small_side(saved(rows.select("m", "key", p.alias("p"))), n_rows, JOINED_ROWS), contexts.select("m", "h", "g")))
     return model
 
 
@@ -248,27 +250,76 @@ def _scored(piece: pa.RecordBatch, order: int, logs: Callable[[int, np.ndarray],
 
 
 def scores(docs: DataFrame, model: Model, parts: int) -> DataFrame:
-    """part, doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (part, doc_id, key, lang, t), by the model m = part."""
-    return held_scores(docs, model) if model.rows <= HELD_ROWS else sharded_scores(docs, model, parts)
+    """part, doc_id, key, lang, n_bytes, perplexity of every row of ``docs`` (part, doc_id, key, lang, t), by the model m = part; saved."""
+    return held_scores(docs, model) if model.rows <= HELD_ROWS else saved(sharded_scores(docs, model, parts))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind, m, key, v as (kind, m, n, payload): the keys' sorted steps and the values, compressed."""
+    codec = pa.Codec("zstd")
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        kind, m, key, v = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        out = []
+        for k, part in np.unique(np.stack([kind, m], axis=1), axis=0).tolist():
+            own = np.flatnonzero((kind == k) & (m == part))
+            own = own[np.argsort(key[own])]
+            steps = np.diff(key[own], prepend=np.int64(0))
+            out.append((k, part, len(own), codec.compress(steps.tobytes() + v[own].tobytes(), asbytes=True)))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "m", "n", "payload"])
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= HELD_PIECE:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
+def _arrays(pieces: list[dict]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """The sorted keys and the values of each (m, kind) of ``_pieces``."""
+    codec = pa.Codec("zstd")
+    found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for piece in pieces:
+        n = piece["n"]
+        raw = codec.decompress(piece["payload"], decompressed_size=16 * n)
+        own = np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.float64, n, 8 * n)
+        found.setdefault((piece["m"], piece["kind"]), []).append(own)
+    tables = {}
+    for name in list(found):
+        key, v = (np.concatenate(x) for x in zip(*found.pop(name), strict=True))
+        sort = np.argsort(key, kind="stable")
+        tables[name] = key[sort], v[sort]
+    return tables
+
+
+class _Packed:
+    """Compressed tables that turn into ``_arrays`` where a worker first reads them."""
+
+    def __init__(self, pieces: list[dict]) -> None:
+        self.pieces = pieces
+
+    def __reduce__(self) -> tuple:
+        return _arrays, (self.pieces,)
 
 
 def held_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``scores`` with the tables of a small model broadcast as sorted arrays."""
+    """``scores`` with the tables of a small model broadcast as sorted arrays. Tasks compress them: the driver passes them on as they are."""
     order, rows = len(model), None
     for n, (probs, contexts) in enumerate(model):
         both = probs.select(F.lit(2 * n).alias("kind"), "m", "key", F.col("p").alias("v"))
         both = both.unionAll(contexts.select(F.lit(2 * n + 1), "m", "h", "g"))
         rows = both if rows is None else rows.unionAll(both)
     assert rows is not None
-    got = rows.toArrow()  # at most HELD_ROWS rows
-    kind, m, key, v = (got.column(i).to_numpy() for i in range(4))
-    tables = {}
-    for part in np.unique(m).tolist():
-        for k in range(2 * order):
-            own = (m == part) & (kind == k)
-            sort = np.argsort(key[own])
-            tables[part, k] = key[own][sort], v[own][sort]
-    held = docs.sparkSession.sparkContext.broadcast(tables)
+    pieces = rows.mapInArrow(_pieces, "kind int, m int, n long, payload binary").toArrow().to_pylist()  # of at most HELD_ROWS rows
+    held = docs.sparkSession.sparkContext.broadcast(_Packed(pieces))
+    del pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = held.value
@@ -293,7 +344,9 @@ def held_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield _scored(batch, order, logs)
 
-    return docs.select("part", "doc_id", "key", "lang", "t").mapInArrow(run, SCORED)
+    out = saved(docs.select("part", "doc_id", "key", "lang", "t").mapInArrow(run, SCORED))
+    held.destroy()
+    return out
 
 
 def sharded_scores(docs: DataFrame, model: Model, parts: int) -> DataFrame:
@@ -409,7 +462,7 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     learns = F.explode(F.array(*[F.when(F.col("fold") == m, None).otherwise(F.lit(m)) for m in range(FOLDS)], F.lit(FOLDS)))
     counts = ngram_counts(seen, order).select("key", "c", learns.alias("m")).where("m IS NOT NULL")
     model = estimate(saved(counts.groupBy("m", "key").agg(F.sum("c").alias("c"))), order)
-    got = saved(scores(parts, model, FOLDS + 1))
+    got = scores(parts, model, FOLDS + 1)
     of_trusted = got.where(F.col("part") < FOLDS).where("perplexity IS NOT NULL").withColumn("lp", F.log("perplexity"))
     cuts = F.percentile_approx("lp", F.array(F.lit(LOW), F.lit(HIGH)), 10_000)
     everything = of_trusted.agg(cuts.alias("q")).first()["q"]

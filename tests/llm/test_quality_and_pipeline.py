@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,42 @@ def _brute_model(texts, order):
 TRUSTED = ["the cat sat on the mat and the rat ran.", "a cat and a dog ran to the mat", "él niño está en la niebla", "the end"]
 
 
+def test_a_held_model_passes_the_driver_compressed(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs = docs.select(F.lit(0).alias("part"), "doc_id", F.xxhash64("doc_id").alias("key"), "lang", F.col("text").cast("binary").alias("t"))
+    model = kneser.train(docs.select("t"))
+    sent, own = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or own(self, value))
+    got = {r.doc_id: r.perplexity for r in kneser.held_scores(docs, model).collect()}
+    want = {r.doc_id: r.perplexity for r in kneser.sharded_scores(docs, model, 1).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5) for i in got)
+    tables = [t for pair in model for t in pair]
+    rows = sum(t.count() for t in tables)
+    raw = pickle.dumps(sent[0])
+    assert rows > 10_000 and len(raw) < 0.75 * 16 * rows  # 16 bytes a row if sent as arrays
+    held = pickle.loads(raw)
+    for k, table in enumerate(tables):
+        name = table.columns[1:]
+        have = sorted(map(tuple, table.select(*name).toPandas().itertuples(index=False)))
+        # the tables of order n: 2 * (n - 1) probabilities, 2 * (n - 1) + 1 weights
+        assert [x[0] for x in have] == held[0, k][0].tolist() and [x[1] for x in have] == held[0, k][1].tolist()
+
+
+def test_pieces_of_a_held_model_meet_again_in_order(monkeypatch):
+    monkeypatch.setattr(kneser, "HELD_PIECE", 40)
+    rng = np.random.default_rng(1)
+    rows = [(k, m, int(key), float(rng.random())) for k in (0, 3) for m in (0, 2) for key in rng.permutation(1 << 20)[:100] << 20]
+    rng.shuffle(rows)
+    whole = pa.RecordBatch.from_arrays([pa.array([t(r[i]) for r in rows]) for i, t in enumerate((int, int, int, float))], names=["kind", "m", "key", "v"])
+    out = list(kneser._pieces(iter([whole.slice(at, 15) for at in range(0, len(rows), 15)])))
+    assert len(out) > 5 and not list(kneser._pieces(iter([whole.slice(0, 0)]))) and kneser._arrays([]) == {}
+    tables = kneser._arrays([r for b in out for r in b.to_pylist()])
+    assert {(m, k, a, b) for (m, k), (key, v) in tables.items() for a, b in zip(key.tolist(), v.tolist(), strict=True)} == {
+        (int(m), int(k), int(a), b) for k, m, a, b in rows
+    }
+    assert all((np.diff(key) > 0).all() for key, _ in tables.values())
+
+
 @pytest.mark.parametrize(("order", "held"), [(2, 0), (4, 0), (4, kneser.HELD_ROWS)])
 def test_perplexity_equals_the_textbook_model(spark, monkeypatch, order, held):
     monkeypatch.setattr(kneser, "HELD_ROWS", held)
